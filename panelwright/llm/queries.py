@@ -60,7 +60,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_ASCII.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
   FROM words
 ), one AS (SELECT doc_id, len(coalesce(s, [])) AS n, unnest(s) AS g FROM sets),
 shared AS (
