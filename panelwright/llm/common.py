@@ -45,10 +45,17 @@ def free_name(df_columns: list[str], wish: str) -> str:
     return wish
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut small, so that a worker holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; words repeat, so they are kept, up to ``limit`` of them."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialize, mix, word_hashes
+from .common import gram_hashes, materialize, mix, slices, word_hashes
 from .components import components
 
 #: Parts beyond the number that can differ; sets with at most this many less one empty parts
@@ -31,7 +31,7 @@ SPARE = 3
 #: A size band ends where the sizes are this many times its start.
 BAND = 1.3
 #: Blocks: least and most classes, and most bytes of hashes.
-BLOCK_LEAST, BLOCK_MOST, BLOCK_BYTES = 256, 4096, 32 << 20
+BLOCK_LEAST, BLOCK_MOST, BLOCK_BYTES = 256, 4096, 8 << 20
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, n, c``: size and class of every row's set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())],
@@ -108,7 +108,7 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches):
         bands = Bands(percent)
-        for batch in batches:
+        for batch in slices(batches):
             keys, classes, seen = [], [], set()
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, k)
@@ -122,8 +122,8 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     classes.append(np.full(len(got), c, np.int64))
             if keys:
                 keys, classes = np.concatenate(keys), np.concatenate(classes)
-                for i in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(classes[i : i + 100_000])], ["key", "c"])
+                for i in range(0, len(keys), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000]), pa.array(classes[i : i + 20_000])], ["key", "c"])
 
     return docs.select("text").mapInArrow(run, "key long, c long")
 
@@ -225,7 +225,7 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
     wanted = seats.select("doc_id").distinct()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
 
@@ -246,7 +246,7 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
 
     # The class tells rows of one doc_id with other texts apart.
     def keep_own(pdf_batches):
-        for batch in pdf_batches:
+        for batch in slices(pdf_batches):
             s, c = batch.column("s").to_pylist(), batch.column("c").to_pylist()
             yield batch.filter(pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) == y for x, y in zip(s, c)], pa.bool_()))
 

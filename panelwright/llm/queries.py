@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import new_path
 from .decontaminate import decontaminate
+from .html_extract import extract_text
 from .jaccard import jaccard_classes
+from .packing import pack
+from .pii import pii_report
+from .quality import quality_rules
+from .sharding import place
+from .token_files import read_token_files, write_token_files
+from .tokens import tokenizer_path
+from .toxicity import toxicity
 from .url_filter import url_filter
 
 ALLOW = ["com/", "www.example.com/en/"]
@@ -28,13 +37,53 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    got = pages.select("page_id", "url", extract_text(pages, "html").alias("text"))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, style="words", window=4096, with_ids=False)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=0, style="spaces")
+    return read_token_files(spark, path, with_ids=False)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{i:03d}" for i in range(64)]
+    return place(table(spark, sf_dir, "documents"), shards).select("doc_id", "slot", "shard")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
     return got.drop("spans")
 
 
+_QUERIES = (
+    op1_url_filter, op2_ngram_jaccard_join, op3_html_extract, op4_packing, op5_token_files,
+    op6_sharding, op7_toxicity, op8_quality_rules, op9_pii, op10_decontaminate,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard_join, op10_decontaminate)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _OP1 = r"""
