@@ -160,6 +160,41 @@ def decontaminate(
     return parts.groupBy("row").applyInPandas(together, schema)
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    length: int = 10,
+    k: int = 5,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows without a hit, with their columns as they are; no join, no shuffle.
+
+    A benchmark beyond ``block_bytes`` is taken in blocks; what passes one is written and meets the next.
+    """
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
+    blocks = max(1, -(-int(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_bytes))
+    items = items.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+    for b in range(blocks):
+        prints = docs.sparkSession.sparkContext.broadcast(Fingerprints([(r.i, r.t) for r in items.filter(F.col("b") == b).collect()], length, k))
+        docs = docs.filter(~_hit(prints)(F.col(text)))
+        if b < blocks - 1:
+            docs = materialize(docs, "decontaminated")
+    return docs
+
+
+def _hit(prints):
+    @F.pandas_udf("boolean")
+    def hit(texts):
+        import pandas as pd
+
+        return pd.Series([bool(prints.value.hits(word_hashes(item_words(t)))[1]) for t in texts], dtype="bool")
+
+    return hit
+
+
 def _schema(source: DataFrame) -> str:
     kind = source.schema["doc_id"].dataType.simpleString()
     return f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"

@@ -291,7 +291,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, d
 
     Rows with a null id are their own component each and stay. Other columns are kept as they are.
     """
-    found = jaccard_classes(docs, shingle, percent, doc_id, text)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    found = materialize(jaccard_classes(docs, shingle, percent, doc_id, text).select("doc_id", "component_id"), "near-duplicates")
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = docs.join(stay, doc_id, "left_semi")
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id])
     return kept.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,14 +11,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mix, slices
 
 BUCKETS = 1 << 22
 #: Prefixes of a word that are features besides the word.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
+#: A word or prefix found this often in a text, or oftener, is a feature of its own for each number.
+OFTEN = (1,)
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_/\\~`^+=@…«»“”‘’¿¡"
 
 
+def _buckets(word: str) -> tuple[int, ...]:
+    bare = word.strip(_EDGES)
+    kinds = {bare, *(bare[:n] + "\x00" for n in PREFIXES if len(bare) > n)} if bare else ()
+    return tuple(xxhash.xxh3_64_intdigest(k) % BUCKETS for k in kinds)
+
+
 class WordFeatures(dict):
     """Feature buckets of a white-space separated, lower-cased word: itself and its prefixes."""
 
@@ -26,21 +35,24 @@ class WordFeatures(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        bare = word.strip(_EDGES)
-        kinds = {bare, *(bare[:n] + "\x00" for n in PREFIXES if len(bare) > n)} if bare else ()
-        got = self[word] = tuple(xxhash.xxh3_64_intdigest(k) % BUCKETS for k in kinds)
+        got = self[word] = _buckets(word)
         return got
 
 
 _features = WordFeatures()
 
 
+def _often(counts: dict[int, int]) -> list[int]:
+    return [(b + i * 1_000_003) % BUCKETS for b, n in counts.items() for i, least in enumerate(OFTEN) if n >= least]
+
+
 def text_features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a whole text."""
-    found: set[int] = set()
-    for w in set((text or "").lower().split()):
-        found.update(_features[w])
-    return np.array(sorted(found), np.uint32)
+    counts: dict[int, int] = {}
+    for w, n in Counter((text or "").lower().split()).items():
+        for b in _features[w]:
+            counts[b] = counts.get(b, 0) + n
+    return np.unique(np.array(_often(counts), np.uint32))
 
 
 @dataclass(frozen=True)
@@ -48,13 +60,14 @@ class PUConfig:
     #: About how many confirmed toxic and how many unlabelled documents the classifier is fitted on.
     positives: int = 3000
     unlabelled: int = 6000
-    #: Features must be more frequent in toxic than in unlabelled text by so many standard errors, in so many documents.
-    z: float = 4.5
-    least: int = 3
+    #: A feature must be more frequent in toxic than in unlabelled text, by a G statistic of at least this
+    #: (40 is a chance of less than 1 in a thousand million), in so many toxic documents.
+    g: float = 40.0
+    least: int = 4
     most_features: int = 2000
-    rounds: int = 400
+    rounds: int = 800
     rate: float = 0.05
-    l2: float = 1e-4
+    l2: float = 1e-5
     #: Class prior; null: the share of toxic labels among the labelled training rows.
     prior: float | None = None
 
@@ -70,14 +83,43 @@ class PUModel:
         return float(1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
+def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """The first of the sets that agree on one of eight bands of three min-hashes."""
+    seeds = mix(np.arange(1, 25, dtype=np.uint64))
+    seen: set[tuple] = set()
+    kept, blank = [], False
+    for x in rows:
+        if not len(x):
+            kept += [] if blank else [x]
+            blank = True
+            continue
+        low = [int(mix(x.astype(np.uint64) ^ s).min()) for s in seeds]
+        bands = [(i, *low[i : i + 3]) for i in range(0, 24, 3)]
+        if not any(b in seen for b in bands):
+            kept.append(x)
+        seen.update(bands)
+    return kept
+
+
+def _g_statistic(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """Likelihood ratio statistic of a in n against b in m having one rate."""
+
+    def part(k, total, rate):
+        rate = np.clip(rate, 1e-12, 1 - 1e-12)
+        return k * np.log(rate) + (total - k) * np.log1p(-rate)
+
+    both = (a + b) / (n + m)
+    return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, cfg: PUConfig = PUConfig()) -> PUModel:
     """A linear classifier of the presence of selected features, with logistic loss.
 
     The risk is ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))``; where the second term is
-    negative, a step leads back up (Kiryo et al. 2017). Repeated feature sets count once.
+    negative, a step leads back up (Kiryo et al. 2017). Copies and near copies count once, since they are
+    no independent evidence.
     """
-    positive = list({x.tobytes(): x for x in positive}.values())
-    unlabelled = list({x.tobytes(): x for x in unlabelled}.values())
+    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return PUModel({}, start, prior)
@@ -87,16 +129,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
     names, n_p = counted(positive)
     names_u, n_u = counted(unlabelled)
-    at = np.minimum(np.searchsorted(names_u, names), max(len(names_u) - 1, 0))
-    u = np.where(names_u[at] == names, n_u[at], 0) if len(names_u) else np.zeros(len(names))
+    at = np.minimum(np.searchsorted(names_u, names), len(names_u) - 1)
+    u = np.where(names_u[at] == names, n_u[at], 0)
+    big_p, big_u = len(positive), len(unlabelled)
     # Unlabelled text holds toxic documents too: what they explain isn't held against a feature.
-    p_rate, u_rate = n_p / len(positive), np.maximum(u / len(unlabelled) - prior * n_p / len(positive), 0.0)
-    error = np.sqrt((p_rate * (1 - p_rate) + 1e-9) / len(positive) + (u_rate + 0.5 / len(unlabelled)) / len(unlabelled))
-    z = (p_rate - u_rate) / error
-    # Rare words spread over many toxic documents have a small z; the ratio of rates finds them.
-    ratio = p_rate / (u_rate + 1.0 / len(unlabelled))
-    good = (n_p >= cfg.least) & (p_rate > u_rate) & ((z >= cfg.z) | (ratio >= 8) & (z >= 1.5) & (n_p >= cfg.least))
-    order = np.argsort(-(p_rate - u_rate) * np.log1p(ratio) * good, kind="stable")[: min(cfg.most_features, int(good.sum()))]
+    u = np.maximum(u - prior * big_u * n_p / big_p, 0.5)
+    g = _g_statistic(n_p, big_p, u, big_u) * (n_p / big_p > u / big_u)
+    order = np.argsort(-g, kind="stable")[: min(cfg.most_features, int(((g >= cfg.g) & (n_p >= cfg.least)).sum()))]
     chosen = np.sort(names[order])
     if not len(chosen):
         return PUModel({}, start, prior)
@@ -176,15 +215,16 @@ def score_toxicity(docs: DataFrame, model: PUModel, text: str = "text") -> Colum
         import pandas as pd
 
         m = shared.value
-        weights = m.weights
 
         class Known(dict):
+            """Of a word's buckets, those that can lead to a weight."""
+
+            bases = {(b - i * 1_000_003) % BUCKETS for b in m.weights for i in range(len(OFTEN))}
+
             def __missing__(self, word):
                 if len(self) >= WordFeatures.limit:
                     self.clear()
-                bare = word.strip(_EDGES)
-                kinds = {bare, *(bare[:n] + "\x00" for n in PREFIXES if len(bare) > n)} if bare else ()
-                got = self[word] = frozenset(b for b in (xxhash.xxh3_64_intdigest(k) % BUCKETS for k in kinds) if b in weights)
+                got = self[word] = tuple(b for b in _buckets(word) if b in self.bases)
                 return got
 
         global _scored
@@ -193,11 +233,11 @@ def score_toxicity(docs: DataFrame, model: PUModel, text: str = "text") -> Colum
         known = _scored[1]
         out = []
         for t in texts:
-            found: set[int] = set()
-            for w in set(t.lower().split()) if t else ():
-                if k := known[w]:
-                    found |= k
-            out.append(m.score(sorted(found)))
+            counts: dict[int, int] = {}
+            for w, n in Counter(t.lower().split()).items() if t else ():
+                for b in known[w]:
+                    counts[b] = counts.get(b, 0) + n
+            out.append(m.score(sorted(set(_often(counts)))))
         return pd.Series(out, dtype="float64")
 
     return score(F.col(text))
@@ -216,3 +256,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, cfg: PUConfig = PUConfig(), thr
     model = fit_toxicity(docs, labels, cfg, doc_id, text, label)
     scored = docs.select(F.col(doc_id).alias("doc_id"), score_toxicity(docs, model, text).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: PUConfig = PUConfig(), threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows that score below ``threshold``, with their columns as they are; no join, no shuffle."""
+    model = fit_toxicity(docs, labels, cfg, doc_id, text, label)
+    return docs.filter(score_toxicity(docs, model, text) < threshold)
