@@ -6,8 +6,8 @@ With ``P`` the positions of the possible cuts, the best cost of the first ``P[j]
     best[j] = penalty[j] + min over i with P[j] - P[i] <= window of best[i] + padding(P[j] - P[i]) + per_window
 
 Padding is ``window`` less the length, so the term in i is ``best[i] + P[i]`` and the minimum over the
-sliding range comes from a monotone queue; a length that is a power of two needs no padding and is
-looked up besides.
+sliding range comes from a monotone queue; a window that is a power of two long needs no padding, and
+is looked up besides where a document ends.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .tokens import open_tokenizer
 
 #: Tokens of the windows that are planned together; the last, open one goes on to the next plan.
 PLAN_WINDOWS = 64
-_ENDS = (b".", b"!", b"?", b".\"", b"\xe2\x80\xa6")
 
 
 @dataclass(frozen=True)
@@ -53,7 +52,7 @@ def cut_windows(positions: np.ndarray, penalties: np.ndarray, window: int, costs
             queue.popleft()
         i = queue[0]
         least = best[i] + p[i] + window - at
-        for w in powers:
+        for w in powers if not pen[j] else ():
             k = index.get(at - w)
             if k is not None and best[k] < least:
                 least, i = best[k], k
@@ -69,13 +68,14 @@ def cut_windows(positions: np.ndarray, penalties: np.ndarray, window: int, costs
     return ends[::-1]
 
 
-def document_cuts(parts: list[bytes], ids: list[bytes], tokens: int, window: int, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
-    """Possible cuts of a document (positions after a token, its end included) and their prices."""
-    after = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4 if ids else np.zeros(0, np.int64)
-    ends = np.fromiter((x.endswith(_ENDS) or b"\n" in x for x in parts), bool, len(parts))
-    at = np.unique(after[ends])
-    at = at[(at > 0) & (at < tokens)]
-    at = np.append(at, tokens)
+def document_cuts(ids: np.ndarray, kinds: tuple[np.ndarray, np.ndarray], costs: Costs) -> tuple[np.ndarray, np.ndarray]:
+    """Possible cuts of a document (positions after a token, its end id included) and their prices.
+
+    A sentence ends after a token of the first kind that no digit follows.
+    """
+    stop, digit = kinds
+    at = np.flatnonzero(stop[ids[:-2]] & ~digit[ids[1:-1]]) + 1
+    at = np.append(at, len(ids))
     price = np.full(len(at), costs.sentence)
     price[-1] = 0.0
     gaps = np.diff(at, prepend=0)
@@ -159,6 +159,7 @@ def pack(
         from pyspark import TaskContext
 
         tok = open_tokenizer(tokenizer, style)
+        sorts = tok.token_kinds()
         packer = Packer(TaskContext.get().partitionId() << 33, window, costs)
         end = np.array([end_id], "<u4").tobytes()
         kinds = [None, *[pa.int64()] * 6]
@@ -178,10 +179,9 @@ def pack(
         for batch in slices(batches):
             id_type = batch.column("doc_id").type
             ids_of = batch.column("doc_id").to_pylist()
-            for i, (parts, ids) in zip(ids_of, tok.encode(batch.column("text").to_pylist())):
-                tokens = sum(map(len, ids)) // 4 + 1
-                cuts, prices = document_cuts(parts, ids, tokens, window, costs)
-                yield from rows(packer.add(i, b"".join(ids) + end, cuts, prices), id_type)
+            for i, ids in zip(ids_of, tok.encode(batch.column("text").cast(pa.binary()).to_pylist())):
+                cuts, prices = document_cuts(np.frombuffer(ids + end, "<u4"), sorts, costs)
+                yield from rows(packer.add(i, ids + end, cuts, prices), id_type)
         yield from rows(packer.close(), id_type)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -141,8 +141,8 @@ def write_token_files(
             return row
 
         for batch in slices(batches):
-            for i, (_, ids) in zip(batch.column("doc_id").to_pylist(), tok.encode(batch.column("text").to_pylist())):
-                held.append((i, b"".join(ids) + end))
+            for i, ids in zip(batch.column("doc_id").to_pylist(), tok.encode(batch.column("text").cast(pa.binary()).to_pylist())):
+                held.append((i, ids + end))
                 size += len(held[-1][1]) // 4
                 if size >= file_ids:
                     yield flush()

@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Parts that a worker remembers (about 200 bytes each).
-REMEMBERED = 200_000
-#: Characters of text that are held in parts at a time.
-STEP_CHARS = 1 << 20
+#: Parts that a worker remembers in each of two generations (about 250 bytes each).
+REMEMBERED = 250_000
+#: Bytes of text that are held in parts at a time.
+STEP_BYTES = 1 << 20
 
-_ODD_SPACES = re.compile(r"\s | \s")
+#: White space beyond single spaces and line ends: bytes whose presence asks for a closer look.
+_ODD = (b"  ", b"\n ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Before a single space between two other characters.
+_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: What ends a sentence at the end of a token.
+_STOPS = (".", "!", "?", "\u2026")
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,8 +33,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered:
+    """Values of recent keys. A full generation becomes the old one, whose values are taken up again when used."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def lacks(self, keys: set) -> list:
+        """The keys of neither generation; old ones come to the new one."""
+        if len(self.now) > REMEMBERED:
+            self.now, self.old = {}, self.now
+        missing = keys.difference(self.now)
+        if self.old and missing:
+            again = {k: self.old[k] for k in missing if k in self.old}
+            self.now.update(again)
+            missing.difference_update(again)
+        return list(missing)
+
+
 class PartTokenizer:
-    """``style``: "words" for a tokenizer that drops white space, "spaces" for one whose
+    """``style``: "words" for a tokenizer that drops white space and case, "spaces" for one whose
     pre-tokenizer puts a single space before the word it precedes (byte-level BPE).
 
     Strings of special tokens in a text are ordinary text.
@@ -41,42 +66,64 @@ class PartTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.style = style
-        self.known: dict[bytes, bytes] = {}
+        self.parts_known, self.pieces = Remembered(), Remembered()
 
-    def parts(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
+    def parts(self, raw: bytes) -> list[bytes]:
         if self.style == "words":
             return raw.split()
         # Before a space between two other characters is always the end of a piece.
-        if _ODD_SPACES.search(text):
-            return [raw]
+        if any(x in raw for x in _ODD):
+            return [x.encode("utf-8", "surrogatepass") for x in _SAFE_CUT.split(raw.decode("utf-8", "surrogatepass"))]
         first, *rest = raw.split(b" ")
         return [*([first] if first else []), *[b" " + x for x in rest]]
 
-    def _encode(self, parts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[list[bytes], list[bytes]]]:
-        """For each text its parts and their ids (little-endian unsigned 32-bit integers)."""
+    def token_kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every id, whether its token ends a sentence and whether it starts with a digit."""
+        n = self.tokenizer.get_vocab_size()
+        stop, digit = np.zeros(n, bool), np.zeros(n, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            bare = token.removesuffix("</w>")
+            stop[i], digit[i] = bare.endswith(_STOPS), bare[:1].isdigit()
+        return stop, digit
+
+    def _split(self, part: bytes) -> list[bytes]:
+        """Pieces of a part between which the pre-tokenizer cuts: a last comma or stop after a letter, a line end
+        between ASCII characters. They are fewer than the parts, and what is encoded."""
+        if self.style == "words":
+            part = part.lower()
+        elif part.count(b"\n") == 1:
+            a, _, b = part.partition(b"\n")
+            if a and b and 32 < a[-1] < 127 and 32 < b[0] < 127:
+                return [*self._split(a), b"\n", *self._split(b)]
+        if part[-1:] in (b",", b".") and part[-2:-1].isalpha():
+            return [part[:-1], part[-1:]]
+        return [part]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        split = [self._split(p) for p in parts]
+        new = self.pieces.lacks({x for s in split for x in s})
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
+        self.pieces.now.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, got))
+        get = self.pieces.now.__getitem__
+        self.parts_known.now.update((p, b"".join(map(get, s))) for p, s in zip(parts, split))
+
+    def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """For each text (UTF-8) its ids, as little-endian unsigned 32-bit integers."""
         held: list[list[bytes]] = []
-        chars = 0
-        for text in texts:
-            held.append(self.parts(text) if text else [])
-            chars += len(text or "")
-            if chars >= STEP_CHARS:
+        size = 0
+        for raw in texts:
+            held.append(self.parts(raw) if raw else [])
+            size += len(raw or b"")
+            if size >= STEP_BYTES:
                 yield from self._all(held)
-                held, chars = [], 0
+                held, size = [], 0
         yield from self._all(held)
 
-    def _all(self, held: list[list[bytes]]) -> Iterator[tuple[list[bytes], list[bytes]]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*held).difference(self.known))
-        self.known.update(zip(new, self._encode(new)))
-        get = self.known.__getitem__
+    def _all(self, held: list[list[bytes]]) -> Iterator[bytes]:
+        self._learn(self.parts_known.lacks(set().union(*held)))
+        get = self.parts_known.now.__getitem__
         for parts in held:
-            yield parts, list(map(get, parts))
+            yield b"".join(map(get, parts))
 
 
 _open: dict[tuple[str, str], PartTokenizer] = {}
