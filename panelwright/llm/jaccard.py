@@ -89,43 +89,26 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, c``: size and class of every row's set."""
-
-    def run(batches):
-        for batch in slices(batches):
-            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n", "c"],
-            )
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long")
-
-
-def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``key, c``: the parts of every row's set, without those of a class the same batch had."""
+def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, n, c, keys``: size, class and part keys of every row's set; no keys for a class the batch had before."""
 
     def run(batches):
         bands = Bands(percent)
         for batch in slices(batches):
-            keys, classes, seen = [], [], set()
+            sizes, classes, keys, seen = [], [], [], set()
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, k)
-                c = class_of(s)
-                if c in seen:
-                    continue
+                c = class_of(s) if len(s) else None
+                sizes.append(len(s))
+                classes.append(c)
+                keys.append([] if c is None or c in seen else signatures(s, bands).view(np.int64))
                 seen.add(c)
-                got = signatures(s, bands).view(np.int64)
-                if len(got):
-                    keys.append(got)
-                    classes.append(np.full(len(got), c, np.int64))
-            if keys:
-                keys, classes = np.concatenate(keys), np.concatenate(classes)
-                for i in range(0, len(keys), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000]), pa.array(classes[i : i + 20_000])], ["key", "c"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n", "c", "keys"],
+            )
 
-    return docs.select("text").mapInArrow(run, "key long, c long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long, keys array<long>")
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -230,7 +213,7 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s binary")
 
     def decide(pdf):
@@ -269,12 +252,13 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(_sets(docs, shingle), "shingle-sets")
-    keys = _keys(docs, shingle, percent)
+    base = materialize(_sets(docs, shingle, percent), "shingle-sets")
+    sets, keys = base.select("doc_id", "n", "c"), base.select(F.explode("keys").alias("key"), "c")
     # A key that two classes share gives each but the smallest one edge.
     first = keys.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z")
     first = materialize(first.select("key", "a"), "shared-parts")
-    edges = keys.join(first, "key").select("a", F.col("c").alias("b")).filter("a <> b").distinct()
+    # Both sides grow with the documents, so they meet by sorting at every size.
+    edges = keys.join(first.hint("merge"), "key").select("a", F.col("c").alias("b")).filter("a <> b").distinct()
     clusters = components(edges)
     reps = sets.filter("c is not null").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"))
     linked = components(_links(docs, clusters, reps, shingle, percent))
