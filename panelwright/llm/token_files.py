@@ -47,7 +47,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)
 
 
-def encode_file(docs: list[tuple[object, bytes]], bits: bool = False, block: int = BLOCK, level: int = 3) -> bytes:
+def encode_file(docs: list[tuple[object, bytes]], bits: bool = False, block: int = BLOCK, level: int = 1) -> bytes:
     """``docs``: ids of documents and their token ids as little-endian unsigned 32-bit integers."""
     packer = zstandard.ZstdCompressor(level=level)
     ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Parts that a worker remembers in each of two generations (about 250 bytes each).
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Bytes of text that are held in parts at a time.
 STEP_BYTES = 1 << 20
 

@@ -175,13 +175,13 @@ def test_cut_windows_is_optimal():
         best = {0: 0.0}
         for j, (p, price) in enumerate(zip(positions.tolist(), prices.tolist())):
             free = lambda n: n in (256, 512, 1024)
-            best[p] = min(best[q] + (0 if free(p - q) else window - p + q) + price + costs.per_window for q in best if p - q <= window)
+            best[p] = min(best[q] + (0 if free(p - q) and (not price or p - q == window) else window - p + q) + price + costs.per_window for q in best if p - q <= window)
         ends = cut_windows(positions, prices, window, costs)
         cost, at = 0.0, 0
         price_of = dict(zip(positions.tolist(), prices.tolist()))
         for e in ends:
             n = e - at
-            cost += (0 if n in (256, 512, 1024) else window - n) + price_of[e] + costs.per_window
+            cost += (0 if n in (256, 512) and not price_of[e] else window - n) + price_of[e] + costs.per_window
             at = e
         assert at == positions[-1] and cost == pytest.approx(best[at])
 
