@@ -174,11 +174,11 @@ def jump_flag(d):
 
 
 @query(""", m AS (SELECT user_id, CAST(day(ts) AS BIGINT) AS day, sum(value) AS total, sum(CASE WHEN event_type = 'click' THEN value END) AS click FROM events GROUP BY 1, 2)
- SELECT user_id, round(avg(total), 4) AS mean_total, count(*) AS n_days, round(sum(click) / nullif(sum(total), 0), 6) AS share_click, round(1 - coalesce(sum(click) / nullif(sum(total), 0), 0), 6) AS share_other, count(*) < 12 AS lt12 FROM m GROUP BY 1""")
+ SELECT user_id, round(avg(total), 7) AS mean_total, count(*) AS n_days, round(sum(click) / nullif(sum(total), 0), 6) AS share_click, round(1 - coalesce(sum(click) / nullif(sum(total), 0), 0), 6) AS share_other, count(*) < 12 AS lt12 FROM m GROUP BY 1""")
 def monthly_to_annual_shares(d):
     m = d.events.groupBy("user_id", F.dayofmonth("ts").cast("long").alias("day")).agg(F.sum("value").alias("total"), F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("click"))
     share = F.try_divide(F.sum("click"), F.sum("total"))
-    return m.groupBy("user_id").agg(F.round(F.avg("total"), 4).alias("mean_total"), F.count("*").alias("n_days"), F.round(share, 6).alias("share_click"), F.round(1 - F.coalesce(share, F.lit(0.0)), 6).alias("share_other"), (F.count("*") < 12).alias("lt12"))
+    return m.groupBy("user_id").agg(F.round(F.avg("total"), 7).alias("mean_total"), F.count("*").alias("n_days"), F.round(share, 6).alias("share_click"), F.round(1 - F.coalesce(share, F.lit(0.0)), 6).alias("share_other"), (F.count("*") < 12).alias("lt12"))
 
 
 @query("""SELECT id, year, max(CASE WHEN indicator = 'spend' THEN value END) AS spend, max(CASE WHEN indicator = 'n_orders' THEN value END) AS n_orders FROM long GROUP BY 1, 2""")

@@ -313,3 +313,37 @@ def ward_heights(d):
         return pd.DataFrame({"year": int(pdf.year.iloc[0]), "k": k, "height": h[k - 2].round(6), "jump": (h[k - 2] - h[k - 1]).round(6), "ratio": (h[k - 2] / h[k - 1]).round(6)})
 
     return d.features().groupBy("year").applyInPandas(one, "year long, k long, height double, jump double, ratio double")
+
+
+@query("""SELECT d.y AS y0, d.e AS y1, CAST(list_distinct([round_even(d.y + i * (d.e - d.y) / 2.0, 0) FOR i IN [0, 1, 2]])[2] AS BIGINT) AS middle FROM (SELECT CAST(year(min(o_orderdate)) AS BIGINT) AS y, CAST(year(max(o_orderdate)) AS BIGINT) AS e FROM orders) d""")
+def default_periods(d):
+    y = d.orders.agg(F.year(F.min("o_orderdate")).cast("long").alias("y0"), F.year(F.max("o_orderdate")).cast("long").alias("y1"))
+    return y.select("y0", "y1", F.element_at(T.default_periods(F.col("y0"), F.col("y1"), 3), 2).alias("middle"))
+
+
+@query("""SELECT label, 'K' || CAST(label + 1 AS VARCHAR) AS code, count(*) AS n FROM types GROUP BY 1""")
+def cluster_codes(d):
+    return d.types().groupBy("label", T.cluster_code(F.col("label")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(_T + """, l AS (SELECT year, label FROM types GROUP BY 1, 2) SELECT n.year AS y0, n.next AS y1, (SELECT count(*) FROM l b WHERE b.year = n.next AND NOT EXISTS (SELECT 1 FROM l a WHERE a.year = n.year AND a.label = b.label)) AS appeared FROM ny n WHERE n.next IS NOT NULL""")
+def new_types(d):
+    l = d.types().groupBy("year").agg(F.collect_set("label").alias("l"))
+    w = W.partitionBy(F.lit(1)).orderBy("year")  # a row a year
+    return l.select(F.col("year").alias("y0"), F.lead("year").over(w).alias("y1"), F.size(F.array_except(F.lead("l").over(w), "l")).cast("long").alias("appeared")).filter("y1 is not null")
+
+
+@query("SELECT id, spend, year FROM wide ORDER BY abs(ln(spend / 100000)) DESC, id, year LIMIT 20")
+def top_deviations(d):
+    return d.wide().select("id", "spend", "year").orderBy(F.desc(F.abs(F.ln(F.col("spend") / 100000))), "id", "year").limit(20)
+
+
+@query("SELECT district, label, n FROM (SELECT e.district, t.label, count(*) AS n FROM types t JOIN entities e USING (id) WHERE t.year = 1999 GROUP BY 1, 2)")
+def label_by_district(d):
+    return d.types().filter("year = 1999").join(d.entities().select("id", "district"), "id").groupBy("district", "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, count(*) AS n_years, mode(n) AS usual FROM (SELECT id, year, n_orders AS n FROM wide WHERE id % 2 = 0) GROUP BY 1 HAVING count(DISTINCT n) = 1")
+def constant_entities(d):
+    w = d.wide().filter("id % 2 = 0")
+    return w.groupBy("id").agg(F.count("*").alias("n_years"), F.mode("n_orders").alias("usual"), F.count_distinct("n_orders").alias("k")).filter("k = 1").drop("k")
