@@ -239,3 +239,48 @@ def pooled_assign(d):
     c = F.broadcast(_centres(d).withColumnRenamed("label", "to"))  # a row a cluster
     dist = F.round(N.squared([F.col(x) for x in X5], [F.col(f"c_{x}") for x in X5]), 6)
     return d.features().drop("label").crossJoin(c).groupBy("id").agg(F.min_by("to", F.struct(dist, "to")).alias("label"))
+
+
+_V = "sqrt(" + " + ".join(f"v_{c} * v_{c}" for c in X5) + ")"
+
+
+def _near(u):
+    return "count(*) FILTER (sqrt(" + " + ".join(f"pow(f.{c} - ({u.format(c=c)}), 2)" for c in X5) + ") <= r)"
+
+
+@query(_CEN + f""", g AS (SELECT sqrt(sum({_V})) / count(*) AS r, avg({_V}) AS m, count(*) AS k FROM cen),
+ al AS (SELECT sqrt({' + '.join(f'pow(var_pop({c}), 2)' for c in X5)}) AS s FROM features),
+ d AS (SELECT a.label AS a, b.label AS b, {_near('(a.c_{c} + b.c_{c}) / 2')} AS du, greatest({_near('a.c_{c}')}, {_near('b.c_{c}')}) AS dm
+  FROM cen a JOIN cen b ON a.label <> b.label JOIN features f ON f.label IN (a.label, b.label), g GROUP BY 1, 2)
+ SELECT round(any_value(m) / any_value(s) + sum(CASE WHEN dm > 0 THEN du / dm ELSE 0 END) / (any_value(k) * (any_value(k) - 1)), 6) AS s_dbw FROM d, g, al""")
+def s_dbw(d):
+    v = lambda p: F.sqrt(sum((F.col(f"{p}{c}") * F.col(f"{p}{c}") for c in X5[1:]), F.col(f"{p}x0") * F.col(f"{p}x0")))
+    c = _centres(d)
+    g = c.agg((F.sqrt(F.sum(v("v_"))) / F.count("*")).alias("r"), F.avg(v("v_")).alias("m"), F.count("*").alias("k"))
+    whole = d.features().agg(*[F.var_pop(x).alias(f"w_{x}") for x in X5]).select(v("w_").alias("s"))
+    a = c.select(F.col("label").alias("a"), *[F.col(f"c_{x}").alias(f"a_{x}") for x in X5])
+    b = c.select(F.col("label").alias("b"), *[F.col(f"c_{x}").alias(f"b_{x}") for x in X5])
+    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b")).crossJoin(g).withColumn("label", F.explode(F.array("a", "b")))  # labels with labels
+    f = d.features().join(F.broadcast(pairs), "label")
+    at = lambda u: F.count_if(F.sqrt(N.squared([F.col(x) for x in X5], u)) <= F.col("r"))
+    mid = [(F.col(f"a_{x}") + F.col(f"b_{x}")) / 2 for x in X5]
+    dens = f.groupBy("a", "b").agg(at(mid).alias("du"), F.greatest(at([F.col(f"a_{x}") for x in X5]), at([F.col(f"b_{x}") for x in X5])).alias("dm"))
+    total = dens.agg(F.sum(F.when(F.col("dm") > 0, F.try_divide(F.col("du"), F.col("dm"))).otherwise(0.0)).alias("t"))
+    return total.crossJoin(g).crossJoin(whole).select(F.round(F.col("m") / F.col("s") + F.col("t") / (F.col("k") * (F.col("k") - 1)), 6).alias("s_dbw"))  # single rows
+
+
+_KM = """, geo AS (SELECT id, CAST((id * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((id * 91) % 360 - 180 AS DOUBLE) AS lon FROM features),
+ km AS (SELECT p.*, 2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))) AS km
+  FROM p JOIN geo a ON a.id = p.src JOIN geo b ON b.id = p.dst)"""
+
+
+@query(_PAIRS.format(_D["l1"]) + _KM + """SELECT year, src, dst, round(0.6 * distance / max(distance) OVER (PARTITION BY year) + 0.4 * km / max(km) OVER (PARTITION BY year), 6) AS combined FROM km""")
+def combined_distance(d):
+    """Economic and line distance, each over its year's largest, weighted 0.6 to 0.4."""
+    i = F.col("id")
+    geo = d.features().select(i, ((i * 37) % 140 - 70).cast("double").alias("lat"), ((i * 91) % 360 - 180).cast("double").alias("lon"))
+    ends = _pairs(d).join(geo.withColumnsRenamed({"id": "src", "lat": "lat1", "lon": "lon1"}), "src").join(geo.withColumnsRenamed({"id": "dst", "lat": "lat2", "lon": "lon2"}), "dst")
+    km = ends.withColumn("km", T.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    top = km.groupBy("year").agg(F.max("distance").alias("e"), F.max("km").alias("g"))
+    j = km.join(F.broadcast(top), "year")  # a row a year
+    return j.select("year", "src", "dst", F.round(0.6 * F.try_divide(F.col("distance"), F.col("e")) + 0.4 * F.try_divide(F.col("km"), F.col("g")), 6).alias("combined"))
