@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, materialize, mix, slices, word_hashes
@@ -29,7 +30,9 @@ from .components import components
 #: agree on one that is not empty, the others also use their empty parts.
 SPARE = 3
 #: A size band ends where the sizes are this many times its start.
-BAND = 1.3
+BAND = 1.6
+#: Classes that a task remembers to pass over copies.
+SEEN = 200_000
 #: Blocks: least and most classes, and most bytes of hashes.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_BYTES = 256, 4096, 8 << 20
 
@@ -89,26 +92,45 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, c, keys``: size, class and part keys of every row's set; no keys for a class the batch had before."""
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, n, c``: size and class of every row's set."""
 
     def run(batches):
-        bands = Bands(percent)
         for batch in slices(batches):
-            sizes, classes, keys, seen = [], [], [], set()
+            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())],
+                ["doc_id", "n", "c"],
+            )
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long")
+
+
+def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``key, c``: the parts of every row's set; of copies that a task meets, those of the first (it remembers a bounded number)."""
+
+    def run(batches):
+        bands, seen = Bands(percent), set()
+        for batch in slices(batches):
+            keys, classes = [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, k)
-                c = class_of(s) if len(s) else None
-                sizes.append(len(s))
-                classes.append(c)
-                keys.append([] if c is None or c in seen else signatures(s, bands).view(np.int64))
+                c = class_of(s)
+                if c in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "c", "keys"],
-            )
+                got = signatures(s, bands).view(np.int64)
+                if len(got):
+                    keys.append(got)
+                    classes.append(np.full(len(got), c, np.int64))
+            if keys:
+                keys, classes = np.concatenate(keys), np.concatenate(classes)
+                for i in range(0, len(keys), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000]), pa.array(classes[i : i + 20_000])], ["key", "c"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long, keys array<long>")
+    return docs.select("text").mapInArrow(run, "key long, c long")
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -175,7 +197,7 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
     size = F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.ceil(F.col("m") / 16), F.lit(BLOCK_MOST))), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("top")))))
     blocks = materialize(count.select("g", "band", F.ceil(F.col("m") / size).cast("int").alias("nb")), "blocks")
     # The tiles of a block: with the blocks of its own band, and of the next ones that similar sets reach.
-    far = bands.of(int(bands.starts[40] * 100 / percent)) - 40 + 2
+    far = bands.of(int(bands.starts[30] * 100 / percent)) - 30 + 2
     steps = F.sequence(F.lit(0), F.lit(far))
     mine = blocks.select("g", "band", F.col("nb").alias("nb0"), F.explode(steps).alias("step")).withColumn("band1", F.col("band") + F.col("step"))
     theirs = blocks.select("g", F.col("band").alias("band1"), F.col("nb").alias("nb1"))
@@ -252,13 +274,10 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    base = materialize(_sets(docs, shingle, percent), "shingle-sets")
-    sets, keys = base.select("doc_id", "n", "c"), base.select(F.explode("keys").alias("key"), "c")
-    # A key that two classes share gives each but the smallest one edge.
-    first = keys.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z")
-    first = materialize(first.select("key", "a"), "shared-parts")
-    # Both sides grow with the documents, so they meet by sorting at every size.
-    edges = keys.join(first.hint("merge"), "key").select("a", F.col("c").alias("b")).filter("a <> b").distinct()
+    sets = materialize(_sets(docs, shingle), "shingle-sets")
+    # A part that classes share gives each but the smallest one edge. One shuffle brings the classes of a part together.
+    least = F.min("c").over(W.partitionBy("key"))
+    edges = _keys(docs, shingle, percent).select("c", least.alias("a")).filter("a <> c").select("a", F.col("c").alias("b")).distinct()
     clusters = components(edges)
     reps = sets.filter("c is not null").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"))
     linked = components(_links(docs, clusters, reps, shingle, percent))
