@@ -34,7 +34,7 @@ BAND = 1.6
 #: Classes that a task remembers to pass over copies.
 SEEN = 200_000
 #: Blocks: least and most classes, and most bytes of hashes.
-BLOCK_LEAST, BLOCK_MOST, BLOCK_BYTES = 256, 4096, 8 << 20
+BLOCK_LEAST, BLOCK_MOST, BLOCK_BYTES = 1024, 8192, 8 << 20
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
     )
     # Blocks of a band: bounded in classes and in bytes.
     count = members.groupBy("g", "band").agg(F.count("*").alias("m"), F.max("n").alias("top"))
-    size = F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.ceil(F.col("m") / 16), F.lit(BLOCK_MOST))), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("top")))))
+    size = F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.ceil(F.col("m") / 8), F.lit(BLOCK_MOST))), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("top")))))
     blocks = materialize(count.select("g", "band", F.ceil(F.col("m") / size).cast("int").alias("nb")), "blocks")
     # The tiles of a block: with the blocks of its own band, and of the next ones that similar sets reach.
     far = bands.of(int(bands.starts[30] * 100 / percent)) - 30 + 2
