@@ -9,9 +9,10 @@ Every document becomes the set of its n-grams (64-bit hashes). Equal sets are on
    the components of these edges are clusters that no link leaves.
 2. Tiles: the classes of a cluster are cut by size band and, beyond a bounded number, by hash
    into blocks; a tile is a pair of blocks whose bands can hold similar sets.
-3. In a tile, hashed bitmaps bound the overlap from above by bit counts; pairs that pass are
-   decided by intersecting the sorted arrays. Pairs that the tile has linked already are skipped,
-   so a tile gives fewer links than it has rows.
+3. Tiles of bitmaps: hashed bitmaps bound the overlap from above by bit counts. The components of
+   the pairs that pass are smaller clusters; most classes fall out here, and no set was moved yet.
+4. Tiles of sets, from these clusters: pairs that pass the bitmaps are decided by intersecting the
+   sorted arrays. Pairs that a tile has linked already are skipped, so it gives fewer links than rows.
 """
 
 from __future__ import annotations
@@ -93,17 +94,17 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, c``: size and class of every row's set."""
+    """``doc_id, n, c, bits``: size, class and bitmap of every row's set."""
 
     def run(batches):
         for batch in slices(batches):
             sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n", "c"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "n", "c", "bits"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long, bits binary")
 
 
 def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -133,59 +134,49 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, c long")
 
 
-def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits // 8), np.uint8)
-    for row, s in zip(out, sets):
-        at = ((s >> np.uint64(7)) % np.uint64(bits)).astype(np.int64)
-        on = np.zeros(bits, np.uint8)
-        on[at] = 1
-        row[:] = np.packbits(on)
-    return out.view(np.uint64)
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed bitmap of a set, four to eight bits an element; :func:`fold` makes it narrower."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
+    on = np.zeros(bits, np.uint8)
+    on[((s >> np.uint64(7)) % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(on).tobytes()
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that span what the pairs of left and right sets (null: of the left sets) connect.
+def fold(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of one matrix, each folded to the width of the narrowest."""
+    width = min(map(len, maps)) // 8
+    out = np.empty((len(maps), width), np.uint64)
+    for row, m in zip(out, maps):
+        np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, width), axis=0, out=row)
+    return out
 
-    Positions in left, then, from ``len(left)`` on, in right.
+
+def tile_links(maps: list[bytes], sizes: np.ndarray, n: int | None, percent: int, similar=None) -> list[tuple[int, int]]:
+    """Links that span what the pairs of a tile connect, as positions.
+
+    The first ``n`` are paired with the others (null: all with all); each side is sorted by size. Pairs
+    whose bitmaps allow it are linked if ``similar(i, j)``, without that function at once.
     """
-    sets = left + (right or [])
-    n, top = len(left), max(map(len, sets))
-    sizes = np.array([len(s) for s in sets])
-    maps = _bitmaps(sets, 1 << max(6, int(2 * top - 1).bit_length()))
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for i in range(n):
-        lo, hi = (i + 1, n) if right is None else (n, len(sets))
-        for at in range(lo, hi, 512):
-            to = min(at + 512, hi)
+    maps, label, links = fold(maps), np.arange(len(maps)), []
+    for i in range(len(maps) if n is None else n):
+        lo = i + 1 if n is None else n + int(np.searchsorted(sizes[n:], -(-int(sizes[i]) * percent // 100)))
+        hi = lo + int(np.searchsorted(sizes[lo:], int(sizes[i]) * 100 // percent, "right"))
+        for at in range(lo, hi, 1024):
+            to = min(at + 1024, hi)
             # Each element that only one set has changes one bit at most, so the bits that differ
             # bound the overlap from above.
             differ = np.bitwise_count(maps[at:to] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            both = sizes[at:to] + sizes[i]
-            for j in (np.flatnonzero(differ * (100 + percent) <= both * (100 - percent)) + at).tolist():
-                a, b = find(i), find(j)
-                if a == b:
-                    continue
-                total = len(sets[i]) + len(sets[j])
-                merged = np.concatenate((sets[i], sets[j]))
-                merged.sort(kind="stable")
-                shared = int((merged[1:] == merged[:-1]).sum())
-                if 100 * shared >= percent * (total - shared):
-                    parent[max(a, b)] = min(a, b)
+            may = (differ * (100 + percent) <= (sizes[at:to] + sizes[i]) * (100 - percent)) & (label[at:to] != label[i])
+            for j in (np.flatnonzero(may) + at).tolist():
+                if label[i] != label[j] and (similar is None or similar(i, j)):
+                    label[label == label[j]] = label[i]
                     links.append((i, j))
     return links
 
 
-def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b``: linked classes, from the tiles of every cluster."""
-    bands = Bands(percent)
+def _seats(clusters: DataFrame, reps: DataFrame, bands: Bands, per_element: int) -> DataFrame:
+    """``c, doc_id, tile, side``: the tiles of every class of a cluster; an element takes so many bytes there."""
+    percent = bands.t
     starts = F.array(*[F.lit(x) for x in bands.starts if x < 1 << 31])
     members = materialize(
         clusters.select(F.col("node").alias("c"), F.col("root").alias("g")).join(reps, "c")
@@ -194,7 +185,7 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
     )
     # Blocks of a band: bounded in classes and in bytes.
     count = members.groupBy("g", "band").agg(F.count("*").alias("m"), F.max("n").alias("top"))
-    size = F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.ceil(F.col("m") / 8), F.lit(BLOCK_MOST))), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("top")))))
+    size = F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.ceil(F.col("m") / 8), F.lit(BLOCK_MOST))), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (per_element * F.col("top")))))
     blocks = materialize(count.select("g", "band", F.ceil(F.col("m") / size).cast("int").alias("nb")), "blocks")
     # The tiles of a block: with the blocks of its own band, and of the next ones that similar sets reach.
     far = bands.of(int(bands.starts[30] * 100 / percent)) - 30 + 2
@@ -226,39 +217,71 @@ def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percen
     seats = materialize(same.unionByName(lower).unionByName(upper).select("c", "doc_id", "x.tile", "x.side"), "seats")
     # Tiles with one row hold no pair, and those with one side only neither.
     useful = seats.groupBy("tile").agg(F.count("*").alias("rows"), F.min("side").alias("s0"), F.max("side").alias("s1")).filter("rows > 1 and (s0 <> s1 or s0 = 2)").select("tile")
-    seats = materialize(seats.join(useful, "tile"), "seats")
-    wanted = seats.select("doc_id").distinct()
+    return materialize(seats.join(useful, "tile"), "seats")
 
-    def run(batches):
-        for batch in slices(batches):
-            sets = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s binary")
+def _same_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The join on class and id; the class tells rows of one id with other texts apart, ids may be null."""
+    r = right.withColumnRenamed("doc_id", "_id").withColumnRenamed("c", "_c")
+    return left.join(r, left.doc_id.eqNullSafe(r._id) & (left.c == r._c)).drop("_id", "_c")
+
+
+def _tile_rows(pdf):
+    """The classes of a tile by side and size, and how many stand left (null: no sides)."""
+    pdf = pdf.drop_duplicates("c").sort_values(["side", "n"])
+    return pdf, None if (pdf.side == 2).any() else int((pdf.side == 0).sum())
+
+
+def _candidates(sets: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: edges that connect all classes whose bitmaps allow a link; tiles carry bitmaps, not sets."""
 
     def decide(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("c").sort_values("side")
-        classes = pdf.c.tolist()
-        arrays = [np.frombuffer(b, np.uint64) for b in pdf.s]
-        n = int((pdf.side != 1).sum())
-        lone = bool((pdf.side == 2).any())
-        got = tile_links(arrays, None, percent) if lone else tile_links(arrays[:n], arrays[n:], percent)
-        return pd.DataFrame([(classes[i], classes[j]) for i, j in got], columns=["a", "b"], dtype="int64")
-
-    # The class tells rows of one doc_id with other texts apart.
-    def keep_own(pdf_batches):
-        for batch in slices(pdf_batches):
-            s, c = batch.column("s").to_pylist(), batch.column("c").to_pylist()
-            yield batch.filter(pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) == y for x, y in zip(s, c)], pa.bool_()))
-
-    rows = seats.join(sets, "doc_id").select("tile", "side", "c", "s").mapInArrow(keep_own, "tile long, side int, c long, s binary")
+        pdf, n = _tile_rows(pdf)
+        c = pdf.c.tolist()
+        got = tile_links(pdf.bits.tolist(), pdf.n.to_numpy(), n, percent)
+        return pd.DataFrame([(c[i], c[j]) for i, j in got], columns=["a", "b"], dtype="int64")
+
+    seats = _seats(clusters, reps, Bands(percent), 1)
+    rows = _same_row(seats, sets.select("doc_id", "c", "n", "bits")).select("tile", "side", "c", "n", "bits")
     return rows.groupBy("tile").applyInPandas(decide, "a long, b long")
 
 
+def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: linked classes, from the tiles of every cluster."""
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "c", "n", "s"],
+            )
+
+    def decide(pdf):
+        import pandas as pd
+
+        pdf, n = _tile_rows(pdf)
+        c, sets = pdf.c.tolist(), [np.frombuffer(b, np.uint64) for b in pdf.s]
+
+        def similar(i, j):
+            merged = np.concatenate((sets[i], sets[j]))
+            merged.sort(kind="stable")
+            shared = int((merged[1:] == merged[:-1]).sum())
+            return 100 * shared >= percent * (len(merged) - shared)
+
+        got = tile_links([bitmap(s) for s in sets], pdf.n.to_numpy(), n, percent, similar)
+        return pd.DataFrame([(c[i], c[j]) for i, j in got], columns=["a", "b"], dtype="int64")
+
+    seats = _seats(clusters, reps, Bands(percent), 8)
+    wanted = seats.select(F.col("doc_id").alias("_id")).distinct().hint("merge")
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted._id), "left_semi").dropDuplicates(["doc_id", "text"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, c long, n long, s binary")
+    return _same_row(seats, sets).select("tile", "side", "c", "n", "s").groupBy("tile").applyInPandas(decide, "a long, b long")
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, class_id, component_id``.
 
@@ -278,8 +301,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     # A part that classes share gives each but the smallest one edge. One shuffle brings the classes of a part together.
     least = F.min("c").over(W.partitionBy("key"))
     edges = _keys(docs, shingle, percent).select("c", least.alias("a")).filter("a <> c").select("a", F.col("c").alias("b")).distinct()
-    clusters = components(edges)
     reps = sets.filter("c is not null").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"))
+    clusters = components(_candidates(sets, components(edges), reps, percent))
     linked = components(_links(docs, clusters, reps, shingle, percent))
     least = reps.join(linked.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
     root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
