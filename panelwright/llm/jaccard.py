@@ -5,18 +5,21 @@ Every document becomes the set of its n-grams (64-bit hashes). Equal sets are on
 1. Blocking: two sets of sizes a and b that are similar enough differ in at most
    ``(100 - t) * (a + b) / (100 + t)`` elements. Elements are dealt into more parts than that by their
    hash, so similar sets agree on a whole part. Classes that agree on a part in one size band
-   get an edge to the smallest class there (as many edges as rows, however large the group), and
-   the components of these edges are clusters that no link leaves.
-2. Tiles: the classes of a cluster are cut by size band and, beyond a bounded number, by hash
-   into blocks; a tile is a pair of blocks whose bands can hold similar sets.
-3. Tiles of bitmaps: hashed bitmaps bound the overlap from above by bit counts. The components of
-   the pairs that pass are smaller clusters; most classes fall out here, and no set was moved yet.
+   get an edge to the smallest class there (as many edges as rows, however large the group). A
+   class and all that have an edge to it are a star; both ends of every link stand in one of them.
+2. Tiles: a star or cluster of bounded size is one tile. Of a larger one, the classes are cut by size
+   band and hash into blocks; a tile is a pair of blocks whose bands can hold similar sets.
+3. Tiles of bitmaps, from the stars: hashed bitmaps bound the overlap from above by bit counts. The
+   components of the pairs that pass are clusters; most classes fall out here, and no set was moved yet.
 4. Tiles of sets, from these clusters: pairs that pass the bitmaps are decided by intersecting the
    sorted arrays. Pairs that a tile has linked already are skipped, so it gives fewer links than rows.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -175,7 +178,7 @@ def tile_links(maps: list[bytes], sizes: np.ndarray, n: int | None, percent: int
 
 
 def _seats(clusters: DataFrame, reps: DataFrame, bands: Bands, per_element: int) -> DataFrame:
-    """``c, doc_id, tile, side``: the tiles of every class of a cluster; an element takes so many bytes there."""
+    """``c, doc_id, tile, side``: the tiles of every class in its clusters ``node, root``; an element takes so many bytes there."""
     percent = bands.t
     starts = F.array(*[F.lit(x) for x in bands.starts if x < 1 << 31])
     members = materialize(
@@ -183,8 +186,13 @@ def _seats(clusters: DataFrame, reps: DataFrame, bands: Bands, per_element: int)
         .withColumn("band", F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1),
         "members",
     )
+    count = materialize(members.groupBy("g", "band").agg(F.count("*").alias("m"), F.max("n").alias("top")), "sizes")
+    # A cluster that a task holds at ease is one tile.
+    total = count.groupBy("g").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("top")).alias("elements"))
+    small = materialize(total.filter((F.col("m") <= BLOCK_LEAST) & (F.col("elements") * per_element <= BLOCK_BYTES)).select("g"), "small-clusters").hint("merge")
+    whole = members.join(small, "g", "left_semi").select("c", "doc_id", F.xxhash64("g").alias("tile"), F.lit(2).alias("side"))
+    members, count = materialize(members.join(small, "g", "left_anti"), "large-members"), count.join(small, "g", "left_anti")
     # Blocks of a band: bounded in classes and in bytes.
-    count = members.groupBy("g", "band").agg(F.count("*").alias("m"), F.max("n").alias("top"))
     size = F.least(F.greatest(F.lit(BLOCK_LEAST), F.least(F.ceil(F.col("m") / 8), F.lit(BLOCK_MOST))), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (per_element * F.col("top")))))
     blocks = materialize(count.select("g", "band", F.ceil(F.col("m") / size).cast("int").alias("nb")), "blocks")
     # The tiles of a block: with the blocks of its own band, and of the next ones that similar sets reach.
@@ -217,7 +225,7 @@ def _seats(clusters: DataFrame, reps: DataFrame, bands: Bands, per_element: int)
     seats = materialize(same.unionByName(lower).unionByName(upper).select("c", "doc_id", "x.tile", "x.side"), "seats")
     # Tiles with one row hold no pair, and those with one side only neither.
     useful = seats.groupBy("tile").agg(F.count("*").alias("rows"), F.min("side").alias("s0"), F.max("side").alias("s1")).filter("rows > 1 and (s0 <> s1 or s0 = 2)").select("tile")
-    return materialize(seats.join(useful, "tile"), "seats")
+    return materialize(whole.unionByName(seats.join(useful, "tile").select(whole.columns)), "seats")
 
 
 def _same_row(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -232,20 +240,32 @@ def _tile_rows(pdf):
     return pdf, None if (pdf.side == 2).any() else int((pdf.side == 0).sum())
 
 
-def _candidates(sets: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: edges that connect all classes whose bitmaps allow a link; tiles carry bitmaps, not sets."""
+def _candidates(sets: DataFrame, stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: edges that connect all classes whose bitmaps allow a link; tiles carry bitmaps, not sets.
 
-    def decide(pdf):
-        import pandas as pd
+    Most tiles hold a few classes, so a task reads its tiles one after the other, a tile at a time.
+    """
+    columns = ["tile", "side", "n", "c", "bits"]
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch.column(x).to_pylist() for x in columns)))
+        got = []
+        for _, tile in groupby(rows, itemgetter(0)):
+            _, side, n, c, maps = zip(*{row[3]: row for row in tile}.values())
+            links = tile_links(maps, np.array(n), None if 2 in side else side.count(0), percent)
+            got += [(c[i], c[j]) for i, j in links]
+            if len(got) >= 20_000:
+                yield _edge_batch(got)
+                got = []
+        yield _edge_batch(got)
+
+    seats = _seats(stars, reps, Bands(percent), 1)
+    rows = _same_row(seats, sets.select("doc_id", "c", "n", "bits")).select(columns)
+    return rows.repartition("tile").sortWithinPartitions("tile", "side", "n").mapInArrow(run, "a long, b long")
 
-        pdf, n = _tile_rows(pdf)
-        c = pdf.c.tolist()
-        got = tile_links(pdf.bits.tolist(), pdf.n.to_numpy(), n, percent)
-        return pd.DataFrame([(c[i], c[j]) for i, j in got], columns=["a", "b"], dtype="int64")
 
-    seats = _seats(clusters, reps, Bands(percent), 1)
-    rows = _same_row(seats, sets.select("doc_id", "c", "n", "bits")).select("tile", "side", "c", "n", "bits")
-    return rows.groupBy("tile").applyInPandas(decide, "a long, b long")
+def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def _links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -300,9 +320,10 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     sets = materialize(_sets(docs, shingle), "shingle-sets")
     # A part that classes share gives each but the smallest one edge. One shuffle brings the classes of a part together.
     least = F.min("c").over(W.partitionBy("key"))
-    edges = _keys(docs, shingle, percent).select("c", least.alias("a")).filter("a <> c").select("a", F.col("c").alias("b")).distinct()
+    edges = materialize(_keys(docs, shingle, percent).select("c", least.alias("a")).filter("a <> c").select("a", F.col("c").alias("b")).distinct(), "edges")
+    stars = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     reps = sets.filter("c is not null").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"))
-    clusters = components(_candidates(sets, components(edges), reps, percent))
+    clusters = components(_candidates(sets, stars, reps, percent))
     linked = components(_links(docs, clusters, reps, shingle, percent))
     least = reps.join(linked.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
     root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
