@@ -7,10 +7,12 @@ each Python worker and found in a bounded dictionary afterwards.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -33,6 +35,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@contextmanager
+def no_cycle_search():
+    """Hundreds of thousands of new objects, none of them in a cycle, would make the collector walk over all others again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Remembered:
     """Values of recent keys. A full generation becomes the old one, whose values are taken up again when used."""
 
@@ -120,7 +134,8 @@ class PartTokenizer:
         yield from self._all(held)
 
     def _all(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        self._learn(self.parts_known.lacks(set().union(*held)))
+        with no_cycle_search():
+            self._learn(self.parts_known.lacks(set().union(*held)))
         get = self.parts_known.now.__getitem__
         for parts in held:
             yield b"".join(map(get, parts))
