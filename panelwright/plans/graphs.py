@@ -65,10 +65,32 @@ def pairwise_euclid(d):
  SELECT a.id AS src, b.id AS dst, round(2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))), 4) AS km
  FROM s a JOIN s b ON a.id % 10 = b.id % 10 AND a.id < b.id""")
 def haversine_pairs(d):
+    s = _places(d).withColumn("g", F.col("id") % 10)
+    return _km(s.join(_ends(s.select("g", "id", "lat", "lon")), "g"))
+
+
+@query(None)
+def haversine_all_pairs(d, blocks=16):
+    """Every pair of places; ``haversine_pairs`` is held to the groups of its SQL. Blocks of places meet in tiles,
+    each two places in one."""
+    s = _places(d).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = s.select("id", "lat", "lon", F.col("h").alias("row"), every.alias("column"))
+    b = s.select("id", "lat", "lon", every.alias("row"), F.col("h").alias("column"))
+    return _km(a.join(_ends(b), ["row", "column"]))
+
+
+def _places(d):
     k = F.col("s_suppkey")
-    s = d.supplier.select(k.alias("id"), ((k * 37) % 140 - 70).cast("double").alias("lat"), ((k * 91) % 360 - 180).cast("double").alias("lon"), (k % 10).alias("g"))
-    b = s.select("g", F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return s.join(b, "g").filter("id < dst").select(F.col("id").alias("src"), "dst", F.round(T.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 4).alias("km"))
+    return d.supplier.select(k.alias("id"), ((k * 37) % 140 - 70).cast("double").alias("lat"), ((k * 91) % 360 - 180).cast("double").alias("lon"))
+
+
+def _ends(s):
+    return s.withColumnsRenamed({"id": "dst", "lat": "lat2", "lon": "lon2"})
+
+
+def _km(both):
+    return both.filter("id < dst").select(F.col("id").alias("src"), "dst", F.round(T.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 4).alias("km"))
 
 
 _W = _PAIRS.format(_D["l1"]) + """, sg AS (SELECT year, median(CASE WHEN distance > 0 THEN distance END) AS s FROM p GROUP BY 1),

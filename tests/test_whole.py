@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import pytest
@@ -27,3 +28,16 @@ def test_collapse_reads_every_order(spark):
         rules = {"A": sum(v for _, v, _ in rows), "N": sum(v * w for _, v, w in rows) / sum(w for *_, w in rows), "R": rows[-1][1]}
         assert r.value == pytest.approx(rows[0][1] if one else rules[r.f], abs=1e-3)
         assert r.flag == ("" if one else "duplicate_codes" if r.f == "R" else "merged_sources")
+
+
+def test_every_pair_of_places_has_a_distance(spark):
+    def place(k):
+        return math.radians(k * 37 % 140 - 70), math.radians(k * 91 % 360 - 180)
+
+    ids = [r.s_suppkey for r in table(spark, "supplier").collect()]
+    got = {(r.src, r.dst): r.km for r in registry.queries()["haversine_all_pairs"](spark, DATA).collect()}
+    assert sorted(got) == sorted((a, b) for a in ids for b in ids if a < b)
+    for (a, b), km in got.items():
+        (p, x), (q, y) = place(a), place(b)
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2
+        assert km == pytest.approx(2 * 6371 * math.asin(math.sqrt(min(1, h))), abs=1e-3)
