@@ -211,10 +211,22 @@ def dim_latest_version(d):
  (SELECT region, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM entities WHERE id % 20 = 0 AND region < 15 GROUP BY 1) a FULL JOIN
  (SELECT region, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM entities WHERE id % 20 = 1 AND region > 5 GROUP BY 1) b ON a.region = b.region""")
 def boundary_events(d):
-    def ids(rest, cond, name):
-        return d.entities().filter(f"id % 20 = {rest} AND {cond}").groupBy("region").agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string")), ",").alias(name))
+    e = d.entities()
+    return _aligned(e.filter("id % 20 = 0 AND region < 15"), e.filter("id % 20 = 1 AND region > 5"))
 
-    return ids(0, "region < 15", "priced").join(ids(1, "region > 5", "plain"), "region", "full_outer").select("region", "priced", "plain")
+
+@query(None)
+def boundary_all_events(d):
+    """Every entity on a side, even ids against odd ones; ``boundary_events`` is held to the ids and regions of its SQL."""
+    e = d.entities()
+    return _aligned(e.filter("id % 2 = 0"), e.filter("id % 2 <> 0"))
+
+
+def _aligned(priced, plain):
+    def ids(e, name):
+        return e.groupBy("region").agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string")), ",").alias(name))
+
+    return ids(priced, "priced").join(ids(plain, "plain"), "region", "full_outer").select("region", "priced", "plain")
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(r_regionkey AS BIGINT) AS b FROM nation, region WHERE starts_with(lower(n_name), lower(substr(r_name, 1, 1))) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY r_regionkey) = 1""")

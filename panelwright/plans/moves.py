@@ -345,5 +345,14 @@ def label_by_district(d):
 
 @query("SELECT id, count(*) AS n_years, mode(n) AS usual FROM (SELECT id, year, n_orders AS n FROM wide WHERE id % 2 = 0) GROUP BY 1 HAVING count(DISTINCT n) = 1")
 def constant_entities(d):
-    w = d.wide().filter("id % 2 = 0")
+    return _constant(d.wide().filter("id % 2 = 0"))
+
+
+@query(None)
+def constant_all_entities(d):
+    """The check of every entity; ``constant_entities`` is held to the even ids of its SQL."""
+    return _constant(d.wide())
+
+
+def _constant(w):
     return w.groupBy("id").agg(F.count("*").alias("n_years"), F.mode("n_orders").alias("usual"), F.count_distinct("n_orders").alias("k")).filter("k = 1").drop("k")

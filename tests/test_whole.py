@@ -41,3 +41,20 @@ def test_every_pair_of_places_has_a_distance(spark):
         (p, x), (q, y) = place(a), place(b)
         h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2
         assert km == pytest.approx(2 * 6371 * math.asin(math.sqrt(min(1, h))), abs=1e-3)
+
+
+def test_every_entity_is_checked_for_constancy(spark):
+    years = defaultdict(lambda: defaultdict(int))
+    for r in table(spark, "orders").collect():
+        years[r.o_custkey][r.o_orderdate.year] += 1
+    want = {(k, len(n), next(iter(n.values()))) for k, n in years.items() if len(set(n.values())) == 1}
+    assert {(r.id, r.n_years, r.usual) for r in registry.queries()["constant_all_entities"](spark, DATA).collect()} == want
+
+
+def test_every_entity_has_a_side(spark):
+    got = registry.queries()["boundary_all_events"](spark, DATA).collect()
+    region = {r.c_custkey: r.c_nationkey for r in table(spark, "customer").collect()}
+    assert {r.region for r in got} == set(region.values()) and len(got) == len(set(region.values()))
+    for r in got:
+        for side, rest in ((r.priced, 0), (r.plain, 1)):
+            assert [int(x) for x in (side or "").split(",") if x] == sorted(k for k, v in region.items() if v == r.region and k % 2 == rest)
