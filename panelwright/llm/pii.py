@@ -23,16 +23,22 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 #: Only runs of 13 to 19 digits pass later on, so shorter and longer ones needn't be listed.
 CARD_RUN = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 _IP_OK = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 # High-recall generators of further candidates.
 _AT, _DOT = r" ?[\[({] ?at ?[\])}] ?", r"(?: ?[\[({] ?dot ?[\])}] ?|\.)"
 MORE = {
     "email": rf"(?<!{_MAIL})[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": CARD_RUN,
-    "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,8}){1,5}(?![0-9A-Za-z])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])",
+}
+#: Cards and telephone numbers come from runs of digit groups: every group starts a span with each number of groups.
+RUN = r"\(?[0-9](?:[0-9\x20./(),;-]*[0-9])?"
+GROUP = r"\([0-9]++\)|[0-9]++"
+GROUPS = 10
+SHAPES = {
+    "card": (13, 19, r"^[0-9]++(?:[\x20-][0-9]++)*+$"),
+    "phone": (7, 12, r"^(?:\([0-9]{2,5}\)|[0-9]{2,12}+)(?:[\x20./-]{0,2}(?:\([0-9]{2,5}\)|[0-9]{2,8}+))*+$"),
 }
 #: Characters of context on either side of a candidate.
 CONTEXT = 32
@@ -131,7 +137,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 # What the trees see of a candidate.
 FEATURES = (
     "kind_email", "kind_ip", "kind_card", "kind_phone", "n_digits", "n_chars", "n_groups", "has_paren", "longest_group",
-    "word_for", "word_against", "digit_near", "first_zero", "has_slash", "has_dot",
+    "word_for", "word_against", "digit_near", "first_zero", "has_slash", "has_dot", "last_group", "n_separators",
 )
 
 
@@ -151,6 +157,8 @@ def features(kind: str, found: Column, before: Column, after: Column) -> list[Co
         F.substring(digits, 1, 1).isin("0").cast("double"),
         F.contains(found, F.lit("/")).cast("double"),
         F.contains(found, F.lit(".")).cast("double"),
+        F.length(F.element_at(groups, -1)).cast("double"),
+        F.size(F.array_distinct(F.split(F.regexp_replace(found, r"\([0-9]+\) ?|[0-9A-Za-z]", ""), ""))).cast("double"),
     ]
 
 
@@ -190,24 +198,48 @@ def labelled_candidates(spark: SparkSession, rows: int) -> DataFrame:
     card = F.concat(digits(11, 4), F.lit(" "), digits(12, 4), F.lit(" "), digits(13, 4), F.lit(" "), digits(14, 4))
     mail = F.concat(word, draw(9, [" (at) ", "[at]", " [ at ] "]), site, draw(10, [" (dot) ", "[dot]", "."]), F.lit("com"))
     ip6 = F.concat_ws(":", *[hex4(20 + i) for i in range(8)])
+    amex = F.concat(digits(11, 4), F.lit(" "), digits(12, 6), F.lit(" "), digits(13, 5))
+    bare = F.concat(F.lit("5"), digits(12, 4), digits(13, 5))
+    tight = F.concat(F.lit("("), digits(11, 3), F.lit(")"), digits(12, 3), F.lit("-"), digits(13, 4))
+    local = F.concat(digits(12, 3), F.lit("-"), digits(13, 4))
+    plain = F.concat(digits(11, 3), F.lit("-"), local)
+    twin = F.concat(digits(31, 3), F.lit("-"), digits(32, 3), F.lit("-"), digits(33, 4))
+    day = F.concat(F.lit("20"), digits(31, 2), F.lit("-0"), digits(32, 1), F.lit("-"), digits(33, 2))
+    short6 = F.concat(draw(34, ["2001:", "fe80:", "2a02:"]), F.when(table == "a", F.concat(hex4(21), F.lit(":"))).when(table == "b", "db8:").otherwise(""), F.lit(":"), F.when(phones == "a", hex4(22)).otherwise(digits(23, 1)))
+    end = F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, " and the rest").otherwise(".")
+    code6 = draw(10, ["a::b", "add::be", "::", "bad::face", "c::d"])
     cases = [
         ("phone", phone, pos, 1), ("phone", phone, neg, 0), ("phone", phone, flat, 0), ("phone", other, flat, 0), ("phone", other, neg, 0),
         ("phone", other, pos, 0), ("card", card, cards, 1), ("card", card, neg, 0), ("card", card, flat, 0),
         ("email", mail, flat, 1), ("email", mail, pos, 1), ("ip", ip6, flat, 1), ("ip", ip6, pos, 1),
+        ("phone", bare, pos, 1), ("phone", bare, neg, 0), ("phone", bare, flat, 0), ("phone", tight, pos, 1), ("phone", tight, neg, 0), ("phone", local, pos, 1),
+        ("card", amex, cards, 1), ("card", F.concat(card, F.lit(" "), digits(15, 3)), cards, 0), ("ip", short6, flat, 1), ("ip", short6, pos, 1), ("ip", code6, flat, 0),
+    ]
+    # Spans of runs that hold more than one number: the whole ones, and those that cut or cross them.
+    runs = [
+        ("phone", plain, pos, F.concat(F.lit(" "), twin), 1), ("phone", plain, F.concat(pos, twin, F.lit(" ")), end, 1), ("phone", plain, F.concat(pos, day, F.lit(" ")), end, 1),
+        ("phone", local, F.concat(pos, digits(31, 3), F.lit("-")), end, 0), ("phone", local, F.concat(pos, F.lit("("), digits(31, 3), F.lit(")")), end, 0),
+        ("phone", F.concat(digits(33, 4), F.lit(" "), digits(11, 3), F.lit("-"), digits(12, 3)), F.concat(pos, digits(31, 3), F.lit("-"), digits(32, 3), F.lit("-")), F.concat(F.lit("-"), digits(13, 4)), 0),
+        ("phone", F.concat(digits(33, 2), F.lit(" "), plain), F.concat(pos, digits(31, 4), F.lit("-05-")), end, 0),
+        ("phone", day, pos, F.concat(F.lit(" "), plain), 0),
+        ("phone", F.concat(digits(11, 4), F.lit(" "), digits(12, 4)), F.concat(cards, digits(13, 4), F.lit(" ")), F.concat(F.lit(" "), digits(14, 4)), 0),
+        ("phone", F.concat(digits(11, 4), F.lit(" "), digits(12, 4), F.lit(" "), digits(13, 4)), cards, F.concat(F.lit(" "), digits(14, 4)), 0),
+        ("card", card, cards, F.concat(F.lit(" "), digits(15, 3)), 1),
     ]
+    cases = [(k, f, b, end, y) for k, f, b, y in cases] + runs
     n = len(cases)
-    pick = F.array(*[F.struct(F.lit(k).alias("kind"), f.alias("found"), b.alias("before"), F.lit(y).alias("label")) for k, f, b, y in cases])
+    pick = F.array(*[F.struct(F.lit(k).alias("kind"), f.alias("found"), b.alias("before"), F.lit(y).alias("label"), a.alias("after")) for k, f, b, a, y in cases])
     made = spark.range(0, rows, 1, 4).withColumn("c", F.element_at(pick, (F.pmod("id", F.lit(n)) + 1).cast("int")))
-    return made.select("id", "c.*", F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, " and the rest").otherwise(".").alias("after"))
+    return made.select("id", "c.*")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Trees as nested tuples (feature, cut, left, right) or values, their weights, and the cut-off score."""
+    """Trees as nested tuples (feature, cut, left, right) or values, their weights, and the cut-off score of each kind."""
 
     trees: tuple
     weights: tuple[float, ...]
-    cutoff: float
+    cutoff: dict[str, float]
 
     def score(self, x: list[Column]) -> Column:
         def walk(t) -> Column:
@@ -223,8 +255,8 @@ class Model:
 
 
 def train(spark: SparkSession, rows: int = 3900, rounds: int = 6, depth: int = 4, precision: float = 0.99) -> Model:
-    """Boosted trees on two thirds of the made candidates; the cut-off is the lowest score above which the
-    other third has at least ``precision``."""
+    """Boosted trees on two thirds of the made candidates; the cut-off of a kind is the lowest score above which
+    the other third's candidates of that kind have at least ``precision``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -232,8 +264,8 @@ def train(spark: SparkSession, rows: int = 3900, rounds: int = 6, depth: int = 4
     x = F.lit(None)
     for k in KINDS:
         x = F.when(F.col("kind") == k, F.array(*features(k, F.col("found"), F.col("before"), F.col("after")))).otherwise(x)
-    data = made.select("id", F.col("label").cast("double").alias("label"), x.alias("x"))
-    data = data.select("id", "label", *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
+    data = made.select("id", "kind", F.col("label").cast("double").alias("label"), x.alias("x"))
+    data = data.select("id", "kind", "label", *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data).cache()
     fit = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7).fit(data.filter("id % 3 <> 0"))
 
@@ -245,43 +277,88 @@ def train(spark: SparkSession, rows: int = 3900, rounds: int = 6, depth: int = 4
 
     java = fit._java_obj
     trees = tuple(tree(t.rootNode()) for t in java.trees())
-    model = Model(trees, tuple(float(w) for w in java.treeWeights()), 0.0)
-    held = data.filter("id % 3 = 0").select("label", F.round(model.score([F.col(f) for f in FEATURES]), 6).alias("s"))
-    by = held.groupBy("s").agg(F.sum("label").alias("good"), F.count("*").alias("all")).orderBy(F.desc("s")).collect()
+    model = Model(trees, tuple(float(w) for w in java.treeWeights()), {})
+    held = data.filter("id % 3 = 0").select("kind", "label", F.round(model.score([F.col(f) for f in FEATURES]), 6).alias("s"))
+    by = held.groupBy("kind", "s").agg(F.sum("label").alias("good"), F.count("*").alias("all")).orderBy(F.desc("s")).collect()
     data.unpersist()
-    good = total = 0
-    cutoff = float("inf")
-    for r in by:  # a row for each leaf combination of a few small trees
-        good, total = good + r.good, total + r["all"]
-        if good >= precision * total:
-            cutoff = r.s
+    cutoff = dict.fromkeys(KINDS, float("inf"))
+    good, total = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
+    for r in by:  # a row for each kind and leaf combination of a few small trees
+        good[r.kind] += r.good
+        total[r.kind] += r["all"]
+        if good[r.kind] >= precision * total[r.kind]:
+            cutoff[r.kind] = r.s
     return Model(trees, model.weights, cutoff)
 
 
-def added_spans(text: Column, base: dict[str, Column], model: Model) -> dict[str, Column]:
-    """Candidates that the trees accept and that overlap no base span."""
-    out = {}
-    for kind, pattern in MORE.items():
-        found = matches(text, pattern)
-        if kind == "email":
-            found = F.when(text.rlike(r"at ?[\])}]"), found).otherwise(F.array().cast(_MATCH))
-        if kind == "ip":
-            found = F.when(F.contains(text, F.lit(":")), found).otherwise(F.array().cast(_MATCH))
+def _seen(text: Column) -> Column:
+    """Of a text: base spans, matches of further patterns, and for each run of numbers its place with its groups."""
+    email = F.when(text.rlike(r"at ?[\])}]"), matches(text, MORE["email"])).otherwise(F.array().cast(_MATCH))
+    ip = F.when(F.contains(text, F.lit("::")) | text.rlike("(?::[0-9A-Fa-f]++){7}"), matches(text, MORE["ip"])).otherwise(F.array().cast(_MATCH))
+    runs = F.filter(matches(text, RUN), lambda r: r["found"].rlike("(?:[0-9][^0-9]*+){7}"))
+    return F.struct(
+        F.struct(*[v.cast(_SPAN).alias(k) for k, v in base_spans(text).items()]).alias("base"),
+        email.alias("email"), F.filter(ip, lambda x: F.size(F.split(x["found"], ":+")) <= 8).alias("ip"),
+        F.transform(runs, lambda r: F.struct(r.alias("run"), matches(r["found"], GROUP).alias("groups"))).alias("runs"),
+    )
+
+
+def _joined(g: Column, first: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.slice(g, first + 1, n), lambda x: F.concat(x["before"], x["found"])), "")
+
+
+def _windows(x: Column) -> Column:
+    """The spans of a run that start at any group and take any number of groups up to ``GROUPS``."""
+    r, g = x["run"], x["groups"]
+
+    def span(i: Column, j: Column) -> Column:
+        a, b, back = F.get(g, i), F.get(g, j), F.least(i, F.lit(CONTEXT // 2))
+        # Of the groups ahead, as many as the context can hold.
+        before = F.concat(F.when(i <= CONTEXT // 2, r["before"]).otherwise(""), _joined(g, i - back, back), a["before"])
+        after = F.when(j + 1 < F.size(g), _joined(g, j + 1, F.lit(1))).otherwise(F.concat(b["after"], r["after"]))
+        return F.struct(
+            (r["start"] + a["start"]).alias("start"), (r["start"] + b["end"]).alias("end"),
+            F.concat(a["found"], _joined(g, i + 1, j - i)).alias("found"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
+        )
+
+    last = F.size(g) - 1
+    every = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, F.least(i + (GROUPS - 1), last)), lambda j: span(i, j))))
+    return F.filter(every, lambda y: F.length(_digits(y["found"])).between(7, 19) & ~y["before"].rlike("[A-Za-z+]$") & ~y["after"].rlike("^[A-Za-z]"))
+
 
-        out[kind] = F.transform(F.filter(found, _accepts(kind, base, model)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return out
+def _score(model: Model, kind: str, x: Column) -> Column:
+    seen = F.array(*features(kind, x["found"], x["before"], x["after"]))
+    return _bind(seen, lambda f: model.score([F.get(f, F.lit(i)) for i in range(len(FEATURES))]))
 
 
-def _accepts(kind: str, base: dict[str, Column], model: Model):
-    def good(x: Column) -> Column:
-        fits = model.score(features(kind, x["found"], x["before"], x["after"])) >= model.cutoff - 1e-6
-        if kind == "phone":
-            fits = fits & F.length(_digits(x["found"])).between(7, 12)
-        for spans in base.values():
-            fits = fits & ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-        return fits
+def _free(x: Column, base: Column) -> Column:
+    free = F.lit(True)
+    for k in KINDS:
+        free = free & ~F.exists(base[k], lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+    return free
+
+
+_NUMBER = "array<struct<worth:double,length:bigint,start:bigint,end:bigint,kind:string>>"
+
+
+def _judged(every: Column, kind: str, base: Column, model: Model) -> Column:
+    """What the trees accept and overlaps no base span, with its worth to sort by."""
+    fits = F.filter(every, lambda x: _free(x, base))
+    if kind in SHAPES:
+        least, most, shape = SHAPES[kind]
+        fits = F.filter(every, lambda x: F.length(_digits(x["found"])).between(least, most) & x["found"].rlike(shape) & _free(x, base))
+    rated = F.transform(fits, lambda x: F.struct(
+        (-F.round(_score(model, kind, x), 6)).alias("worth"), (x["start"] - x["end"]).alias("length"), x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+    return F.filter(rated, lambda x: -x["worth"] >= model.cutoff[kind] - 1e-6).cast(_NUMBER)
 
-    return good
+
+def _best(c: Column) -> Column:
+    """The spans that don't overlap, by score, then length, then place."""
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(x)).cast(_NUMBER))
+
+    return F.aggregate(F.array_sort(c), F.array().cast(_NUMBER), step)
 
 
 def _listed(kind: str, spans: Column) -> Column:
@@ -307,17 +384,25 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text", model: Model
     model = model or default_model(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
 
-    def search(x: Column) -> Column:
-        base = F.struct(*[v.cast(_SPAN).alias(k) for k, v in base_spans(x).items()])
+    # Each step binds what the last one found, so it is worked out once; one expression would nest too deep for the analyser.
+    found = docs.select(*keep, t.alias("pii_text_"), _bind(t, _seen).alias("pii_seen_"))
+    found = found.select(*keep, "pii_text_", _bind(F.col("pii_seen_"), lambda s: F.struct(*[s[k].alias(k) for k in ("base", "email", "ip")], F.transform(s["runs"], _windows).alias("runs"))).alias("pii_seen_"))
+
+    def rated(s: Column) -> Column:
+        more = [_judged(s[k], k, s["base"], model) for k in MORE]
+        numbers = F.transform(s["runs"], lambda e: F.concat(*[_judged(e, k, s["base"], model) for k in SHAPES]))
+        return F.struct(s["base"].alias("base"), F.concat(*more).alias("more"), numbers.alias("runs"))
+
+    found = found.select(*keep, "pii_text_", _bind(F.col("pii_seen_"), rated).alias("pii_seen_"))
 
-        def more(b: Column) -> Column:
-            added = added_spans(x, {k: b[k] for k in KINDS}, model)
-            both = [F.array_sort(F.concat(b[k], added[k])).cast(_SPAN).alias(k) for k in KINDS]
-            return F.struct(b.alias("base"), F.struct(*both).alias("spans"))
+    def chosen(s: Column) -> Column:
+        def all_spans(n: Column) -> Column:
+            own = lambda k: F.transform(F.filter(n, lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).cast(_SPAN)
+            return F.struct(s["base"].alias("base"), F.struct(*[F.array_sort(F.concat(s["base"][k], own(k))).alias(k) for k in KINDS]).alias("spans"))
 
-        return _bind(base, more)
+        return _bind(F.concat(s["more"], F.flatten(F.transform(s["runs"], _best))), all_spans)
 
-    found = docs.select(*keep, t.alias("pii_text_"), _bind(t, search).alias("pii_found_"))
+    found = found.select(*keep, "pii_text_", _bind(F.col("pii_seen_"), chosen).alias("pii_found_"))
     return found.select(*keep, "pii_text_", F.col("pii_found_.base").alias("pii_base_"), F.col("pii_found_.spans").alias("pii_spans_"))
 
 
