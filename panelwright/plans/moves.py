@@ -285,20 +285,21 @@ spectral, leiden, kefrin_like = map(_fitted, ("spectral", "leiden", "kefrin_like
 
 
 @query(None)
-def bootstrap_ari(d):
-    """Agreement of clusterings of resampled entities (drawn with replacement, then distinct) with the whole one."""
+def bootstrap_ari(d, resamples=50):
+    """Agreement of clusterings of each year's resampled entities (drawn with replacement, then distinct) with the whole
+    year's: a row for each year and resample."""
 
     def one(pdf):
         import pandas as pd
 
-        b, pdf = int(pdf.b.iloc[0]), pdf.sort_values("id")
+        year, b, pdf = int(pdf.year.iloc[0]), int(pdf.b.iloc[0]), pdf.sort_values("id")
         x = pdf[X5].to_numpy()
         base = C.ward_kmeans(x, 4)
         pick = np.unique(np.random.default_rng(42 + b).choice(len(x), len(x)))
-        return pd.DataFrame({"b": [b], "n": [len(pick)], "ari": [round(C.adjusted_rand(base[pick], C.ward_kmeans(x[pick], 4)), 6)]})
+        return pd.DataFrame({"year": [year], "b": [b], "n": [len(pick)], "ari": [round(C.adjusted_rand(base[pick], C.ward_kmeans(x[pick], 4)), 6)]})
 
-    f = d.features().filter("year = 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return f.groupBy("b").applyInPandas(one, "b int, n long, ari double")
+    f = d.features().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    return f.groupBy("year", "b").applyInPandas(one, "year long, b int, n long, ari double")
 
 
 @query(None)

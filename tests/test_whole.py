@@ -71,3 +71,10 @@ def test_numbers_in_one_run_and_short_addresses_are_found(spark):
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     texts = list(made)
     assert {texts[r.doc_id]: r.spans for r in pii_report(df).collect()} == made
+
+
+def test_bootstrap_covers_every_year(spark):
+    years = {r.label % 2 for r in table(spark, "embeddings").select("label").distinct().collect()}
+    got = registry.queries()["bootstrap_ari"](spark, DATA).collect()
+    assert sorted((r.year, r.b) for r in got) == [(y, b) for y in sorted(years) for b in range(50)]
+    assert all(-1 <= r.ari <= 1 and r.n > 0 for r in got)
