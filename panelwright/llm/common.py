@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+#: For every open :func:`scratch`, the folders written within it.
+_open_scratch: list[list[str]] = []
 
-    Only where the cluster names none (tests, a laptop) a local folder is used.
-    """
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` or, where the session names none, a part of the warehouse."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/work-tables").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -34,9 +35,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _open_scratch:
+        _open_scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Work tables written within are deleted at its end; what the yielded function writes stays."""
+    made: list[str] = []
+    _open_scratch.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _open_scratch.pop()
+        try:
+            return materialize(df, name)
+        finally:
+            _open_scratch.append(made)
+
+    try:
+        yield keep
+    finally:
+        _open_scratch.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def free_name(df_columns: list[str], wish: str) -> str:
     """``wish``, lengthened until no column of the table has that name."""
     taken = {c.lower() for c in df_columns}

@@ -59,7 +59,7 @@ def test_url_filter(spark):
     assert url_filter(df.limit(0), ALLOW, BLOCK).count() == 0
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 60)])
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 60), (2, 30)])
 def test_jaccard(spark, docs, texts, k, percent):
     from panelwright.llm.jaccard import drop_near_duplicates, jaccard_classes
 
@@ -67,7 +67,8 @@ def test_jaccard(spark, docs, texts, k, percent):
     base = [f"w{r.randrange(40)}" for _ in range(60)]
     made = {20_000 + i: " ".join(w if r.random() > 0.02 else f"v{r.randrange(9)}" for w in base[: r.choice((20, 40, 60))]) for i in range(120)}
     some = {i: t for i, t in texts.items() if i % 2 or i >= 10_000} | made
-    df = spark.createDataFrame([(i, t, 0) for i, t in some.items()], "doc_id long, text string, n long")
+    # Columns with names that the operator uses itself.
+    df = spark.createDataFrame([(i, t, 0, 1, 2) for i, t in some.items()], "doc_id long, text string, n long, t long, stays_id long")
     want = brute.near_components(some, k, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, k, percent).collect()}
     assert got == want
@@ -76,25 +77,94 @@ def test_jaccard(spark, docs, texts, k, percent):
         assert kept.columns == df.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
         assert jaccard_classes(empty(spark)).count() == 0
+        assert drop_near_duplicates(empty(spark)).count() == 0
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """A group that is cut into many blocks keeps its links."""
-    from panelwright.llm import jaccard
-
-    monkeypatch.setattr(jaccard, "BLOCK_LEAST", 3)
-    monkeypatch.setattr(jaccard, "BLOCK_MOST", 3)
+def _chain(n: int) -> dict[int, str]:
+    """Documents that each differ a little from the one before."""
     r = random.Random(5)
     docs, at = {}, [f"w{i}" for i in range(80)]
-    for i in range(60):
+    for i in range(n):
         at = list(at)
         at[r.randrange(80)] = f"x{i}"
         if i % 7 == 0:
             at += [f"y{i}", f"z{i}"]
         docs[i] = " ".join(at)
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    return docs
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """A group that is cut into many blocks keeps its links, as does one of which a task has put keys together."""
+    from panelwright.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_LEAST", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_MOST", 3)
+    docs = _chain(60)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     want = brute.near_components(docs, 3, 80)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, 3, 80).collect()} == want
+    for held, hot in ((1 << 20, 32), (1 << 20, 2), (300, 2), (300, 4)):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, 3, 80).collect()} == want
+
+
+def test_jaccard_deals():
+    """Similar sets meet, whatever parts are empty; the counts of shared keys hold."""
+    from panelwright.llm.jaccard import DEALS, Bands, _deals, signatures
+
+    r = np.random.default_rng(4)
+    for percent in (30, 60, 80, 95):
+        bands = Bands(percent)
+        for _ in range(400):
+            n = int(r.integers(1, 120))
+            a = r.integers(1, 1 << 63, n, dtype=np.uint64)
+            b = a.copy()
+            for _ in range(int(r.integers(0, max(2, n * (100 - percent) // 90)))):
+                if r.random() < 0.5:
+                    b = np.delete(b, r.integers(len(b))) if len(b) > 1 else b
+                else:
+                    b = np.append(b, r.integers(1, 1 << 63, 1, dtype=np.uint64))
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both) or (len(a) == len(b) == both):
+                continue
+            x, y = signatures(a, bands), signatures(b, bands)
+            shared = np.intersect1d(x, y)
+            assert len(shared)
+            codes = [{c: need for c, _, _, _, need in _deals(s, bands)} for s in (a, b)]
+            met = {c: int((shared & np.uint64(255) == c).sum()) for c in codes[0].keys() & codes[1].keys()}
+            assert any(m and m >= max(codes[0][c], codes[1][c]) for c, m in met.items())
+            # Where one side's count is sure, both sides share as many.
+            first = min((c for c in met if c // DEALS == bands.of(max(len(a), len(b))) and max(codes[0][c], codes[1][c]) > 0), default=None)
+            assert first is None or met[first] >= max(codes[0][first], codes[1][first])
+
+
+def test_jaccard_links(spark):
+    from panelwright.llm.jaccard import jaccard_classes, jaccard_links
+
+    docs = _chain(40) | {100 + i: t for i, t in _chain(3).items()} | {200: None, 201: "alone here", 202: "alone here"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sets = {i: brute.shingles(t, 3) for i, t in docs.items()}
+    linked = {(a, b) for a in docs for b in docs if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = {r.doc_id: r.n_links for r in jaccard_classes(df, 3, 80, count_links=True).collect()}
+    assert got == {i: sum(a == i for a, _ in linked) for i in docs}
+    links, members = jaccard_links(df, 3, 80)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.class_id, []).append(r.doc_id)
+    pairs = {(x, y) for r in links.collect() for x in of[r.a] for y in of[r.b]}
+    assert pairs | {(y, x) for x, y in pairs} == {(a, b) for a, b in linked if sets[a] != sets[b]}
+
+
+def test_drop_near_duplicates_ids(spark):
+    """Rows of one id with other texts are other documents; null ids take part."""
+    from panelwright.llm.jaccard import drop_near_duplicates
+
+    long = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, long("a")), (1, long("b")), (1, long("a")), (2, long("b")), (None, long("c")), (None, long("c")), (None, long("a")), (3, long("d")), (None, long("d")), (4, None), (5, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, drop_near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, long("a")), (1, long("b")), (None, long("c")), (3, long("d")), (4, None), (5, "")], key=repr)
 
 
 def test_components(spark):
