@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Rules up to this many go into a broadcast trie (about 200 bytes a rule); more are joined.
-MAX_TRIE_RULES = 500_000
+#: Rules of one broadcast trie (about 200 bytes a rule); more rules make more tries, each of which judges every url.
+TRIE_RULES = 500_000
 
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,7 +52,8 @@ class Trie:
             # Longest first; of the same rule in both lists, block.
             at[1].append((rest, rule, verdict, (len(host) + len(path), len(host), verdict == "block")))
 
-    def match(self, host: str, path: str) -> tuple[str | None, str | None]:
+    def match(self, host: str, path: str) -> tuple[tuple, str | None, str | None]:
+        """Size, rule and verdict of the longest rule that fits."""
         best, found = (-1, -1, False), (None, None)
         segments = path[1:].split("/") if path else []
         node = self.root
@@ -69,7 +70,7 @@ class Trie:
                         best, found = size, (rule, verdict)
                 at = at[0].get(segments[i]) if i < len(segments) - 1 else None
                 i += 1
-        return found
+        return best, *found
 
 
 def url_filter(
@@ -78,7 +79,7 @@ def url_filter(
     block: list[str],
     url: str = "url",
     default: str = "allow",
-    max_trie_rules: int = MAX_TRIE_RULES,
+    trie_rules: int = TRIE_RULES,
 ) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to every row; no shuffle.
 
@@ -91,62 +92,28 @@ def url_filter(
     that are named like a new one are replaced.
     """
     rules = [(r, "allow") for r in allow] + [(r, "block") for r in block]
-    if len(rules) > max_trie_rules:
-        return _joined(df, rules, url, default)
+    tries = [rules[i : i + trie_rules] for i in range(0, len(rules), trie_rules)] or [[]]
+    judged = free_name(df.columns, "judged")
+    best = F.greatest(*[_judge(df, x)(F.col(url)) for x in tries]) if len(tries) > 1 else _judge(df, tries[0])(F.col(url))
+    new = ("host", "path", "rule", "verdict")
+    keep = [F.col(c) for c in df.columns if c.lower() not in new]
+    found = [F.col(f"{judged}.{c}").alias(c) for c in new[:3]]
+    return df.withColumn(judged, best).select(*keep, *found, F.coalesce(f"{judged}.verdict", F.lit(default)).alias("verdict"))
+
+
+def _judge(df: DataFrame, rules: list[tuple[str, str]]):
+    """A function of a url: the size of the longest of ``rules`` that fits, which orders the results of several tries, then
+    host, path, rule and verdict."""
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
 
-    @F.pandas_udf("host string, path string, rule string, verdict string")
+    @F.pandas_udf("size array<int>, host string, path string, rule string, verdict string")
     def judge(urls: pd.Series) -> pd.DataFrame:
         match = trie.value.match
         rows = []
         for u in urls:
             host, path = split_url(u)
-            rule, verdict = match(host, path)
-            rows.append((host, path, rule, verdict or default))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
+            size, rule, verdict = match(host, path)
+            rows.append(([int(x) for x in size], host, path, rule, verdict))
+        return pd.DataFrame(rows, columns=["size", "host", "path", "rule", "verdict"])
 
-    j = free_name(df.columns, "judged")
-    new = ("host", "path", "rule", "verdict")
-    keep = [F.col(c) for c in df.columns if c.lower() not in new]
-    return df.withColumn(j, judge(F.col(url))).select(*keep, *[F.col(f"{j}.{c}").alias(c) for c in new])
-
-
-def _joined(df: DataFrame, rules: list[tuple[str, str]], url: str, default: str) -> DataFrame:
-    """The same verdicts for lists of any length: every suffix of a host meets the rules of that host.
-
-    Distinct (host, path) pairs meet the rules, so repeated urls are joined once.
-    """
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(*split_rule(r), r, v) for r, v in rules], "rule_host string, rule_path string, rule string, verdict string"
-    )
-    u = F.col(url)
-    host = F.coalesce(F.translate(F.regexp_extract(u, r"(?s)^.*?://([^/?#]*)", 1), *map(str, (_up, _low))), F.lit(""))
-    path = F.coalesce(F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
-    new = ("host", "path", "rule", "verdict")
-    base = df.select(*[F.col(c) for c in df.columns if c.lower() not in new or c == url], host.alias("__h"), path.alias("__p"))
-    labels = F.split("__h", r"\.")
-    suffixes = F.concat(
-        F.array(F.lit("")),
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-    )
-    pairs = base.select("__h", "__p").distinct()
-    size = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("verdict") == "block")
-    best = (
-        pairs.select("__h", "__p", F.explode(F.array_distinct(suffixes)).alias("rule_host"))
-        .join(table, "rule_host")
-        .filter(F.col("__p").startswith(F.col("rule_path")))
-        .groupBy("__h", "__p")
-        .agg(F.max_by(F.struct("rule", "verdict"), size).alias("__best"))
-    )
-    keep = [F.col(c) for c in base.columns if c.lower() not in new and c not in ("__h", "__p")]
-    return base.join(best, ["__h", "__p"], "left").select(
-        *keep,
-        F.col("__h").alias("host"),
-        F.col("__p").alias("path"),
-        F.col("__best.rule").alias("rule"),
-        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
-    )
-
-
-_up, _low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return judge
