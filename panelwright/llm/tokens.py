@@ -70,7 +70,7 @@ class PartTokenizer:
     """``style``: "words" for a tokenizer that drops white space and case, "spaces" for one whose
     pre-tokenizer puts a single space before the word it precedes (byte-level BPE).
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text become those tokens, as the library has it; such texts are encoded whole.
     """
 
     def __init__(self, path: str, style: str):
@@ -78,7 +78,8 @@ class PartTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: In lower case, since a normalizer may lower a text before it looks for them.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.style = style
         self.parts_known, self.pieces = Remembered(), Remembered()
 
@@ -123,22 +124,29 @@ class PartTokenizer:
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """For each text (UTF-8) its ids, as little-endian unsigned 32-bit integers."""
-        held: list[list[bytes]] = []
+        held: list[list[bytes] | bytes] = []
         size = 0
         for raw in texts:
-            held.append(self.parts(raw) if raw else [])
+            held.append((raw if self._holds_special(raw) else self.parts(raw)) if raw else [])
             size += len(raw or b"")
             if size >= STEP_BYTES:
                 yield from self._all(held)
                 held, size = [], 0
         yield from self._all(held)
 
-    def _all(self, held: list[list[bytes]]) -> Iterator[bytes]:
+    def _holds_special(self, raw: bytes) -> bool:
+        low = raw.lower()
+        return any(x in low for x in self.special)
+
+    def _all(self, held: list[list[bytes] | bytes]) -> Iterator[bytes]:
         with no_cycle_search():
-            self._learn(self.parts_known.lacks(set().union(*held)))
+            self._learn(self.parts_known.lacks(set().union(*(x for x in held if isinstance(x, list)))))
         get = self.parts_known.now.__getitem__
-        for parts in held:
-            yield b"".join(map(get, parts))
+        for x in held:
+            if isinstance(x, list):
+                yield b"".join(map(get, x))
+            else:
+                yield array("I", self.tokenizer.encode(x.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
 
 
 _open: dict[tuple[str, str], PartTokenizer] = {}
