@@ -33,71 +33,71 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """The winnowed k-grams of a block of benchmark items, sorted by hash.
+    """The winnowed k-grams of a block of benchmark items, and the windows that hits are extended to.
 
-    A span of ``length`` words holds ``length - k + 1`` k-grams, which is the winnowing window:
-    a shared span of that length has the same smallest k-gram on both sides, so no span is missed.
-    Items with fewer words are one window of their own length and are looked up as a whole.
+    A window of ``length`` words holds ``length - k + 1`` k-grams, which is the winnowing window: text that
+    shares it has the same smallest k-gram there, so no shared window is missed. Items with fewer words
+    are one window of their own length and are looked up as a whole.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], length: int, k: int):
         self.length, self.k, self.window = length, min(k, length), length - min(k, length) + 1
-        self.ids, self.words, rows = [], [], []
-        self.short: dict[int, dict[int, list[int]]] = {}
+        self.ids: list[str] = []
+        prints = [np.zeros(0, np.uint64)]
+        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             h = word_hashes(item_words(text))
             if not len(h):
                 continue
             i = len(self.ids)
             self.ids.append(item_id)
-            self.words.append(h)
-            if len(h) < length:
-                whole = self.short.setdefault(len(h), {})
-                whole.setdefault(int(gram_hashes(h, len(h))[0]), []).append(i)
-                continue
-            g = gram_hashes(h, self.k)
-            at = winnow(g, self.window)
-            rows += zip(g[at].tolist(), [i] * len(at), at.tolist())
-        rows.sort()
-        self.hashes = np.array([r[0] for r in rows], np.uint64)
-        self.where = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
-        self.short_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
+            size = min(len(h), length)
+            rows.setdefault(size, []).append((np.unique(gram_hashes(h, size)), i))
+            if size == length:
+                g = gram_hashes(h, self.k)
+                prints.append(g[winnow(g, self.window)])
+        self.prints = np.unique(np.concatenate(prints))
+        #: For each size of windows: their hashes, ascending, and the items of each.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, some in rows.items():
+            hashes = np.concatenate([x for x, _ in some])
+            owner = np.repeat([i for _, i in some], [len(x) for x, _ in some])
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], owner[order]
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words of a document are hit, and by which items."""
-        hit, found, n = np.zeros(len(h), bool), set(), len(h)
-        if n >= self.length and len(self.hashes):
-            g = gram_hashes(h, self.k)
-            at = winnow(g, self.window)
-            lo = np.searchsorted(self.hashes, g[at], "left")
-            hi = np.searchsorted(self.hashes, g[at], "right")
-            done: dict[tuple[int, int], int] = {}  # item and diagonal: the end of the span seen last
-            for x in np.flatnonzero(hi > lo).tolist():
-                p = int(at[x])
-                for i, q in self.where[lo[x] : hi[x]].tolist():
-                    if done.get((i, p - q), -1) > p:
-                        continue
-                    a, b = self._extend(h, self.words[i], p, q)
-                    done[i, p - q] = b
-                    if b - a >= self.length:
-                        hit[a:b] = True
-                        found.add(i)
-        for size, keys in self.short_keys.items():
-            g = gram_hashes(h, size)
-            if len(g):
-                k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                for p in np.flatnonzero(keys[k] == g).tolist():
-                    hit[p : p + size] = True
-                    found.update(self.short[size][int(g[p])])
-        return hit, found
+        """Which words of a document are hit, and by which items. Linear in its words (but for sorting), whatever repeats."""
+        n, found = len(h), set()
+        edge = np.zeros(n + 1, np.int64)
+        for size in self.windows:
+            if n < size:
+                continue
+            if size < self.length:
+                starts = np.arange(n - size + 1)
+            else:
+                g = gram_hashes(h, self.k)
+                at = winnow(g, self.window)
+                at = at[self._holds(self.prints, g[at])]
+                # Every shared window holds a common print: those are the windows to compare.
+                starts = np.unique(at[:, None] - np.arange(self.window))
+                starts = starts[(starts >= 0) & (starts <= n - size)]
+            if not len(starts):
+                continue
+            keys, owner = self.windows[size]
+            grams = gram_hashes(h, size)[starts]
+            same = self._holds(keys, grams)
+            np.add.at(edge, starts[same], 1)
+            np.add.at(edge, starts[same] + size, -1)
+            hashes = np.unique(grams[same])
+            for lo, hi in zip(np.searchsorted(keys, hashes, "left").tolist(), np.searchsorted(keys, hashes, "right").tolist()):
+                found.update(owner[lo:hi].tolist())
+        return np.cumsum(edge[:-1]) > 0, found
 
     @staticmethod
-    def _extend(d: np.ndarray, e: np.ndarray, p: int, q: int) -> tuple[int, int]:
-        """The longest shared span through document word p and item word q: [a, b) of the document."""
-        left, right = min(p, q), min(len(d) - p, len(e) - q)
-        back = np.flatnonzero(d[p - left : p][::-1] != e[q - left : q][::-1])
-        forth = np.flatnonzero(d[p : p + right] != e[q : q + right])
-        return p - (int(back[0]) if len(back) else left), p + (int(forth[0]) if len(forth) else right)
+    def _holds(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(values), bool)
+        return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
 def _runs(hit: np.ndarray) -> list[int]:
