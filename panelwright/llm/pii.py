@@ -422,9 +422,11 @@ def pii_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
 def redact(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """The same columns, with every place found replaced by its kind in brackets.
 
-    Where places of different kinds overlap, what one has covered is not shown again. Null texts stay null.
+    Where places of different kinds overlap, what one has covered is not shown again. Null texts stay null, empty ones
+    empty; repeated rows are treated alike; other columns stay as they are, whatever their names; an empty table gives an empty one.
     """
-    found = find_pii(docs, list(docs.columns), text, model)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    found = find_pii(row, ["row"], "text", model)
 
     def tagged(kind: str) -> Column:
         tag = F.lit(f"[{kind.upper()}]")
@@ -443,5 +445,5 @@ def redact(docs: DataFrame, text: str = "text", model: Model | None = None) -> D
 
         return F.aggregate(s, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("pii_text_"), (acc["to"] + 1).cast("int"))))
 
-    clean = F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(_bind(every, lambda s: F.when(F.size(s) == 0, F.col("pii_text_")).otherwise(cut(s))))
-    return found.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    clean = F.when(F.col(f"row.{text}").isNull(), F.lit(None).cast("string")).otherwise(_bind(every, lambda s: F.when(F.size(s) == 0, F.col("pii_text_")).otherwise(cut(s))))
+    return found.select(*[clean.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in docs.columns])

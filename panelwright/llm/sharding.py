@@ -43,7 +43,7 @@ def place(df: DataFrame, shards: list[str], slots: int = 65537, key: str = "doc_
     """Add ``slot`` and ``shard`` to every row: one hash and one lookup in a broadcast table, no shuffle.
 
     Rows with equal keys (as text) share a shard, as do all rows with a null key. Repeated rows are
-    kept, an empty table stays empty; columns named ``slot`` or ``shard`` are replaced.
+    kept, an empty table stays empty; columns named ``slot`` or ``shard``, in any case, are replaced (one that is the key is used first).
     """
     spark = df.sparkSession
     filled = ",".join(map(str, fill_table(shards, slots)))
@@ -51,8 +51,9 @@ def place(df: DataFrame, shards: list[str], slots: int = 65537, key: str = "doc_
     table = spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("slot", "i")).select(
         "slot", F.element_at(names, F.col("i").cast("int") + 1).alias("shard")
     )
-    placed = df.drop("shard").withColumn("slot", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slots)).cast("int"))
-    return placed.join(F.broadcast(table), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    others = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.select(*others, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slots)).cast("int").alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select(*others, "slot", "shard")
 
 
 def write_sharded(placed: DataFrame, path: str) -> None:

@@ -48,8 +48,8 @@ def test_url_filter(spark):
     df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls + urls)], "page_id long, url string, verdict string")
     lists = [(ALLOW, BLOCK), (["a.com", "com/x", ""], ["a.com/", "com/x", "example.com/e"])]
     for allow, block in lists:
-        for limit in (10, 0):
-            got = url_filter(df, allow, block, max_trie_rules=limit).collect()
+        for limit in (10, 2):
+            got = url_filter(df, allow, block, trie_rules=limit).collect()
             assert len(got) == 2 * len(urls)
             for r in got:
                 want = brute.url_verdict(urls[r.page_id % len(urls)], [a for a in allow if a], block)
@@ -205,7 +205,6 @@ def test_packing(spark, docs, texts):
 
     path = tokenizer_path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = pack(docs.repartition(2), path, 2, window=1024).collect()
     parts, windows = defaultdict(list), defaultdict(list)
     for r in got:
@@ -265,7 +264,6 @@ def test_token_files(spark, docs, texts, bits, tmp_path):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     out = f"{tmp_path}/files"
     assert write_token_files(docs, out, path, 0, bits=bits, file_ids=20_000).count() > 8
     got = {r.doc_id: r for r in read_token_files(spark, out).collect()}
@@ -289,6 +287,17 @@ def test_sharding(spark, docs):
 
     names = [f"s{i}" for i in range(7)]
     table = fill_table(names, 1009)
+    # The rule said in plain steps: in turns, the first free slot of each shard's own order.
+    import xxhash
+
+    order = [[(xxhash.xxh64_intdigest(x, seed=1) + j * (xxhash.xxh64_intdigest(x, seed=2) % 1008 + 1)) % 1009 for j in range(1009)] for x in names]
+    owner: dict[int, int] = {}
+    while len(owner) < 1009:
+        for i in range(7):
+            free = next((s for s in order[i] if s not in owner), None)
+            if free is not None:
+                owner[free] = i
+    assert table == [owner[s] for s in range(1009)]
     counts = np.bincount(table)
     assert counts.max() - counts.min() <= 1
     less = fill_table(names[:-1], 1009)
@@ -297,6 +306,12 @@ def test_sharding(spark, docs):
     got = place(docs, names, 1009).collect()
     assert len(got) == docs.count()
     assert all(r.shard == names[table[r.slot]] for r in got)
+    clash = spark.createDataFrame([(3, 4, "a"), (5, 6, "b")], "SLOT long, doc_id long, Shard string")
+    for key in ("SLOT", "doc_id"):
+        out = place(clash, names, 1009, key)
+        assert out.columns == ["doc_id", "slot", "shard"]
+        same = place(clash.select(clash[key].alias("k"), clash.doc_id.alias("d")), names, 1009, "k")
+        assert {r.doc_id: r.slot for r in out.collect()} == {r.d: r.slot for r in same.collect()}
     twice = place(spark.createDataFrame([(None, "a"), (None, "b"), (5, "c"), (5, "c")], "doc_id long, shard string"), names, 1009).collect()
     assert len({r.slot for r in twice if r.doc_id is None}) == 1 and len(twice) == 4
     with pytest.raises(ValueError):
@@ -368,7 +383,8 @@ def test_pii(spark, docs, texts):
         listed = set(r.spans.split(",")) if r.spans else set()
         assert {f"{k}:{a}:{b}" for k, v in want.items() for a, b in v} <= listed
     made = ["call me at (555) 123-4567 today", "invoice 555-123-4567.", "write anna (at) example (dot) com", None, "no data", "x@y.co and +1 555 123 4567!"]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(made)], "doc_id long, text string, base int")
+    df = spark.createDataFrame([(i, t, 1, "p", "q", "r") for i, t in enumerate(made)], "doc_id long, text string, base int, pii_text_ string, pii_spans_ string, row string")
+    assert redact(df).columns == df.columns and redact(df.limit(0)).count() == 0 and pii_report(df.limit(0)).count() == 0
     clean = {r.doc_id: r.text for r in redact(df).collect()}
     assert clean == {0: "call me at [PHONE] today", 1: made[1], 2: "write [EMAIL]", 3: None, 4: "no data", 5: "[EMAIL] and [PHONE]!"}
 
@@ -383,6 +399,20 @@ def test_running_sums(spark):
         assert r.s == [sum(r.a[:i]) for i in range(len(r.a))]
 
 
+def test_repeated_words_are_linear():
+    """Long runs of one word on both sides take no longer than other texts of their length."""
+    import time
+
+    from panelwright.llm.common import word_hashes
+    from panelwright.llm.decontaminate import Fingerprints, item_words
+
+    item = "a " * 20_000 + "b c " * 10_000
+    began = time.time()
+    hit, found = Fingerprints([("x", item), ("y", "a " * 9), ("z", "b")], 10, 5).hits(word_hashes(item_words("q " + item + " q")))
+    assert time.time() - began < 2 and found == {0, 1, 2}
+    assert not hit[0] and not hit[-1] and hit[1:-1].all()
+
+
 def test_decontaminate(spark, docs, texts):
     from panelwright.llm.decontaminate import decontaminate, drop_contaminated
 
@@ -400,5 +430,6 @@ def test_decontaminate(spark, docs, texts):
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute.hits(every[r.doc_id], items), r
             assert r.contaminated == (r.n_hit > 0)
             assert sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_hit
+        assert decontaminate(df.limit(0), bench, block_bytes=size).count() == 0
         left = drop_contaminated(df, bench, block_bytes=size).collect()
         assert sorted(r.doc_id for r in left) == sorted(i for i, t in every.items() if not brute.hits(t, items)[1])
