@@ -27,34 +27,39 @@ def _words(text: Column) -> Column:
 def repeated_words(words: Column, k: int = 3) -> Column:
     """How many words lie in k-word windows that occur twice or more, the first occurrence included.
 
-    Windows are sorted by 36 bits of a hash with their position; neighbours of equal bits are compared
-    word by word, two to either side, so equal bits of other windows do no harm.
+    Windows are sorted by 36 bits of a hash with their position, so equal ones are neighbours. If neighbours of equal
+    bits are found to be of different words, the windows of that text are sorted by their words instead.
     """
+    low = F.lit((1 << _BITS) - 1)
 
     def count(w: Column) -> Column:
         n = F.size(w) - k + 1
-        low = F.lit((1 << _BITS) - 1)
-        packed = F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), _BITS).bitwiseOR(i.cast("long")),
-            )
-        )
+        every = F.sequence(F.lit(0), n - 1)
+        packed = F.sort_array(F.transform(every, lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), _BITS).bitwiseOR(i.cast("long"))))
+        place = lambda x: x.bitwiseAND(low).cast("int")
+        bits = lambda x: F.shiftright(x, _BITS)
 
-        def starts(s: Column) -> Column:
-            def same(a: Column, b: Column) -> Column:
-                p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-                equal = F.shiftright(a, _BITS) == F.shiftright(b, _BITS)
-                for j in range(k):
-                    equal = equal & (F.get(w, p + j) == F.get(w, q + j))
-                return F.coalesce(equal, F.lit(False))
+        def differ(x: Column, y: Column) -> Column:
+            other = F.lit(False)
+            for j in range(k):
+                other = other | (F.get(w, place(x) + j) != F.get(w, place(y) + j))
+            return (bits(x) == bits(y)) & other
+
+        def covered(starts: Column) -> Column:
+            return F.when(F.size(starts) == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (k - 1)))))))
 
-            return F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 2)) | same(x, F.get(s, i - 2)))
+        def twice(s: Column, same) -> Column:
+            return F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
 
-        def covered(d: Column) -> Column:
-            return F.size(F.array_distinct(F.flatten(F.transform(d, lambda x: F.sequence(x.bitwiseAND(low), x.bitwiseAND(low) + (k - 1))))))
+        def by_words() -> Column:
+            named = F.array_sort(F.transform(every, lambda i: F.struct(F.array_join(F.slice(w, i + 1, k), " ").alias("g"), i.alias("i"))))
+            return _bind(named, lambda s: F.transform(twice(s, lambda x, y: x["g"] == y["g"]), lambda x: x["i"]))
+
+        def starts(s: Column) -> Column:
+            clash = F.exists(F.sequence(F.lit(0), n - 2), lambda i: differ(F.get(s, i), F.get(s, i + 1)))
+            return F.when(clash, by_words()).otherwise(F.transform(twice(s, lambda x, y: bits(x) == bits(y)), place))
 
-        return F.when(n < 2, F.lit(0)).otherwise(_bind(packed, lambda s: _bind(starts(s), lambda d: F.when(F.size(d) == 0, F.lit(0)).otherwise(covered(d)))))
+        return F.when(n < 2, F.lit(0)).otherwise(_bind(packed, lambda s: _bind(starts(s), covered)))
 
     return _bind(words, count).cast("long")
 
@@ -86,7 +91,7 @@ class Rule:
     cutoffs: tuple[float, ...]
 
 
-#: What the rules measure, and the cut-offs that may be certified, strictest first.
+#: What the rules measure, and the cut-offs that may be certified.
 RULES = (
     Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)),
     Rule("long_words", "word_chars / greatest(n_words, 1)", (8.0, 9.0, 10.0, 11.0, 12.0, 14.0, 16.0, 20.0)),
@@ -98,12 +103,13 @@ RULES = (
 
 @dataclass(frozen=True)
 class Risk:
-    """With probability ``1 - delta``, for every stratum at once, the rules together reject at most
-    the share ``alpha`` of the good documents. Each rule gets an equal part of ``alpha``; each test
-    (a cut-off in a stratum) an equal part of ``delta``."""
+    """With probability ``1 - delta``, for every stratum at once, the rules together reject at most the share
+    ``alpha`` of the good documents. Each of the strata gets an equal part of ``delta``; ``tune`` is the share of the
+    labelled documents that only decide the order of the tests."""
 
     alpha: float = 0.02
     delta: float = 0.05
+    tune: float = 1 / 3
     rules: tuple[Rule, ...] = field(default=RULES)
 
 
@@ -123,30 +129,47 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, zero, step, lambda acc: acc["s"])
 
 
-def certified_cutoffs(good: DataFrame, risk: Risk) -> DataFrame:
-    """``stratum`` and one column ``cut_<rule>`` for each rule: the strictest cut-off whose false rejections
-    on the good holdout documents certify its share of ``alpha``; null if none does.
+def certified_cutoffs(labelled: DataFrame, risk: Risk) -> DataFrame:
+    """``stratum`` and one column ``cut_<rule>`` for each rule: the strictest certified cut-off; null if there is none.
 
-    ``good``: the counts of labelled good documents with their ``stratum``. A cut-off is certified if the
-    exact upper bound of its rejection rate is at most the share, that is, if so few rejections
-    would have at most the test's part of ``delta`` of probability at that rate.
+    ``labelled``: the counts of labelled documents with ``stratum``, ``good`` (boolean) and ``tune`` (boolean). A step
+    is a cut-off of a rule. The ``tune`` documents of a stratum put the steps in order, by good documents rejected for
+    each bad one (steps that reject no bad one are left out, if there are bad ones). The other documents then test the
+    steps in that order, each together with those before it: it is certified if so few good documents rejected by any of them have at
+    most the stratum's part of ``delta`` of probability at a rate of ``alpha`` (an exact binomial bound on the rules' joint
+    rate). The first step that isn't certified ends the row of tests, so within a stratum no further correction is due.
+
+    Without a single false rejection a stratum needs ``log(delta / strata) / log(1 - alpha)`` good test documents: 217 for 4
+    strata at the default values, so 325 good labelled ones in all.
     """
-    sums = [F.count("*").alias("n")]
-    for r in risk.rules:
-        sums += [F.sum(F.expr(f"CAST({r.value} > {c!r}D AS LONG)")).alias(f"{r.name}_{i}") for i, c in enumerate(r.cutoffs)]
-    counted = materialize(good.groupBy("stratum").agg(*sums), "rule-counts")
-    tests = max(1, counted.count()) * sum(len(r.cutoffs) for r in risk.rules)
-    share, level = risk.alpha / len(risk.rules), risk.delta / tests
+    steps = [(r, c) for r in risk.rules for c in r.cutoffs]
+    rejects = [F.expr(f"{r.value} > {c!r}D") for r, c in steps]
+    good, bad = F.col("good"), ~F.col("good")
+    sums = [F.struct(F.count_if(x & good).alias("g"), F.count_if(x & bad).alias("b"), F.lit(i).alias("step")) for i, x in enumerate(rejects)]
+    tuned = labelled.filter("tune").groupBy("stratum").agg(F.array(*sums).alias("x"), F.count_if(bad).alias("bad"))
+    useful = F.filter("x", lambda y: (y["b"] > 0) | (F.col("bad") == 0))
+    ranked = F.array_sort(F.transform(useful, lambda y: F.struct((y["g"] / F.greatest(y["b"], F.lit(1))).alias("cost"), (-y["b"]).alias("b"), y["step"].alias("step"))))
+    order = materialize(tuned.select("stratum", F.transform(ranked, lambda y: y["step"]).alias("order")), "rule-order")
+    test = labelled.filter(good & ~F.col("tune")).join(order, "stratum")
+    first = F.least(F.lit(len(steps) + 1), *[F.when(x, F.nullif(F.array_position("order", i), F.lit(0))) for i, x in enumerate(rejects)])
+    counts = [F.count_if(F.col("first") <= j) for j in range(1, len(steps) + 1)]
+    counted = materialize(test.withColumn("first", first).groupBy("stratum", "order").agg(F.count("*").alias("n"), F.array(*counts).alias("k")), "rule-counts")
+    level = risk.delta / max(1, counted.count())
+    # What is rejected grows from step to step, so the steps certified are those up to the last that passes.
+    passes = lambda k: (k < F.col("n") * risk.alpha) & (binomial_at_most(k, F.col("n"), risk.alpha) <= level)
+    passed = counted.withColumn("last", F.size(F.filter("k", passes)))
     cuts = []
     for r in risk.rules:
-        passed = []
-        for i, c in enumerate(r.cutoffs):
-            k = F.col(f"{r.name}_{i}")
-            # A rate at or above the share itself can't be certified; the sum is not needed there.
-            ok = F.when(k >= F.col("n") * share, F.lit(False)).otherwise(binomial_at_most(k, F.col("n"), share) <= level)
-            passed.append(F.when(ok, F.lit(float(c))))
-        cuts.append(F.coalesce(*passed).alias(f"cut_{r.name}"))
-    return materialize(counted.select("stratum", *cuts), "cutoffs")
+        mine = [F.when(F.array_position("order", i).between(1, F.col("last")), F.lit(float(c))) for i, (q, c) in enumerate(steps) if q is r]
+        cuts.append((F.least(*mine) if len(mine) > 1 else mine[0]).alias(f"cut_{r.name}"))
+    return materialize(passed.select("stratum", *cuts), "cutoffs")
+
+
+def labelled_counts(counts: DataFrame, labels: DataFrame, risk: Risk, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """What :func:`certified_cutoffs` needs of the labelled documents that pass the base check; a fixed random share of the ids orders the tests."""
+    known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(label) == 1).alias("good")).filter("good is not null")
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("tune")), F.lit(1_000_003)) < F.lit(int(risk.tune * 1_000_003))
+    return counts.filter("not base_failed").join(known, "doc_id").withColumn("tune", part)
 
 
 def quality_rules(
@@ -162,18 +185,17 @@ def quality_rules(
     base_failed, kept, rejected_by`` (name of the first rule that rejects it, ``base``, or null).
 
     The base check fails texts of fewer than 50 words or with over half of their words in repeated
-    3-word windows. The other rules have cut-offs certified for each stratum on the documents that
-    ``labels`` call good and that pass the base check; strata without certified cut-offs, or not in the labels, keep all.
+    3-word windows. The other rules have cut-offs certified for each stratum (:func:`certified_cutoffs`) on the labelled documents
+    that pass the base check; strata without certified cut-offs, or not in the labels, keep all.
 
     Null and empty texts have zero counts and fail the base check. A null stratum is one of its own.
     A document with several labels counts as good if all are; null labels and labels of unknown
-    documents count for nothing. Repeated rows are judged alike; an empty table gives no rows.
+    documents count for nothing. Repeated rows are judged alike; an empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), F.col(text).alias("text"))
     counts = materialize(text_counts(source, ["doc_id", "stratum"]), "text-counts")
     counts = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    good = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("good")).filter("good = 1").select("doc_id")
-    cuts = certified_cutoffs(counts.filter("not base_failed").join(good, "doc_id", "left_semi"), risk)
+    cuts = certified_cutoffs(labelled_counts(counts, labels, risk, doc_id, label), risk)
     why = F.when(F.col("base_failed"), "base")
     for r in risk.rules:
         why = why.when(F.expr(r.value) > F.col(f"cut_{r.name}"), r.name)

@@ -362,13 +362,78 @@ def test_binomial(spark):
 
 
 def test_certified_cutoffs_hold(spark):
-    """A rule that would reject too many good documents is not certified; a clean one is."""
+    """A step that would reject too many good documents is not certified; the ones before it are."""
     from panelwright.llm.quality import Risk, Rule, certified_cutoffs
 
-    rows = [("en", i % 100 / 100) for i in range(20_000)]
-    good = spark.createDataFrame(rows, "stratum string, v double")
-    cut = certified_cutoffs(good, Risk(0.05, 0.05, (Rule("v", "v", (0.1, 0.5, 0.93, 0.96, 0.99)),))).first()
+    rows = [("en", i % 100 / 100, i % 7 != 0, i % 3 == 0) for i in range(30_000)]
+    labelled = spark.createDataFrame(rows, "stratum string, v double, good boolean, tune boolean")
+    risk = Risk(0.05, 0.05, rules=(Rule("v", "if(good, v, 1)", (0.1, 0.5, 0.93, 0.96, 0.99)),))
+    cut = certified_cutoffs(labelled, risk).first()
     assert cut.cut_v == 0.96  # rejects 3 %; 0.93 rejects 6 %
+    assert certified_cutoffs(labelled.limit(0), risk).count() == 0
+
+
+def test_repeated_words_clash(spark, monkeypatch):
+    """Windows whose bits agree by chance are told apart by their words."""
+    from pyspark.sql import functions as F
+
+    from panelwright.llm import quality
+
+    monkeypatch.setattr(quality, "_BITS", 60)  # leaves 4 bits for the hash
+    r = random.Random(2)
+    made = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(60)))) for i in range(120)]
+    df = spark.createDataFrame(made, "i long, text string")
+    for row in df.withColumn("n", quality.repeated_words(quality._words(F.col("text")))).collect():
+        assert row.n == brute.quality_counts(row.text)[4], row
+
+
+def test_kept(spark):
+    """``kept`` against plain Python; of good documents that certified nothing, few are rejected."""
+    from math import comb
+
+    from panelwright.llm.quality import RULES, Risk, labelled_counts, quality_rules, text_counts
+    from pyspark.sql import functions as F
+
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    apart = labels.filter("doc_id % 5 = 0").select("doc_id", "quality").collect()  # never shown to the rules
+    shown = labels.filter("doc_id % 5 <> 0")
+    out = {r.doc_id: r for r in quality_rules(docs, shown).collect()}
+    good = [out[r.doc_id] for r in apart if r.quality == 1 and r.doc_id in out and not out[r.doc_id].base_failed]
+    assert sum(not r.kept for r in good) <= 0.03 * len(good)
+    bad = [out[r.doc_id] for r in apart if r.quality == 0 and r.doc_id in out and not out[r.doc_id].base_failed]
+    assert any(not r.kept for r in bad)
+    risk = Risk()
+    counts = text_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text"), ["doc_id", "stratum"]).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    rows = labelled_counts(counts, shown, risk).collect()
+    value = {
+        "symbols": lambda r: r.n_symbols / max(r.word_chars, 1), "long_words": lambda r: r.word_chars / max(r.n_words, 1), "short_words": lambda r: -r.word_chars / max(r.n_words, 1),
+        "repeated_lines": lambda r: r.n_dup_lines / max(r.n_lines, 1), "repeated_words": lambda r: r.n_repeat_words / max(r.n_words, 1),
+    }
+    steps = [(r.name, c) for r in RULES for c in r.cutoffs]
+    strata = {r.stratum for r in rows}
+    cuts = {}
+    for lang in strata:
+        mine = [r for r in rows if r.stratum == lang]
+        tune, test = [r for r in mine if r.tune], [r for r in mine if not r.tune and r.good]
+        ranked = []
+        for i, (name, c) in enumerate(steps):
+            hit = [r for r in tune if value[name](r) > c]
+            g, b = sum(r.good for r in hit), sum(not r.good for r in hit)
+            if b:
+                ranked.append((g / b, -b, i))
+        gone: set = set()
+        for _, _, i in sorted(ranked):
+            name, c = steps[i]
+            gone |= {r.doc_id for r in test if value[name](r) > c}
+            n, k = len(test), len(gone)
+            if sum(comb(n, x) * risk.alpha**x * (1 - risk.alpha) ** (n - x) for x in range(k + 1)) > risk.delta / len(strata):
+                break
+            cuts[lang, name] = min(c, cuts.get((lang, name), c))
+    assert any(lang == "en" for lang, _ in cuts)
+    for r in counts.collect():
+        over = any(value[name](r) > cuts.get((r.stratum, name), float("inf")) for name in value)
+        assert out[r.doc_id].kept == (not r.base_failed and not over)
 
 
 def test_pii(spark, docs, texts):
