@@ -2,8 +2,8 @@
 
 A file: magic, then chunks, then an index. A chunk holds ``block`` ids (the last one fewer) as
 unsigned 32-bit integers, transposed into planes (byte b, or bit b, of every id together), each
-compressed with zstandard. The index, zstandard-compressed JSON, has each chunk's place, ids and
-plane sizes and each document's id and number of ids; its length and the magic end the file.
+compressed with zstandard. The index, zstandard-compressed, is a line of JSON with each chunk's place, ids and
+plane sizes, then an Arrow stream with each document's id, of whatever type, and number of ids; its length and the magic end the file.
 
 Executors write with pyarrow's file systems to the folder given; each attempt of a task has file
 names of its own, and only those in the manifest, which Spark commits, count.
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -47,8 +48,11 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)
 
 
-def encode_file(docs: list[tuple[object, bytes]], bits: bool = False, block: int = BLOCK, level: int = 1) -> bytes:
-    """``docs``: ids of documents and their token ids as little-endian unsigned 32-bit integers."""
+def encode_file(docs: list[tuple[object, bytes]], bits: bool = False, block: int = BLOCK, level: int = 1, id_type: pa.DataType | None = None) -> bytes:
+    """``docs``: ids of documents (null is one) and their token ids as little-endian unsigned 32-bit integers.
+
+    Without documents the file has no chunks. Equal ids stay as they are, in the order given.
+    """
     packer = zstandard.ZstdCompressor(level=level)
     ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
     out, chunks, at = [MAGIC], [], len(MAGIC)
@@ -58,20 +62,26 @@ def encode_file(docs: list[tuple[object, bytes]], bits: bool = False, block: int
         chunks.append([at, len(part), [len(p) for p in planes]])
         at += sum(map(len, planes))
         out += planes
-    index = packer.compress(json.dumps({"block": block, "chunks": chunks, "doc_ids": [d for d, _ in docs], "lengths": [len(x) // 4 for _, x in docs]}).encode())
+    table = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], id_type), pa.array([len(x) // 4 for _, x in docs], pa.int64())], ["doc_id", "length"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_batch(table)
+    index = packer.compress(json.dumps({"block": block, "chunks": chunks}).encode() + b"\n" + sink.getvalue().to_pybytes())
     return b"".join([*out, index, len(index).to_bytes(8, "little"), MAGIC])
 
 
 class TokenFile:
-    """A file's index and its ids, all or a range of them."""
+    """A file's index and its ids, all or a range of them. Ids of documents come back with their type, nulls as null."""
 
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC or raw[-8:] != MAGIC:
             raise ValueError("not a token file")
         size = int.from_bytes(raw[-16:-8], "little")
-        index = json.loads(zstandard.ZstdDecompressor().decompress(raw[-16 - size : -16]))
+        head, _, stream = zstandard.ZstdDecompressor().decompress(raw[-16 - size : -16]).partition(b"\n")
+        index, table = json.loads(head), pa.ipc.open_stream(stream).read_all()
         self.raw, self.block, self.chunks = raw, index["block"], index["chunks"]
-        self.doc_ids, self.lengths = index["doc_ids"], index["lengths"]
+        self.id_type = table.schema.field("doc_id").type
+        self.doc_ids, self.lengths = (table.column(c).to_pylist() for c in ("doc_id", "length"))
 
     def chunk(self, k: int) -> np.ndarray:
         at, n, sizes = self.chunks[k]
@@ -118,7 +128,7 @@ def write_token_files(
 
     Returns the manifest ``part, nth, name, n_ids``, also written to ``path/_manifest``.
     Null and empty texts are the end id alone; null ids come first; rows of one id are ordered by
-    their text. An empty table gives no files.
+    their text. An empty table gives no files. Other columns are left out.
     """
 
     def run(batches):
@@ -129,18 +139,19 @@ def write_token_files(
         tok, end = open_tokenizer(tokenizer, style), np.array([end_id], "<u4").tobytes()
         fs, base = FileSystem.from_uri(path)
         held: list[tuple[object, bytes]] = []
-        size = 0
+        size, id_type = 0, None
 
         def flush():
             nonlocal held, size, nth
             name = f"part-{part:06d}-{nth:06d}-{uuid.uuid4().hex}.ids"
             with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(encode_file(held, bits))
+                f.write(encode_file(held, bits, id_type=id_type))
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([nth], pa.int64()), pa.array([name]), pa.array([size], pa.int64())], ["part", "nth", "name", "n_ids"])
             held, size, nth = [], 0, nth + 1
             return row
 
         for batch in slices(batches):
+            id_type = batch.column("doc_id").type
             for i, ids in zip(batch.column("doc_id").to_pylist(), tok.encode(batch.column("text").cast(pa.binary()).to_pylist())):
                 held.append((i, ids + end))
                 size += len(held[-1][1]) // 4
@@ -164,38 +175,43 @@ def _parts(spark: SparkSession) -> int:
 def read_token_files(spark: SparkSession, path: str, doc_id_type: str = "long", with_ids: bool = True) -> DataFrame:
     """One row per document from the files: ``doc_id, start, n_tokens, ids_crc32`` and, with ``with_ids``, ``ids``.
 
-    The manifest comes to the driver, one row per file of ``FILE_IDS`` ids; each file is read in one task.
+    ``start`` counts the ids of all files before, summed up by Spark from the manifest; files of attempts that
+    failed are in no manifest. Each file is read in one task. Without files there are no rows.
     """
-    first: dict[str, int] = {}
-    at = 0
-    for r in spark.read.parquet(f"{path}/_manifest").orderBy("part", "nth").collect():
-        first[r.name] = at
-        at += r.n_ids
-    starts = spark.sparkContext.broadcast(first)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("path", "content")
+    manifest = spark.read.parquet(f"{path}/_manifest")
+    # A row for each range of ids that was written, of which there are as many as shuffle partitions.
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("size"))
+    before = F.sum("size").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.withColumn("within", within).join(parts, "part").select("name", (F.col("first") + F.col("within")).alias("start"))
 
     def run(batches):
-        for batch in slices(batches, 1):
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-                base = starts.value.get(name.rpartition("/")[2])
-                if base is None:  # of an attempt that failed
-                    continue
+        from pyarrow.fs import FileSystem
+
+        fs, base = FileSystem.from_uri(path)
+        for batch in batches:
+            for name, first in zip(*(batch.column(c).to_pylist() for c in ("name", "start"))):
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    file = TokenFile(f.read())
                 held: list[tuple] = []
-                for doc_id, start, ids in TokenFile(raw.as_py()).documents():
-                    held.append((doc_id, base + start, len(ids), zlib.crc32(ids.tobytes()), ids))
+                for doc_id, start, ids in file.documents():
+                    held.append((doc_id, first + start, len(ids), zlib.crc32(ids.tobytes()), ids))
                     if len(held) == 4096:
-                        yield rows(held)
+                        yield rows(held, file.id_type)
                         held = []
                 if held:
-                    yield rows(held)
+                    yield rows(held, file.id_type)
 
-    def rows(held):
+    def rows(held, id_type):
         cols = list(zip(*held))
-        arrays = [pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())]
+        arrays = [pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())]
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         if with_ids:
             arrays.append(pa.array([x.astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    return files.mapInArrow(run, f"doc_id {doc_id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    # Names are short and files long: they are dealt out by their names' hash.
+    dealt = files.repartition(_parts(spark), F.xxhash64("name"))
+    return dealt.mapInArrow(run, f"doc_id {doc_id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)

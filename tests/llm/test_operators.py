@@ -278,6 +278,12 @@ def test_token_files(spark, docs, texts, bits, tmp_path):
     ids = np.arange(100_000, dtype="<u4") * 7919
     f = TokenFile(encode_file([("a", ids[:7].tobytes()), ("b", ids[7:].tobytes())], bits, block=1000))
     assert (f.ids(6, 3001) == ids[6:3001]).all() and f.doc_ids == ["a", "b"]
+    import datetime
+
+    day = datetime.date(2020, 1, 2)
+    odd = spark.createDataFrame([(day, "a b", 1), (None, None, 2), (day, "", 3)], "doc_id date, text string, start long")
+    write_token_files(odd, f"{tmp_path}/odd", path, 0, bits=bits)
+    assert [(r.doc_id, r.n_tokens) for r in read_token_files(spark, f"{tmp_path}/odd", "date").orderBy("start").collect()] == [(None, 1), (day, 1), (day, 3)]
     write_token_files(empty(spark), f"{tmp_path}/none", path, 0)
     assert read_token_files(spark, f"{tmp_path}/none").count() == 0
 
