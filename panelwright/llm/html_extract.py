@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Within a tag: an attribute's name and, after an equals sign, what its value starts with.
+_NEXT = re.compile(r"[\s/]*(?:(>)|([^\s/>=][^\s/>=]*|=)(?:\s*=\s*(\"|'|[^\s>\"'][^\s>]*)?)?)")
+_NAMING = frozenset(("class", "id", "role", "aria-label"))
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements within a block, without content, and with content that isn't page text.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template svg math iframe object".split())
+RAW = frozenset("script style title noscript template svg math iframe object textarea select".split())
 #: An opening one of these ends an open one of the same row, unless one of ``_SCOPES`` stands between.
 _ENDS = {t: frozenset(g.split()) for g in ("p", "li", "dt dd", "option", "tr", "td th") for t in g.split()}
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -27,80 +30,161 @@ _SCOPES = frozenset("article aside body div footer form header main nav ol secti
 
 @dataclass
 class Block:
+    """``tags``: the kinds of elements around the text; ``near``: the landmark nearest to it."""
+
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    leaf: str
+    near: str
     names: frozenset[str]
     links: int
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: the text between block-level tags, decoded, with single spaces."""
-    if not page:
-        return []
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    held: list[str] = []
-    linked = depth = at = 0
-
-    def flush() -> None:
-        nonlocal held, linked
-        if held:
-            text = " ".join("".join(held).split())
+#: Elements that say what a part of a page is for.
+_LANDMARKS = frozenset("article main nav aside footer header form".split())
+#: Kinds of elements that are told apart; all others are one kind.
+_KNOWN = INLINE | VOID | _SCOPES | _CLOSE_P | frozenset(_ENDS) | _LANDMARKS | frozenset("button caption details dialog figcaption label legend menu optgroup summary tbody tfoot thead".split())
+#: Names of one element, and of all around a block, that are read at most once each; real pages have far fewer.
+_NAMES = 256
+
+
+class _Page:
+    """Reads a page from left to right; every character is looked at a fixed number of times, but for sorting out names."""
+
+    def __init__(self, page: str):
+        self.page, self.blocks = page, []
+        # Of each open element: its tag and what a block in it inherits.
+        self.stack: list[tuple[str, frozenset[str], str, frozenset[str]]] = []
+        self.open: Counter[str] = Counter()
+        self.held: list[str] = []
+        self.linked = self.in_link = 0
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def flush(self) -> None:
+        if self.held:
+            text = " ".join("".join(self.held).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked))
-        held, linked = [], 0
+                leaf, tags, near, names = self.stack[-1] if self.stack else ("", frozenset(), "none", frozenset())
+                self.blocks.append(Block(text, tags, leaf, near, names, self.linked))
+        self.held, self.linked = [], 0
 
-    def take(raw: str) -> None:
-        nonlocal linked
+    def take(self, raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            held.append(text)
-            if depth:
-                linked += len(text)
-
-    while m := _TOKEN.search(page, at):
-        take(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag == "br":
-            held.append(" ")
-        elif tag in RAW and not closing:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-        elif tag in INLINE:
-            if tag == "a":
-                depth = 0 if closing else 1
-        elif tag in VOID:
-            if tag not in ("img", "input"):
-                flush()
-        elif closing:
-            flush()
-            depth = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            self.held.append(text)
+            if self.in_link:
+                self.linked += len(text)
+
+    def attributes(self, at: int) -> tuple[int, set[str], bool]:
+        """From behind a tag's name: the place behind the tag (-1: it has no end), its names, and whether it closes itself."""
+        page, names = self.page, set()
+        while m := _NEXT.match(page, at):
+            at = m.end()
+            if m[1]:
+                return at, names, page[m.start() : at].rstrip(">").endswith("/")
+            value = m[3]
+            if value in self.last:
+                if self.last[value] >= at:
+                    end = page.index(value, at)
+                    value, at = page[at:end], end + 1
+                else:  # never closed: it ends with the tag
+                    end = page.find(">", at)
+                    value, at = page[at : end if end >= 0 else len(page)], end if end >= 0 else len(page)
+            if value and m[2].lower() in _NAMING and len(names) < _NAMES:
+                names.update(x.lower() for x in _NAME.findall(value[:4096]))
+        return -1, names, False
+
+    def close(self, count: int) -> None:
+        for tag, *_ in self.stack[count:]:
+            self.open[tag] -= 1
+        del self.stack[count:]
+
+    def element(self, tag: str, names: set[str]) -> None:
+        ends = _ENDS.get(tag, frozenset()) | (frozenset(("p",)) if tag in _CLOSE_P else frozenset())
+        if any(self.open[x] > 0 for x in ends):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] in ends:
+                    self.close(i)
                     break
-        elif tag not in ("html", "body", "head"):
-            flush()
-            depth = 0
-            ends = _ENDS.get(tag, frozenset()) | (frozenset("p") if tag in _CLOSE_P else frozenset())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
+                if self.stack[i][0] in _SCOPES:
                     break
-                if stack[i][0] in _SCOPES:
-                    break
-            names: set[str] = set()
-            if m[3]:
-                for a in _ATTR.finditer(m[3]):
-                    names.update(x.lower() for x in _NAME.findall(a[2] or a[3] or a[4] or ""))
-            stack.append((tag, frozenset(names)))
-    take(page[at:])
-    flush()
-    return out
+        _, tags, near, around = self.stack[-1] if self.stack else ("", frozenset(), "none", frozenset())
+        kind = tag if tag in _KNOWN else "other"
+        # Most elements bring nothing new, so deep pages share the sets of their outer elements.
+        tags = tags if kind in tags else tags | {kind}
+        fresh = names - around if len(around) < _NAMES else ()
+        self.stack.append((tag, tags, tag if tag in _LANDMARKS else near, around | fresh if fresh else around))
+        self.open[tag] += 1
+
+    def read(self) -> list[Block]:
+        page, at, size = self.page, 0, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                self.take(page[at:start])
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                if end >= 0:
+                    self.take(page[at:start])
+                    at = end + 1
+                    continue
+            m = _TAG.match(page, start + 1)
+            if not m:
+                self.take(page[at : start + 1])
+                at = start + 1
+                continue
+            self.take(page[at:start])
+            at, names, alone = self.attributes(m.end())
+            if at < 0:  # cut off within a tag
+                at = size
+                break
+            tag, closing = m[2].lower(), bool(m[1])
+            if tag == "br":
+                self.held.append(" ")
+            elif tag in RAW and not closing:
+                if not alone or tag in ("script", "style", "title", "textarea"):
+                    at = self.skip(tag, at)
+            elif tag in INLINE:
+                if tag == "a":
+                    self.in_link = 0 if closing else 1
+            elif tag in VOID:
+                if tag not in ("img", "input"):
+                    self.flush()
+            elif closing:
+                self.flush()
+                self.in_link = 0
+                if self.open[tag] > 0:
+                    i = len(self.stack) - 1
+                    while self.stack[i][0] != tag:
+                        i -= 1
+                    self.close(i)
+            elif tag not in ("html", "body", "head"):
+                self.flush()
+                self.in_link = 0
+                self.element(tag, names)
+        self.take(page[at:])
+        self.flush()
+        return self.blocks
+
+    def skip(self, tag: str, at: int) -> int:
+        """Behind the end of an element whose content isn't page text; without an end, that of the page."""
+        if tag not in _RAW_END:
+            _RAW_END[tag] = re.compile(rf"</{tag}\b[^>]*>", re.I)
+        end = _RAW_END[tag].search(self.page, at)
+        return end.end() if end else len(self.page)
+
+
+_RAW_END: dict[str, re.Pattern] = {}
+
+
+def blocks(page: str | None) -> list[Block]:
+    """Leaf blocks in page order: the text between block-level tags, decoded, with single spaces.
+
+    Null and empty pages have none. A quote that never closes ends with its tag; a page that is cut off within a tag ends before it.
+    """
+    return _Page(page).read() if page else []
 
 
 #: Words of page furniture in text.
@@ -113,13 +197,11 @@ def features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
         f = ["bias"]
-        tags = set(b.tags)
-        f += [f"in:{t}" for t in tags]
-        if b.tags:
-            f.append(f"leaf:{b.tags[-1]}")
+        f += [f"in:{t}" for t in b.tags]
+        if b.leaf:
+            f.append(f"leaf:{b.leaf}")
         # The landmark nearest to the block says most.
-        near = next((t for t in reversed(b.tags) if t in ("article", "main", "nav", "aside", "footer", "header", "form")), "none")
-        f.append(f"near:{near}")
+        f.append(f"near:{b.near}")
         f += [f"name:{n}" for n in b.names]
         n = len(b.text)
         f.append(f"chars:{min(6, n.bit_length() // 2)}")
@@ -273,8 +355,12 @@ class PageMaker:
             return f"<blockquote><p>{w(3, 40)}</p></blockquote>"
         if p < 0.92:
             return f'<p>{w(3, 30)} <a href="/x">{w(1, 6)}</a> {w(1, 20)}</p>'
-        if p < 0.96:
+        if p < 0.94:
             return f"<pre>{w(3, 30)}</pre>"
+        if p < 0.96:
+            return self.wrap(r.choice(("section", "div")), r.choice(((), ("part", "text", "row"))), f"<h3>{w(1, 6)}</h3><p>{w(1, 40)}</p>")
+        if p < 0.97:
+            return f"<figure><figcaption>{w(2, 12)}</figcaption></figure>" if r.random() < 0.5 else f"<dl><dt>{w(1, 3)}</dt><dd>{w(2, 12)}</dd></dl>"
         return "<table><tr>" + "".join(f"<td>{w(1, 4)}</td>" for _ in range(3)) + "</tr></table>"
 
     def page(self) -> list[tuple[str, int]]:
@@ -333,6 +419,7 @@ def default_field() -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
+    """The blocks that are content, joined by spaces; empty for null and empty pages."""
     found = blocks(page)
     return " ".join(b.text for b, y in zip(found, field.decode(features(found))) if y)
 
