@@ -25,6 +25,8 @@ STEP_BYTES = 1 << 20
 _ODD = (b"  ", b"\n ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Before a single space between two other characters.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Marks a text's first part; no byte of UTF-8.
+_FIRST = b"\xff"
 #: What ends a sentence at the end of a token.
 _STOPS = (".", "!", "?", "\u2026")
 
@@ -84,13 +86,24 @@ class PartTokenizer:
         self.parts_known, self.pieces = Remembered(), Remembered()
 
     def parts(self, raw: bytes) -> list[bytes]:
+        """With "spaces", every part but the first comes without the space it starts with; the first is marked."""
         if self.style == "words":
             return raw.split()
         # Before a space between two other characters is always the end of a piece.
         if any(x in raw for x in _ODD):
-            return [x.encode("utf-8", "surrogatepass") for x in _SAFE_CUT.split(raw.decode("utf-8", "surrogatepass"))]
-        first, *rest = raw.split(b" ")
-        return [*([first] if first else []), *[b" " + x for x in rest]]
+            first, *rest = _SAFE_CUT.split(raw.decode("utf-8", "surrogatepass"))
+            parts = [first.encode("utf-8", "surrogatepass"), *(x[1:].encode("utf-8", "surrogatepass") for x in rest)]
+        else:
+            parts = raw.split(b" ")
+        if parts[0]:
+            parts[0] = _FIRST + parts[0]
+            return parts
+        return parts[1:]
+
+    def _whole(self, part: bytes) -> bytes:
+        if self.style == "words":
+            return part
+        return part[1:] if part.startswith(_FIRST) else b" " + part
 
     def token_kinds(self) -> tuple[np.ndarray, np.ndarray]:
         """For every id, whether its token ends a sentence and whether it starts with a digit."""
@@ -115,7 +128,7 @@ class PartTokenizer:
         return [part]
 
     def _learn(self, parts: list[bytes]) -> None:
-        split = [self._split(p) for p in parts]
+        split = [self._split(self._whole(p)) for p in parts]
         new = self.pieces.lacks({x for s in split for x in s})
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
         self.pieces.now.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, got))
