@@ -141,16 +141,19 @@ def annual_period_pick(d):
     return p.groupBy("user_id", "event_type").agg(F.min_by(F.struct("pref", "value"), "pref").alias("b")).select("user_id", "event_type", "b.*")
 
 
-@query(""", r AS (SELECT l_suppkey AS k, CAST(year(l_shipdate) AS BIGINT) AS year, l_returnflag AS f, l_linestatus AS code, l_extendedprice AS v, l_quantity AS w, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_orderkey % 40 = 0),
+_COLLAPSE = """, r AS (SELECT l_suppkey AS k, CAST(year(l_shipdate) AS BIGINT) AS year, l_returnflag AS f, l_linestatus AS code, l_extendedprice AS v, l_quantity AS w, l_orderkey * 10 + l_linenumber AS o FROM lineitem),
  g AS (SELECT k, year, f, count(DISTINCT v) AS n, sum(v) AS s, sum(v * w) / nullif(sum(w), 0) AS m, arg_max(v, o) AS p, any_value(v) AS one FROM r GROUP BY 1, 2, 3)
- SELECT k, year, f, round(CASE WHEN n = 1 THEN one WHEN f = 'A' THEN s WHEN f = 'N' THEN m ELSE p END, 4) AS value, CASE WHEN n = 1 THEN '' WHEN f = 'R' THEN 'duplicate_codes' ELSE 'merged_sources' END AS flag FROM g""")
+ SELECT k, year, f, round(CASE WHEN n = 1 THEN one WHEN f = 'A' THEN s WHEN f = 'N' THEN m ELSE p END, 4) AS value, CASE WHEN n = 1 THEN '' WHEN f = 'R' THEN 'duplicate_codes' ELSE 'merged_sources' END AS flag FROM g"""
+
+
+@query(_COLLAPSE)
 def collapse_sum_mean(d):
-    return _collapsed(d.lineitem.filter("l_orderkey % 40 = 0"))
+    return _collapsed(d.lineitem)
 
 
-@query(None)
+@query(_COLLAPSE)
 def collapse_all_sources(d):
-    """The collapse over every row; ``collapse_sum_mean`` is held to the orders of its SQL."""
+    """An older name of :func:`collapse_sum_mean`."""
     return _collapsed(d.lineitem)
 
 
@@ -207,19 +210,22 @@ def dim_latest_version(d):
     return _versions(d).groupBy("id").agg(F.max_by("code", "year_from").alias("code"), h.alias("history"), F.min("year_from").cast("long").alias("first_year"))
 
 
-@query("""SELECT coalesce(a.region, b.region) AS region, a.ids AS priced, b.ids AS plain FROM
- (SELECT region, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM entities WHERE id % 20 = 0 AND region < 15 GROUP BY 1) a FULL JOIN
- (SELECT region, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM entities WHERE id % 20 = 1 AND region > 5 GROUP BY 1) b ON a.region = b.region""")
+_SIDES = """SELECT coalesce(a.region, b.region) AS region, a.ids AS priced, b.ids AS plain FROM
+ (SELECT region, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM entities WHERE id % 2 = 0 GROUP BY 1) a FULL JOIN
+ (SELECT region, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM entities WHERE id % 2 <> 0 GROUP BY 1) b ON a.region = b.region"""
+
+
+@query(_SIDES)
 def boundary_events(d):
+    """Every entity stands on one side, even ids against odd ones."""
     e = d.entities()
-    return _aligned(e.filter("id % 20 = 0 AND region < 15"), e.filter("id % 20 = 1 AND region > 5"))
+    return _aligned(e.filter("id % 2 = 0"), e.filter("id % 2 <> 0"))
 
 
-@query(None)
+@query(_SIDES)
 def boundary_all_events(d):
-    """Every entity on a side, even ids against odd ones; ``boundary_events`` is held to the ids and regions of its SQL."""
-    e = d.entities()
-    return _aligned(e.filter("id % 2 = 0"), e.filter("id % 2 <> 0"))
+    """An older name of :func:`boundary_events`."""
+    return boundary_events(d)
 
 
 def _aligned(priced, plain):

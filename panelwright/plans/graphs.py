@@ -61,18 +61,14 @@ def pairwise_euclid(d):
     return _pairs(d, "l2")
 
 
-@query(""", s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((s_suppkey * 91) % 360 - 180 AS DOUBLE) AS lon FROM supplier)
+_KM_PAIRS = """, s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((s_suppkey * 91) % 360 - 180 AS DOUBLE) AS lon FROM supplier)
  SELECT a.id AS src, b.id AS dst, round(2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))), 4) AS km
- FROM s a JOIN s b ON a.id % 10 = b.id % 10 AND a.id < b.id""")
-def haversine_pairs(d):
-    s = _places(d).withColumn("g", F.col("id") % 10)
-    return _km(s.join(_ends(s.select("g", "id", "lat", "lon")), "g"))
+ FROM s a JOIN s b ON a.id < b.id"""
 
 
-@query(None)
-def haversine_all_pairs(d, blocks=16):
-    """Every pair of places; ``haversine_pairs`` is held to the groups of its SQL. Blocks of places meet in tiles,
-    each two places in one."""
+@query(_KM_PAIRS)
+def haversine_pairs(d, blocks=16):
+    """Every pair of places. Blocks of places meet in tiles, each two places in one."""
     s = _places(d).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = s.select("id", "lat", "lon", F.col("h").alias("row"), every.alias("column"))
@@ -80,6 +76,12 @@ def haversine_all_pairs(d, blocks=16):
     return _km(a.join(_ends(b), ["row", "column"]))
 
 
+@query(_KM_PAIRS)
+def haversine_all_pairs(d):
+    """An older name of :func:`haversine_pairs`."""
+    return haversine_pairs(d)
+
+
 def _places(d):
     k = F.col("s_suppkey")
     return d.supplier.select(k.alias("id"), ((k * 37) % 140 - 70).cast("double").alias("lat"), ((k * 91) % 360 - 180).cast("double").alias("lon"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
 from panelwright.operators import cluster as C
+from panelwright.operators import convergence as G
 from panelwright.plans.base import query
 from panelwright.plans.graphs import X5
-from panelwright.sources.work import written
 
 _T = ", y AS (SELECT DISTINCT year FROM types), ny AS (SELECT year, lead(year) OVER (ORDER BY year) AS next FROM y), two AS (SELECT a.id, a.year AS y0, n.next AS y1, a.label AS f, b.label AS t FROM types a JOIN ny n USING (year) JOIN types b ON b.id = a.id AND b.year = n.next)"
 
@@ -157,11 +157,11 @@ def category_rules(d):
     return u.select("label", "feature", c.alias("category"))
 
 
-@query("""SELECT label, count(*) AS n, round(median(spend), 4) AS median_spend, string_agg(CAST(id AS VARCHAR), ',' ORDER BY spend DESC, id) FILTER (rn <= 4) AS top FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY spend DESC, id) AS rn FROM types JOIN wide USING (id, year) WHERE year = 1998) GROUP BY 1""")
+@query("""SELECT year, label, count(*) AS n, round(median(spend), 4) AS median_spend, string_agg(CAST(id AS VARCHAR), ',' ORDER BY spend DESC, id) FILTER (rn <= 4) AS top FROM (SELECT *, row_number() OVER (PARTITION BY year, label ORDER BY spend DESC, id) AS rn FROM types JOIN wide USING (id, year)) GROUP BY 1, 2""")
 def type_passport(d):
-    t = d.types().join(d.wide(), ["id", "year"]).filter("year = 1998").withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy(F.desc("spend"), "id")))
+    t = d.types().join(d.wide(), ["id", "year"]).withColumn("rn", F.row_number().over(W.partitionBy("year", "label").orderBy(F.desc("spend"), "id")))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 4, F.struct("rn", "id")))), lambda x: x["id"].cast("string")), ",")
-    return t.groupBy("label").agg(F.count("*").alias("n"), F.round(F.median("spend"), 4).alias("median_spend"), top.alias("top"))
+    return t.groupBy("year", "label").agg(F.count("*").alias("n"), F.round(F.median("spend"), 4).alias("median_spend"), top.alias("top"))
 
 
 @query("SELECT e.region, w.year, round(100.0 * count(*) FILTER (n_orders > 1) / count(*), 4) AS coverage FROM wide w JOIN entities e USING (id) GROUP BY 1, 2")
@@ -197,9 +197,9 @@ def dispersion_table(d):
     return d.long().groupBy("indicator").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.stddev_samp("value") / F.avg("value"), 6).alias("cv"), F.count("*").alias("n"))
 
 
-@query("SELECT year, count(*) AS n, round(stddev_samp(ln(spend)), 6) AS sd_log, round(stddev_samp(spend) / avg(spend), 6) AS cv FROM wide WHERE spend > 0 AND year < 2001 GROUP BY 1")
+@query("SELECT year, count(*) AS n, round(stddev_samp(ln(spend)), 6) AS sd_log, round(stddev_samp(spend) / avg(spend), 6) AS cv FROM wide WHERE spend > 0 GROUP BY 1")
 def sigma_convergence(d):
-    return d.wide().filter("spend > 0 and year < 2001").groupBy("year").agg(F.count("*").alias("n"), F.round(F.stddev_samp(F.ln("spend")), 6).alias("sd_log"), F.round(F.stddev_samp("spend") / F.avg("spend"), 6).alias("cv"))
+    return d.wide().filter("spend > 0").groupBy("year").agg(F.count("*").alias("n"), F.round(F.stddev_samp(F.ln("spend")), 6).alias("sd_log"), F.round(F.stddev_samp("spend") / F.avg("spend"), 6).alias("cv"))
 
 
 _B = ", g AS (SELECT ln(a.spend) AS x, (ln(b.spend) - ln(a.spend)) / 5 AS y FROM wide a JOIN wide b ON a.id = b.id AND a.year = 1995 AND b.year = 2000), s AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx FROM g)"
@@ -217,43 +217,43 @@ def beta_absolute(d):
     return e.select("n", F.round("b", 6).alias("b"), F.round("r2", 6).alias("r2"), F.round(se, 6).alias("se"), F.round(F.when(left > 0, -F.ln(left) / 5), 6).alias("speed"))
 
 
+@query("""SELECT round(b, 6) AS slope, round(sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS se, n AS years FROM (SELECT regr_slope(s, year) AS b, regr_sxx(s, year) AS sxx, regr_syy(s, year) AS syy, regr_sxy(s, year) AS sxy, count(s) AS n
+ FROM (SELECT year, stddev_samp(ln(spend)) AS s FROM wide WHERE spend > 0 GROUP BY 1))""".replace("FROM (SELECT regr", " FROM (SELECT regr"))
+def sigma_trend(d):
+    """Slope of the yearly spread of logs over time, with its standard error."""
+    s = d.wide().filter("spend > 0").groupBy("year").agg(F.stddev_samp(F.ln("spend")).alias("s"))
+    r = s.agg(F.regr_slope("s", "year").alias("b"), F.regr_sxx("s", "year").alias("sxx"), F.regr_syy("s", "year").alias("syy"), F.regr_sxy("s", "year").alias("sxy"), F.count("s").alias("years"))
+    return r.select(F.round("b", 6).alias("slope"), F.round(F.sqrt((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("years") - 2) / F.col("sxx")), 6).alias("se"), "years")
+
+
+def _years(d):
+    r = d.orders.agg(F.year(F.min("o_orderdate")).alias("a"), F.year(F.max("o_orderdate")).alias("b")).first()
+    return list(range(r.a, r.b + 1)) if r.a is not None else []
+
+
 @query(None)
 def beta_panel(d):
-    """Growth on the log level of the year before, entities and years taken out by turns, errors by region.
-
-    Residuals of two-way means need alternating passes; each is two grouped means joined back."""
+    """Growth on the log level of the year before, with effects of entities and years, errors by region."""
     w = d.wide().filter("spend > 0").select("id", "year", F.ln("spend").alias("l"))
     before = w.select("id", (F.col("year") + 1).alias("year"), F.col("l").alias("x"))
-    p = w.join(before, ["id", "year"]).select("id", "year", "x", (F.col("l") - F.col("x")).alias("y")).join(d.entities().select("id", "region"), "id")
-    for _ in range(6):
-        for key in ("id", "year"):
-            m = p.groupBy(key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-            p = p.join(m, key).select("id", "year", "region", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-        p = written(p, "demeaned")
-    s = p.agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).alias("b"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.count("*").alias("n"))
-    g = p.crossJoin(F.broadcast(s)).groupBy("region", "b", "sxx", "n").agg(F.sum(F.col("x") * (F.col("y") - F.col("b") * F.col("x"))).alias("u"))  # one row of sums
-    meat = F.sum(F.col("u") * F.col("u")) * F.try_divide(F.count("*"), F.count("*") - 1)
-    return g.groupBy("b", "sxx", "n").agg(meat.alias("m")).select("n", F.round("b", 6).alias("b"), F.round(F.sqrt("m") / F.col("sxx"), 6).alias("se"))
+    p = w.join(before, ["id", "year"]).join(d.entities().select("id", F.col("region").alias("grp")), "id").select("id", "year", "grp", "x", (F.col("l") - F.col("x")).alias("y"))
+    return G.beta_within(p, _years(d)[1:]).select("n", "n_units", "n_groups", F.round("b", 6).alias("b"), F.round("se", 6).alias("se"), F.round("speed", 6).alias("speed"))
 
 
 @query(None)
 def log_t(d):
-    """Relative convergence of log spend: trends by a fixed smoothing matrix, then a small regression on the driver."""
-    years = list(range(1995, 2001))
-    t = len(years)
-    k = np.zeros((t - 2, t))
-    for i in range(t - 2):
-        k[i, i : i + 3] = (1, -2, 1)
-    smooth = np.linalg.inv(np.eye(t) + 400 * k.T @ k)
-    w = d.wide().filter("spend > 0 and year < 2001").groupBy("id").pivot("year", years).agg(F.first(F.ln("spend"))).dropna()
-    trend = [sum(F.col(str(y)) * float(smooth[i, j]) for j, y in enumerate(years)) for i in range(t)]
-    x = w.select("id", *[c.alias(f"t{i}") for i, c in enumerate(trend)])
-    mean = x.agg(*[F.avg(f"t{i}").alias(f"m{i}") for i in range(t)])
-    h = x.crossJoin(F.broadcast(mean)).agg(*[F.avg(F.pow(F.col(f"t{i}") / F.col(f"m{i}") - 1, 2)).alias(f"h{i}") for i in range(t)])  # one row of means
-    rows = F.array(*[F.struct(F.lit(y).alias("year"), F.lit(i + 1).alias("t"), F.col(f"h{i}").alias("h")) for i, y in enumerate(years)])
-    e = h.select(F.explode(rows).alias("r"), F.col("h0").alias("first")).select("r.*", "first").filter(F.col("t") > int(0.3 * t))
-    v = F.ln(F.col("first") / F.col("h")) - 2 * F.ln(F.ln(F.col("t") + 1.0))
-    return e.agg(F.round(F.regr_slope(v, F.ln("t")), 4).alias("b"), F.count("*").alias("n"))
+    """Relative convergence of log spend over all years of the table."""
+    r = G.log_t(d.wide(), "spend", _years(d))
+    return d.spark.createDataFrame([(round(r["b"], 6), round(r["t"], 6), r["points"], r["n"])], "b double, t double, points long, n long")
+
+
+@query(None)
+def convergence_clubs(d):
+    """Clubs of regions by their mean spend: a few values for each region come to the driver."""
+    years = _years(d)
+    m = d.wide().filter("spend > 0").join(d.entities().select("id", "region"), "id").groupBy("region").pivot("year", years).agg(F.ln(F.avg("spend"))).dropna().orderBy("region").collect()
+    found = G.clubs(np.array([[r[str(y)] for y in years] for r in m])) if m else []
+    return d.spark.createDataFrame([(r.region, int(c)) for r, c in zip(m, found)], "region long, club long")
 
 
 def _fitted(method):
@@ -339,19 +339,22 @@ def top_deviations(d):
     return d.wide().select("id", "spend", "year").orderBy(F.desc(F.abs(F.ln(F.col("spend") / 100000))), "id", "year").limit(20)
 
 
-@query("SELECT district, label, n FROM (SELECT e.district, t.label, count(*) AS n FROM types t JOIN entities e USING (id) WHERE t.year = 1999 GROUP BY 1, 2)")
+@query("SELECT t.year, e.district, t.label, count(*) AS n FROM types t JOIN entities e USING (id) GROUP BY 1, 2, 3")
 def label_by_district(d):
-    return d.types().filter("year = 1999").join(d.entities().select("id", "district"), "id").groupBy("district", "label").agg(F.count("*").alias("n"))
+    return d.types().join(d.entities().select("id", "district"), "id").groupBy("year", "district", "label").agg(F.count("*").alias("n"))
+
 
+_CONSTANT = "SELECT id, count(*) AS n_years, mode(n_orders) AS usual FROM wide GROUP BY 1 HAVING count(DISTINCT n_orders) = 1"
 
-@query("SELECT id, count(*) AS n_years, mode(n) AS usual FROM (SELECT id, year, n_orders AS n FROM wide WHERE id % 2 = 0) GROUP BY 1 HAVING count(DISTINCT n) = 1")
+
+@query(_CONSTANT)
 def constant_entities(d):
-    return _constant(d.wide().filter("id % 2 = 0"))
+    return _constant(d.wide())
 
 
-@query(None)
+@query(_CONSTANT)
 def constant_all_entities(d):
-    """The check of every entity; ``constant_entities`` is held to the even ids of its SQL."""
+    """An older name of :func:`constant_entities`."""
     return _constant(d.wide())
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to ``spark.checkpoint.dir`` and read back: iterations keep a short plan and survive lost executors."""
+    """``df``, written to ``spark.checkpoint.dir`` (the warehouse, where the session names none) and read back: iterations
+    keep a short plan and survive lost executors."""
     spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work-tables"
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
