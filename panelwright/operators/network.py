@@ -11,22 +11,45 @@ from pyspark.sql import functions as F
 from panelwright.sources.work import written
 
 
+#: Blocks of a year's nodes; a tile is a pair of blocks.
+BLOCKS = 8
+
+
 def pairs(nodes: DataFrame, features: list[str], metric: str = "l1", weights: dict[str, float] | None = None) -> DataFrame:
     """``year, src, dst, distance`` for ``src < dst`` of a year.
 
-    Weighted L1 or Euclid, renormalised over the features that both have; null without any. The
-    network of a year is quadratic by definition: a stated node set of some thousands a year.
+    Weighted L1 or Euclid, renormalised over the features that both have; null without any. A year's network is
+    quadratic by definition; its pairs are dealt into tiles of two blocks, so a year is not one key.
     """
     wts = {f: (weights or {}).get(f, 1.0) for f in features}
     wts = {f: w for f, w in wts.items() if w}
-    a = nodes.select("year", F.col("id").alias("src"), *[F.col(f).alias(f"a_{f}") for f in wts])
-    b = nodes.select("year", F.col("id").alias("dst"), *[F.col(f).alias(f"b_{f}") for f in wts])
+    block, every = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    a = nodes.select("year", F.col("id").alias("src"), *[F.col(f).alias(f"a_{f}") for f in wts], block.alias("row"), every.alias("column"))
+    b = nodes.select("year", F.col("id").alias("dst"), *[F.col(f).alias(f"b_{f}") for f in wts], every.alias("row"), block.alias("column"))
     both = {f: F.col(f"a_{f}").isNotNull() & F.col(f"b_{f}").isNotNull() for f in wts}
-    diff = {f: F.abs(F.col(f"a_{f}") - F.col(f"b_{f}")) if metric == "l1" else F.pow(F.col(f"a_{f}") - F.col(f"b_{f}"), 2) for f in wts}
+    gap = {f: F.col(f"a_{f}") - F.col(f"b_{f}") for f in wts}
+    diff = {f: F.abs(gap[f]) if metric == "l1" else gap[f] * gap[f] for f in wts}
     total = reduce(lambda x, y: x + y, [F.when(both[f], F.lit(w)).otherwise(0.0) for f, w in wts.items()])
     score = reduce(lambda x, y: x + y, [F.when(both[f], w * diff[f]).otherwise(0.0) for f, w in wts.items()])
     d = F.when(total > 0, score / F.nullif(total, F.lit(0.0)))
-    return a.join(b, "year").filter("src < dst").select("year", "src", "dst", (d if metric == "l1" else F.sqrt(d)).alias("distance"))
+    return a.join(b, ["year", "row", "column"]).filter("src < dst").select("year", "src", "dst", (d if metric == "l1" else F.sqrt(d)).alias("distance"))
+
+
+def median(p: DataFrame, value: str, bins: int = 4096) -> DataFrame:
+    """``year, median`` of the positive values, exact: a count of each bin finds the bins of the middle values, whose values alone are sorted."""
+    v = p.filter(F.col(value) > 0).select("year", F.col(value).alias("v"))
+    span = v.groupBy("year").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (bins - 1))).otherwise(0).cast("int")
+    binned = v.join(F.broadcast(span), "year").select("year", "v", at.alias("bin"))  # a row a year
+    counts = binned.groupBy("year", "bin").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("year").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))  # at most ``bins`` rows a year
+    ranked = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(W.partitionBy("year")))
+    # Of the values in ascending order, counted from 0, those in the middle.
+    first, last = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = ranked.filter((F.col("upto") > first) & (F.col("upto") - F.col("n") <= last)).select("year", "bin", (F.col("upto") - F.col("n")).alias("before"), first.alias("first"), last.alias("last"))
+    near = binned.join(F.broadcast(middle), ["year", "bin"])  # a row or two a year
+    place = F.row_number().over(W.partitionBy("year", "bin").orderBy("v")) - 1 + F.col("before")
+    return near.withColumn("place", place).filter("place between first and last").groupBy("year").agg(F.avg("v").alias("median"))
 
 
 def weigh(p: DataFrame, kind: str = "gaussian") -> DataFrame:
@@ -35,8 +58,9 @@ def weigh(p: DataFrame, kind: str = "gaussian") -> DataFrame:
         return p.withColumn("weight", 1 / (1 + F.col("distance")))
     if kind != "gaussian":
         raise ValueError(kind)
-    sigma = p.groupBy("year").agg(F.median(F.when(F.col("distance") > 0, F.col("distance"))).alias("__s"))
-    return p.join(F.broadcast(sigma), "year").withColumn("weight", F.exp(-F.pow("distance", F.lit(2)) / (2 * F.pow("__s", F.lit(2))))).drop("__s")  # a row a year
+    p = written(p, "pairs")  # read by each step of the median
+    d, s = F.col("distance"), F.col("median")
+    return p.join(F.broadcast(median(p, "distance")), "year").withColumn("weight", F.exp(-(d * d) / (2 * s * s))).drop("median")  # a row a year
 
 
 def both_ways(p: DataFrame) -> DataFrame:
@@ -104,4 +128,78 @@ def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def squared(x: list[Column], y: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.pow(p - q, 2) for p, q in zip(x, y)])
+    return reduce(lambda a, b: a + b, [(p - q) * (p - q) for p, q in zip(x, y)])
+
+
+def sample(panel: DataFrame, years: tuple[int, int], regions: list[int] | None = None, districts: list[str] | None = None, exclude_changed: bool = True) -> DataFrame:
+    """The rows of a network's sample: valid ones of the years, of the regions or, without them, of the districts; without changed borders.
+
+    ``panel`` has ``year, region, district`` and the booleans ``valid`` and ``changed``; null ones count as false.
+    """
+    rows = panel.filter(F.coalesce("valid", F.lit(False)) & F.col("year").between(*years))
+    if regions:
+        rows = rows.filter(F.col("region").isin(regions))
+    elif districts:
+        rows = rows.filter(F.col("district").isin(districts))
+    return rows.filter(~F.coalesce("changed", F.lit(False))) if exclude_changed else rows
+
+
+def winsor(df: DataFrame, columns: list[str], lower: float, upper: float, by: list[str]) -> DataFrame:
+    """Values beyond the quantiles of their group become those quantiles; missing ones stay so."""
+    cuts = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(lower), F.lit(upper))).alias(f"cut_{c}") for c in columns])
+    j = df.join(F.broadcast(cuts), by)  # a row a group, of which there are as many as years
+    held = [F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.get(f"cut_{c}", F.lit(0))), F.get(f"cut_{c}", F.lit(1)))).alias(c) for c in columns]
+    return j.select(*[c for c in df.columns if c not in columns], *held)
+
+
+def usable(nodes: DataFrame, features: list[str], threshold: float = 0.5, missing: str = "drop") -> DataFrame:
+    """A feature that fewer than ``threshold`` of a year's nodes have is null for all of them, and so out of the year's distances
+    with its weight. Nodes that lack another feature are left out (``drop``) or compared by what they have (``pairwise``).
+
+    Years in which no feature is left have no nodes under ``drop``.
+    """
+    share = nodes.groupBy("year").agg(*[F.avg(F.col(f).isNotNull().cast("double")).alias(f"share_{f}") for f in features])
+    j = nodes.join(F.broadcast(share), "year")  # a row a year
+    there = {f: F.col(f"share_{f}") >= threshold for f in features}
+    kept = j.select(*[F.when(there[c], F.col(c)).alias(c) if c in features else F.col(c) for c in nodes.columns], *[there[f].alias(f"there_{f}") for f in features])
+    if missing == "drop":
+        whole = reduce(lambda a, b: a & b, [~F.col(f"there_{f}") | F.col(f).isNotNull() for f in features])
+        some = reduce(lambda a, b: a | b, [F.col(f"there_{f}") for f in features])
+        kept = kept.filter(whole & some)
+    return kept.select(*nodes.columns)
+
+
+def build(nodes: DataFrame, features: dict[str, float], k: int = 5, mode: str = "symmetric", metric: str = "l1", kind: str = "gaussian") -> DataFrame:
+    """``year, src, dst, distance, weight, near, tree``: the edges to the ``k`` nearest together with those of the spanning forest."""
+    p = weigh(pairs(nodes, list(features), metric, features).filter("distance is not null"), kind)
+    p = written(p, "weighted-pairs")
+    near, tree = knn(p, k, mode).withColumn("near", F.lit(True)), spanning_forest(p).select("year", "src", "dst").withColumn("tree", F.lit(True))
+    chosen = near.join(tree, ["year", "src", "dst"], "full_outer").select("year", "src", "dst", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("tree", F.lit(False)).alias("tree"))
+    return p.join(chosen, ["year", "src", "dst"]).select("year", "src", "dst", "distance", "weight", "near", "tree")
+
+
+def geographic(nodes: DataFrame, tables: dict[str, tuple[DataFrame, float]], line: DataFrame, rule: str = "line") -> DataFrame:
+    """``src, dst, distance``: the weighted mean of several distances, each over its largest, for every pair ``src < dst`` of ``line``.
+
+    ``tables``: for each kind ``src, dst, km`` in either direction, and its weight. A pair that a table lacks takes, by ``rule``, its
+    ``line`` distance times the median ratio of the table's distances to lines (``line``), the table's largest (``adjacency``), or is
+    missing (``exclude``), and with it the mean. ``nodes`` (``id``) are those that count; other ends are left out.
+    """
+    ids = nodes.select("id").distinct()
+    ends = line.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    out, total = ends.select("src", "dst", F.col("km").alias("line")), sum(w for _, w in tables.values())
+    mean = F.lit(0.0)
+    for name, (table, weight) in tables.items():
+        one = table.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("km").alias(name))
+        out = written(out.join(one, ["src", "dst"], "left"), "geographic")
+        v = F.col(name)
+        if rule != "exclude":
+            ratio = median(out.filter(v.isNotNull() & (F.col("line") > 0)).select(F.lit(0).alias("year"), (v / F.col("line")).alias("ratio")), "ratio")
+            top = out.agg(F.max(v).alias("top"))
+            out = out.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(ratio.select("median")))  # single rows
+            other = F.col("line") * F.col("median") if rule == "line" else F.col("top")
+            out = out.withColumn(name, F.coalesce(v, other)).drop("top", "median")
+        out = written(out, "geographic")
+        out = out.crossJoin(F.broadcast(out.agg(F.max(v).alias("top")))).withColumn(name, F.try_divide(v, F.col("top"))).drop("top")  # a single row
+        mean = mean + F.col(name) * (weight / total)
+    return out.select("src", "dst", mean.alias("distance"))

@@ -143,7 +143,7 @@ def annual_period_pick(d):
 
 _COLLAPSE = """, r AS (SELECT l_suppkey AS k, CAST(year(l_shipdate) AS BIGINT) AS year, l_returnflag AS f, l_linestatus AS code, l_extendedprice AS v, l_quantity AS w, l_orderkey * 10 + l_linenumber AS o FROM lineitem),
  g AS (SELECT k, year, f, count(DISTINCT v) AS n, sum(v) AS s, sum(v * w) / nullif(sum(w), 0) AS m, arg_max(v, o) AS p, any_value(v) AS one FROM r GROUP BY 1, 2, 3)
- SELECT k, year, f, round(CASE WHEN n = 1 THEN one WHEN f = 'A' THEN s WHEN f = 'N' THEN m ELSE p END, 4) AS value, CASE WHEN n = 1 THEN '' WHEN f = 'R' THEN 'duplicate_codes' ELSE 'merged_sources' END AS flag FROM g"""
+ SELECT k, year, f, round(CASE WHEN n = 1 THEN one WHEN f = 'A' THEN s WHEN f = 'N' THEN m ELSE p END, 6) AS value, CASE WHEN n = 1 THEN '' WHEN f = 'R' THEN 'duplicate_codes' ELSE 'merged_sources' END AS flag FROM g"""
 
 
 @query(_COLLAPSE)
@@ -160,7 +160,7 @@ def collapse_all_sources(d):
 def _collapsed(lines):
     r = lines.select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").cast("long").alias("year"), F.col("l_returnflag").alias("f"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("w"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
     rule = F.when(F.col("f") == "A", "sum").when(F.col("f") == "N", "mean").otherwise("pick")
-    return P.collapse(r, ["k", "year", "f"], "v", "w", rule, "o", F.lit(0)).withColumn("value", F.round("value", 4))
+    return P.collapse(r, ["k", "year", "f"], "v", "w", rule, "o", F.lit(0)).withColumn("value", F.round("value", 6))
 
 
 @query(""", ev AS (SELECT id AS succ, 1998 AS event_year, [id, id + 1, id + 2] AS preds FROM entities WHERE id % 50 = 0),

@@ -9,6 +9,7 @@ from panelwright.operators import network as N
 from panelwright.operators import panel as P
 from panelwright.plans.base import query
 from panelwright.sources.views import SQL
+from panelwright.sources.work import written
 
 X5 = [f"x{i}" for i in range(5)]
 
@@ -199,8 +200,11 @@ def silhouette(d):
     f = d.features()
     b = f.select(F.col("label").alias("l2"), *[F.col(c).alias(f"o_{c}") for c in X5])
     dist = F.sqrt(N.squared([F.col(c) for c in X5], [F.col(f"o_{c}") for c in X5]))
-    # The index is a mean over all pairs of a stated sample of points.
-    g = f.crossJoin(b).groupBy("id", "label", "l2").agg(F.sum(dist).alias("t"), F.count("*").alias("n"))
+    # Points meet in tiles of two blocks; sums by point and label are partial within a tile.
+    every = F.explode(F.sequence(F.lit(0), F.lit(N.BLOCKS - 1)))
+    f = f.withColumn("row", F.pmod(F.xxhash64("id"), F.lit(N.BLOCKS)).cast("int")).withColumn("column", every)
+    b = b.withColumn("column", F.pmod(F.xxhash64(*[f"o_{c}" for c in X5]), F.lit(N.BLOCKS)).cast("int")).withColumn("row", every)
+    g = f.join(b, ["row", "column"]).groupBy("id", "label", "l2").agg(F.sum(dist).alias("t"), F.count("*").alias("n"))
     own = F.col("label") == F.col("l2")
     ab = g.groupBy("id").agg(F.max(F.when(own & (F.col("n") > 1), F.try_divide(F.col("t"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("t") / F.col("n"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
@@ -213,16 +217,17 @@ _BLK = _KNN + """, ed AS (SELECT k.year, k.src, k.dst, w.weight FROM knn k JOIN
 
 
 def _blocks(d):
+    """Sums of weights between labels, written once: a row for each two labels."""
     p = N.weigh(_pairs(d))
-    e = N.both_ways(N.knn(_pairs(d), 5).join(p, ["year", "src", "dst"]).select("year", "src", "dst", "weight"))
+    e = N.both_ways(N.knn(p, 5).join(p, ["year", "src", "dst"]).select("year", "src", "dst", "weight"))
     l = d.features().select("id", "label")
     e = e.join(l.select(F.col("id").alias("src"), F.col("label").alias("k")), "src").join(l.select(F.col("id").alias("dst"), F.col("label").alias("l")), "dst")
-    return e.groupBy("k", "l").agg(F.sum("weight").alias("s"))
+    return written(e.groupBy("k", "l").agg(F.sum("weight").alias("s")), "blocks")
 
 
-def _rows(d):
+def _rows(d, blocks):
     f = d.features().select(F.col("label").alias("k")).distinct()
-    return f.join(_blocks(d), "k", "left").groupBy("k").agg(F.coalesce(F.sum(F.when(F.col("l") == F.col("k"), F.col("s"))), F.lit(0.0)).alias("skk"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("out"))
+    return f.join(blocks, "k", "left").groupBy("k").agg(F.coalesce(F.sum(F.when(F.col("l") == F.col("k"), F.col("s"))), F.lit(0.0)).alias("skk"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("out"))
 
 
 @query(_BLK + "SELECT k, l, round(s, 6) AS s FROM blk")
@@ -234,7 +239,8 @@ def block_sums(d):
  au AS (SELECT sum(b.s / nullif(x.out + y.out - b.s, 0)) AS u FROM blk b JOIN rows_ x ON x.k = b.k JOIN rows_ y ON y.k = b.l WHERE b.k <> b.l)
  SELECT round(avi, 6) AS avi, round(coalesce(u, 0) / kk, 6) AS avu, round(CASE WHEN avi > 0 THEN 1 / (coalesce(u, 0) / kk + 1 / avi) ELSE 0 END, 6) AS anui FROM av, au""")
 def avi_avu_anui(d):
-    r, b = _rows(d), _blocks(d)
+    b = _blocks(d)
+    r = _rows(d, b)
     av = r.agg(F.avg(F.when(F.col("out") > 0, F.try_divide(F.col("skk"), F.col("out"))).otherwise(0.0)).alias("avi"), F.count("*").alias("kk"))
     j = b.filter("k <> l").join(r.select("k", F.col("out").alias("ok")), "k").join(r.select(F.col("k").alias("l"), F.col("out").alias("ol")), "l")
     au = j.agg(F.coalesce(F.sum(F.try_divide(F.col("s"), F.col("ok") + F.col("ol") - F.col("s"))), F.lit(0.0)).alias("u"))
@@ -244,7 +250,7 @@ def avi_avu_anui(d):
 
 @query(_BLK + "SELECT round(sum(skk / t - pow(out / t, 2)), 6) AS modularity FROM rows_, (SELECT sum(out) AS t FROM rows_)")
 def modularity(d):
-    r = _rows(d)
+    r = _rows(d, _blocks(d))
     t = r.agg(F.sum("out").alias("t"))
     return r.crossJoin(t).agg(F.round(F.sum(F.col("skk") / F.col("t") - F.pow(F.col("out") / F.col("t"), 2)), 6).alias("modularity"))  # a row a label
 
@@ -293,6 +299,78 @@ def s_dbw(d):
     return total.crossJoin(g).crossJoin(whole).select(F.round(F.col("m") / F.col("s") + F.col("t") / (F.col("k") * (F.col("k") - 1)), 6).alias("s_dbw"))  # single rows
 
 
+#: A made panel with a price unit, a feature that a year lacks, and the flags of a sample.
+_NODES = """, panel AS (SELECT w.id, w.year, e.region, e.district, id % 9 <> 0 OR year < 1999 AS valid, id % 23 = 0 AS changed, spend * (1 + (year - 1998) * 0.031) / 1.7 AS f0, CAST(n_orders AS DOUBLE) AS f1,
+  CASE WHEN year = 1996 AND id % 3 <> 0 THEN NULL WHEN id % 29 = 0 THEN NULL ELSE spend / n_orders END AS f2 FROM wide w JOIN entities e USING (id)),
+ smp AS (SELECT id, year, sign(f0) * ln(1 + abs(f0)) AS f0, sign(f1) * ln(1 + abs(f1)) AS f1, sign(f2) * ln(1 + abs(f2)) AS f2 FROM panel WHERE valid AND year BETWEEN 1995 AND 2000 AND region IN (1, 4, 7) AND NOT changed),
+ cuts AS (SELECT year, """ + ", ".join(f"quantile_cont(f{i}, 0.05) AS a{i}, quantile_cont(f{i}, 0.95) AS b{i}" for i in range(3)) + """ FROM smp GROUP BY 1),
+ win AS (SELECT id, year, """ + ", ".join(f"CASE WHEN f{i} IS NOT NULL THEN least(greatest(f{i}, a{i}), b{i}) END AS f{i}" for i in range(3)) + """ FROM smp JOIN cuts USING (year)),
+ nrm AS (SELECT id, year, """ + ", ".join(f"CASE WHEN f{i} IS NULL THEN NULL WHEN max(f{i}) OVER y - min(f{i}) OVER y < 1e-12 THEN 0 ELSE (f{i} - min(f{i}) OVER y) / (max(f{i}) OVER y - min(f{i}) OVER y) END AS f{i}" for i in range(3)) + """ FROM win WINDOW y AS (PARTITION BY year)),
+ cov AS (SELECT year, """ + ", ".join(f"count(f{i}) * 1.0 / count(*) >= 0.5 AS t{i}" for i in range(3)) + """ FROM nrm GROUP BY 1),
+ net AS (SELECT id, year, """ + ", ".join(f"round(CASE WHEN t{i} THEN f{i} END, 9) AS f{i}" for i in range(3)) + " FROM nrm JOIN cov USING (year) WHERE " + " AND ".join(f"(NOT t{i} OR f{i} IS NOT NULL)" for i in range(3)) + " AND (t0 OR t1 OR t2))"
+_WEIGHTS = {"f0": 2.0, "f1": 1.0, "f2": 1.0}
+
+
+def _nodes(d):
+    """Sample, real prices per unit, signed logs, winsor and scale within the year, features that a year lacks, complete rows."""
+    i, y = F.col("id"), F.col("year")
+    per = F.when((y == 1996) & (i % 3 != 0), None).when(i % 29 == 0, None).otherwise(F.col("spend") / F.col("n_orders"))
+    panel = d.wide().join(d.entities().select("id", "region", "district"), "id").select(
+        "id", "year", "region", "district", ((i % 9 != 0) | (y < 1999)).alias("valid"), (i % 23 == 0).alias("changed"),
+        (F.col("spend") * (1 + (y - 1998) * 0.031) / 1.7).alias("f0"), F.col("n_orders").cast("double").alias("f1"), per.alias("f2"))
+    names = list(_WEIGHTS)
+    rows = N.sample(panel, (1995, 2000), regions=[1, 4, 7]).select("id", "year", *[T.signed_log(F.col(f)).alias(f) for f in names])
+    scaled = P.normalise(N.winsor(rows, names, 0.05, 0.95, ["year"]), names, "minmax", ["year"])
+    return N.usable(scaled, names).select("id", "year", *[F.round(f, 9).alias(f) for f in names])
+
+
+@query(_NODES + "SELECT * FROM net")
+def network_features(d):
+    return _nodes(d)
+
+
+_NET = _NODES + """, pr AS (SELECT a.year, a.id AS src, b.id AS dst, (2 * coalesce(abs(a.f0 - b.f0), 0) + coalesce(abs(a.f1 - b.f1), 0) + coalesce(abs(a.f2 - b.f2), 0)) / nullif(CASE WHEN a.f0 IS NOT NULL AND b.f0 IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN a.f1 IS NOT NULL AND b.f1 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN a.f2 IS NOT NULL AND b.f2 IS NOT NULL THEN 1 ELSE 0 END, 0) AS raw
+  FROM net a JOIN net b ON a.year = b.year AND a.id < b.id), p AS (SELECT year, src, dst, round(raw, 6) AS distance FROM pr)"""
+
+
+@query(_NET + "SELECT * FROM p")
+def network_pairs(d):
+    """Weighted distances; a year that lacks a feature does without its weight."""
+    return N.pairs(_nodes(d), list(_WEIGHTS), "l1", _WEIGHTS).withColumn("distance", F.round("distance", 6))
+
+
+@query(None)
+def network_default(d):
+    """The edges to the five nearest of either end, together with the spanning forest."""
+    e = N.build(_nodes(d), _WEIGHTS, 5)
+    return e.select("year", "src", "dst", F.round("distance", 6).alias("distance"), F.round("weight", 6).alias("weight"), "near", "tree")
+
+
+_ROADS = _KM_PAIRS.split(" SELECT a.id AS src")[0] + """, ln AS (SELECT a.id AS src, b.id AS dst, round(2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))), 4) AS km FROM s a JOIN s b ON a.id < b.id),
+ rd AS (SELECT src, dst, km, CASE WHEN (src + dst) % 4 <> 0 THEN km * (1 + (src % 7) / 10.0) + 5 END AS road FROM ln), md AS (SELECT median(road / km) FILTER (km > 0) AS m, max(road) AS top FROM rd)"""
+
+
+def _roads(d):
+    line = haversine_pairs(d)
+    road = line.filter((F.col("src") + F.col("dst")) % 4 != 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("km") * (1 + (F.col("src") % 7) / 10.0) + 5).alias("km"))
+    return _places(d).select("id"), {"road": (road, 3.0), "rail": (line, 1.0)}, line
+
+
+def _geo(rule, fill):
+    sql = _ROADS + f", fl AS (SELECT src, dst, km, {fill} AS road FROM rd, md) SELECT src, dst, round(0.75 * road / (SELECT max(road) FROM fl) + 0.25 * km / (SELECT max(km) FROM fl), 6) AS distance FROM fl"
+
+    def run(d):
+        return N.geographic(*_roads(d), rule).withColumn("distance", F.round("distance", 6))
+
+    run.__name__ = f"geo_distance_{rule}"
+    return query(sql)(run)
+
+
+geo_distance_line = _geo("line", "coalesce(road, km * m)")
+geo_distance_adjacency = _geo("adjacency", "coalesce(road, top)")
+geo_distance_exclude = _geo("exclude", "road")
+
+
 _KM = """, geo AS (SELECT id, CAST((id * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((id * 91) % 360 - 180 AS DOUBLE) AS lon FROM features),
  km AS (SELECT p.*, 2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))) AS km
   FROM p JOIN geo a ON a.id = p.src JOIN geo b ON b.id = p.dst)"""
