@@ -60,19 +60,6 @@ def test_every_entity_has_a_side(spark):
             assert [int(x) for x in (side or "").split(",") if x] == sorted(k for k, v in region.items() if v == r.region and k % 2 == rest)
 
 
-def test_numbers_in_one_run_and_short_addresses_are_found(spark):
-    from panelwright.llm.pii import pii_report
-
-    made = {
-        "call 555-123-4567 555-987-6543": "phone:5:17,phone:18:30", "call 2024-05-01 555-123-4567": "phone:16:28", "call 5551234567": "phone:5:15",
-        "call (555)123-4567 now": "phone:5:18", "call me at (555) 123-4567 today": "phone:11:25", "server 2001:db8::1 up": "ip:7:18", "card 4111 1111 1111 1112 123": "card:5:24",
-        "std::add and a::b": "", "invoice 555-123-4567.": "", "at 10.0.0.25": "ip:3:12", "no data": "",
-    }
-    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    texts = list(made)
-    assert {texts[r.doc_id]: r.spans for r in pii_report(df).collect()} == made
-
-
 def test_bootstrap_covers_every_year(spark):
     years = {r.label % 2 for r in table(spark, "embeddings").select("label").distinct().collect()}
     got = registry.queries()["bootstrap_ari"](spark, DATA).collect()
