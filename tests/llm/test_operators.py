@@ -102,7 +102,7 @@ def test_jaccard_blocks(spark, monkeypatch):
     docs = _chain(60)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     want = brute.near_components(docs, 3, 80)
-    for held, hot in ((1 << 20, 32), (1 << 20, 2), (300, 2), (300, 4)):
+    for held, hot in ((1 << 20, 32), (300, 3)):
         monkeypatch.setattr(jaccard, "HELD", held)
         monkeypatch.setattr(jaccard, "HOT", hot)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, 3, 80).collect()} == want
@@ -491,6 +491,19 @@ def test_pii(spark, docs, texts):
     assert clean == {0: "call me at [PHONE] today", 1: made[1], 2: "write [EMAIL]", 3: None, 4: "no data", 5: "[EMAIL] and [PHONE]!"}
 
 
+def test_numbers_in_one_run_and_short_addresses_are_found(spark):
+    from panelwright.llm.pii import pii_report
+
+    made = {
+        "call 555-123-4567 555-987-6543": "phone:5:17,phone:18:30", "call 2024-05-01 555-123-4567": "phone:16:28", "call 5551234567": "phone:5:15",
+        "call (555)123-4567 now": "phone:5:18", "call me at (555) 123-4567 today": "phone:11:25", "server 2001:db8::1 up": "ip:7:18", "card 4111 1111 1111 1112 123": "card:5:24",
+        "std::add and a::b": "", "invoice 555-123-4567.": "", "at 10.0.0.25": "ip:3:12", "no data": "",
+    }
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    texts = list(made)
+    assert {texts[r.doc_id]: r.spans for r in pii_report(df).collect()} == made
+
+
 def test_running_sums(spark):
     from pyspark.sql import functions as F
 
