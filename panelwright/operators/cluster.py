@@ -196,17 +196,16 @@ def leiden(w: np.ndarray, k: int, steps: int = 40) -> np.ndarray:
             a, where = s.T @ a @ s, fine[where]
             labels = relabel(coarse)
 
-    lo, hi, best = -6.0, 4.0, None
+    # The powers of ten between which the resolution is sought.
+    span, tried = (-6.0, 4.0), []
     for _ in range(steps):
-        mid = (lo + hi) / 2
-        got = partition(10**mid)
-        n = int(got.max()) + 1
-        if best is None or abs(n - k) < abs(int(best.max()) + 1 - k):
-            best = got
-        if n == k:
+        centre = sum(span) / 2
+        tried.append(partition(10.0**centre))
+        excess = int(tried[-1].max()) + 1 - k
+        if not excess:
             break
-        lo, hi = (mid, hi) if n < k else (lo, mid)
-    return best
+        span = (span[0], centre) if excess > 0 else (centre, span[1])
+    return min(tried, key=lambda labels: abs(int(labels.max()) + 1 - k))
 
 
 def network_kmeans(x: np.ndarray, w: np.ndarray, k: int, rho: float = 1.0, xi: float = 1.0, starts: int = 10) -> np.ndarray:
