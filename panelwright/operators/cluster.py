@@ -1,6 +1,6 @@
-"""Clustering of one group's points with numpy, for use in ``applyInPandas`` (a year, or a cell of a grid).
+"""Clustering of arrays of a bounded size: a year's network, or the micro-clusters of :mod:`panelwright.operators.points`.
 
-Groups are the entities of a year: some thousands by definition. All methods are deterministic.
+All methods are deterministic. Points of any number are clustered there, in Spark rounds.
 """
 
 from __future__ import annotations
@@ -41,12 +41,16 @@ def kmeans(x: np.ndarray, k: int, starts: int = 20, seed: int = 42) -> np.ndarra
     return relabel(best[1])
 
 
-def ward_tree(x: np.ndarray) -> np.ndarray:
-    """Merges ``(a, b, height, size)`` by nearest-neighbour chains with the Lance-Williams update; n numbers up."""
+def ward_tree(x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Merges ``(a, b, height, size)`` by nearest-neighbour chains with the Lance-Williams update; n numbers up.
+
+    ``weights``: points that each row of ``x`` is the mean of."""
     n = len(x)
-    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(-1))
+    size = np.ones(n) if weights is None else np.asarray(weights, float).copy()
+    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(-1) * 2 * size[:, None] * size / (size[:, None] + size))
     np.fill_diagonal(d, np.inf)
-    size, live, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    counted = size.copy()
+    live, chain, merges = np.ones(n, bool), [], []
     while len(merges) < n - 1:
         if not chain:
             chain = [int(np.flatnonzero(live)[0])]
@@ -70,7 +74,7 @@ def ward_tree(x: np.ndarray) -> np.ndarray:
         d[a, a] = np.inf
         live[b], size[a] = False, sa + sb
     merges.sort(key=lambda m: m[2])
-    root, count, name, out = list(range(n)), [1] * n, list(range(n)), []
+    root, count, name, out = list(range(n)), counted.tolist(), list(range(n)), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -100,39 +104,6 @@ def cut(tree: np.ndarray, n: int, k: int) -> np.ndarray:
     return relabel(np.array([find(i) for i in range(n)]))
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    return cut(ward_tree(x), len(x), k)
-
-
-def ward_kmeans(x: np.ndarray, k: int) -> np.ndarray:
-    """One run from the centres of Ward's clusters: never above Ward's cost."""
-    w = ward(x, k)
-    return relabel(lloyd(x, np.array([x[w == i].mean(0) for i in range(k)]))[0])
-
-
-def gmm(x: np.ndarray, k: int, starts: int = 5, floor: float = 1e-5, seed: int = 42) -> np.ndarray:
-    """Mixture of normals with diagonal covariance; the start with the highest likelihood."""
-    best = (-np.inf, None)
-    for s in range(starts):
-        labels = kmeans(x, k, 1, seed + s)
-        r = np.eye(k)[labels]
-        last = -np.inf
-        for _ in range(100):
-            n = r.sum(0) + 1e-10
-            m = r.T @ x / n[:, None]
-            v = r.T @ x**2 / n[:, None] - m**2 + floor
-            ll = np.log(n / len(x)) - 0.5 * (np.log(2 * np.pi * v).sum(1) + (((x[:, None] - m) ** 2) / v).sum(-1))
-            top = ll.max(1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(ll - top).sum(1))
-            r = np.exp(ll - total[:, None])
-            if total.sum() - last < 1e-6 * len(x):
-                break
-            last = total.sum()
-        if last > best[0]:
-            best = (last, r.argmax(1))
-    return relabel(best[1])
-
-
 def spectral(w: np.ndarray, k: int) -> np.ndarray:
     """Leading vectors of the normalised affinity, assigned by pivoted orthogonal columns."""
     deg = w.sum(1) + 1e-12
@@ -213,10 +184,11 @@ def network_kmeans(x: np.ndarray, w: np.ndarray, k: int, rho: float = 1.0, xi: f
     return kmeans(np.hstack([np.sqrt(rho) * x, np.sqrt(xi) * w]), k, starts)
 
 
-#: Methods by name: those of the first row take points, those of the second a network, the last both.
-POINTS = {"kmeans": kmeans, "ward": ward, "ward_kmeans": ward_kmeans, "gmm_diag": gmm}
+#: Methods by name: the first take a network, the last points and a network.
 NETWORK = {"spectral": spectral, "leiden": leiden}
 BOTH = {"kefrin_like": network_kmeans}
+#: Methods of :mod:`panelwright.operators.points`.
+POINTS = ("kmeans", "ward", "ward_kmeans", "gmm_diag")
 
 
 def available(method: str) -> tuple[bool, str]:
@@ -225,27 +197,8 @@ def available(method: str) -> tuple[bool, str]:
 
 
 def fit(x: np.ndarray | None, w: np.ndarray | None, method: str, k: int) -> np.ndarray:
-    if method in POINTS:
-        return POINTS[method](x, k)
+    if method not in NETWORK and method not in BOTH:
+        raise ValueError(method)
     if w is None:
         raise ValueError("this method needs a network")
-    if method in NETWORK:
-        return NETWORK[method](w, k)
-    if method in BOTH:
-        return BOTH[method](x, w, k)
-    raise ValueError(method)
-
-
-def adjusted_rand(a, b) -> float:
-    t = {}
-    for p, q in zip(a, b):
-        t[p, q] = t.get((p, q), 0) + 1
-    two = lambda n: n * (n - 1) / 2
-    rows, cols = {}, {}
-    for (p, q), n in t.items():
-        rows[p] = rows.get(p, 0) + n
-        cols[q] = cols.get(q, 0) + n
-    s, r, c, n = sum(map(two, t.values())), sum(map(two, rows.values())), sum(map(two, cols.values())), two(len(a))
-    expected = r * c / n if n else 0.0
-    top = (r + c) / 2 - expected
-    return 1.0 if top == 0 else (s - expected) / top
+    return NETWORK[method](w, k) if method in NETWORK else BOTH[method](x, w, k)

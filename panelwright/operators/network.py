@@ -76,35 +76,54 @@ def knn(p: DataFrame, k: int, mode: str = "symmetric") -> DataFrame:
     return ends.filter(F.col("n") >= (1 if mode == "symmetric" else 2)).select("year", F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
-def spanning_forest(p: DataFrame) -> DataFrame:
-    """Minimum spanning forest of each year, by ``(distance, src, dst)``.
+#: Edges of a year that one task may span.
+TASK_EDGES = 1 << 20
 
-    A year's edges are dealt into blocks; each keeps the forest of its own edges (no other edge can be
-    in the whole one), and what is left of a year is spanned once more.
-    """
 
-    def kruskal(pdf):
-        pdf = pdf.sort_values(["distance", "src", "dst"])
-        root: dict[int, int] = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        keep = []
-        for s, d in zip(pdf.src, pdf.dst):
-            a, b = find(s), find(d)
-            keep.append(a != b)
-            if a != b:
-                root[a] = b
-        return pdf[keep]
-
-    e = p.select("year", "src", "dst", "distance").filter("distance is not null")
-    schema = e.schema
-    local = e.withColumn("block", F.pmod(F.xxhash64("src", "dst"), F.lit(16)).cast("int")).groupBy("year", "block").applyInPandas(lambda pdf: kruskal(pdf)[["year", "src", "dst", "distance"]], schema)
-    return local.groupBy("year").applyInPandas(kruskal, schema)
+def _kruskal(pdf):
+    pdf = pdf.sort_values(["distance", "src", "dst"])
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for s, d in zip(pdf.a, pdf.b):
+        a, b = find(s), find(d)
+        keep.append(a != b)
+        if a != b:
+            root[a] = b
+    return pdf[keep][["year", "src", "dst", "distance"]]
+
+
+def spanning_forest(p: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Minimum spanning forest of each year, by ``(distance, src, dst)``; edges without a distance don't count.
+
+    Rounds of Boruvka: each component takes its first edge, components that meet become one, and of the edges between
+    two components the first stays. Components halve at least in a round. When no year has more than
+    ``task_edges`` edges between components, a task a year takes the rest.
+    """
+    e = written(p.select("year", "src", "dst", "distance").filter("distance is not null and src <> dst").withColumns({"a": F.col("src"), "b": F.col("dst")}), "forest-edges")
+    order, taken = F.struct("distance", "src", "dst"), []
+    schema = e.select("year", "src", "dst", "distance").schema
+    while True:
+        most = e.groupBy("year").count().agg(F.max("count").alias("n")).first().n or 0
+        if most <= task_edges:
+            rest = e.groupBy("year").applyInPandas(_kruskal, schema)
+            return reduce(DataFrame.unionByName, taken, rest)
+        ends = e.select("year", F.explode(F.array("a", "b")).alias("c"), "a", "b", "distance", "src", "dst")
+        picked = ends.groupBy("year", "c").agg(F.min_by(F.struct("a", "b", "src", "dst", "distance"), order).alias("m")).select("year", "m.*").distinct()
+        picked = written(picked, "forest-picked")
+        taken.append(picked.select("year", "src", "dst", "distance"))
+        nodes = picked.select("year", F.explode(F.array("a", "b")).alias("id")).distinct()
+        joined = components(picked.select("year", F.col("a").alias("src"), F.col("b").alias("dst")), nodes)
+        for end in ("a", "b"):
+            e = e.join(joined.select("year", F.col("id").alias(end), F.col("root").alias(f"{end}_root")), ["year", end])
+        between = e.filter("a_root <> b_root").groupBy("year", F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+        e = written(between.agg(F.min(order).alias("m")).select("year", "m.src", "m.dst", "m.distance", "a", "b"), "forest-edges")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

