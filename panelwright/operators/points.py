@@ -345,3 +345,56 @@ def fit_pooled(points: DataFrame, features: list[str], k: int, method: str = "km
     order = raw.filter("raw is not null").groupBy("raw").agg(F.min(F.struct("id", "year")).alias("least"))  # a row a cluster
     numbers = order.select("raw", (F.row_number().over(W.orderBy("least", "raw")) - 1).cast("long").alias("label"))
     return raw.join(F.broadcast(numbers), "raw", "left").select("year", "id", "label")
+
+
+def fitted(points: DataFrame, method: str, k: int) -> DataFrame:
+    """``year, id, label`` of prepared points by a method's name, a model for each year."""
+    if method == "kmeans":
+        return by_centres(points, kmeans_centres(points, k))
+    if method == "ward_kmeans":
+        return by_centres(points, ward_kmeans_centres(points, k))
+    if method == "ward":
+        return ward_labels(points, k)
+    if method == "gmm_diag":
+        return mixture(points, k)
+    raise ValueError(method)
+
+
+def partition(panel: DataFrame, features: list[str], value: str, method: str = "ward_kmeans", k: int = 5, mode: str = "per_year") -> DataFrame:
+    """``year, id, label, code``: clusters of each year, or (``pooled``) of one model of all years, numbered by the median of
+    ``value`` from the highest, in each year or over all; clusters without any value come last. ``code`` is K1 and so on.
+
+    ``panel`` has one row a year and id."""
+    if mode not in ("per_year", "pooled"):
+        raise ValueError(mode)
+    raw = fit_pooled(panel, features, k, method) if mode == "pooled" else fitted(prepared(panel, features), method, k)
+    raw = written(raw.filter("label is not null").withColumnRenamed("label", "raw"), "partition")
+    by = ["year"] if mode == "per_year" else []
+    middle = raw.join(panel.select("year", "id", F.col(value).alias("value")), ["year", "id"], "left").groupBy(*by, "raw").agg(F.median("value").alias("m"))
+    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc_nulls_last("m"), "raw")  # a row a cluster
+    order = middle.select(*by, "raw", (F.row_number().over(w) - 1).cast("long").alias("label"))
+    return raw.join(F.broadcast(order), [*by, "raw"]).select("year", "id", "label", F.concat(F.lit("K"), (F.col("label") + 1).cast("string")).alias("code"))
+
+
+def grid(points: DataFrame, ks: range, starts: int = 5, seed: int = 42) -> list[tuple[str, int, int, int, float, float | None]]:
+    """``method, k, year, n, wcss, calinski`` for k-means and Ward with k-means: all numbers of clusters and starts in the same rounds.
+
+    The first k of a k-means++ draw are one of k, so the starts of all ``ks`` are the beginnings of ``starts`` draws; Ward's tree is
+    cut at every k. Numbers of clusters beyond a year's distinct points have no row.
+    """
+    drawn = draw(points, starts, max(ks), seed=seed)
+    micro, weights = micro_clusters(points)
+    begun = {(year, k * (starts + 1) + m): c[:k] for (year, m), c in drawn.items() for k in ks if k <= len(c)}
+    begun |= {(year, k * (starts + 1) + starts): ward_starts(c, weights[year], k) for (year, _), c in micro.items() for k in ks if k <= len(c)}
+    centres, _ = lloyd(points, begun)
+    best: dict[tuple[str, int, int], tuple] = {}
+    for (year, m), (n, _c, s, q) in _summed(points, _nearest(centres), list(centres), _width(centres)).items():
+        k, start = divmod(m, starts + 1)
+        live, total = n > 0, n.sum()
+        inner = float((q[live] - s[live] ** 2 / n[live, None]).sum())
+        outer = float((q.sum(0) - s.sum(0) ** 2 / total).sum()) - inner
+        calinski = float(outer / (k - 1) / (inner / (total - k))) if k > 1 and total > k and inner > 0 else None
+        key = ("ward_kmeans" if start == starts else "kmeans", k, year)
+        if key not in best or inner < best[key][1]:
+            best[key] = (int(total), inner, calinski)
+    return [(*key, *best[key]) for key in sorted(best)]

@@ -10,6 +10,7 @@ from panelwright.functions import text as T
 from panelwright.operators import cluster as C
 from panelwright.operators import convergence as G
 from panelwright.operators import points as P
+from panelwright.operators import reports as R
 from panelwright.plans.base import query
 from panelwright.plans.graphs import X5
 
@@ -315,6 +316,25 @@ def pooled_fit(d, k=4):
     return P.fit_pooled(f, [*X5, "x5"], k, "ward_kmeans")
 
 
+@query(None)
+def cluster_grid(d, starts=5):
+    """Costs and indices of two methods for 2 to 10 clusters in each year, with the place of each number of clusters in its method."""
+    rows = P.grid(P.prepared(d.features(), X5), range(2, 11), starts)
+    t = d.spark.createDataFrame(rows, "method string, k long, year long, n long, wcss double, calinski double")  # a row a cell
+    return t.join(R.consensus(t, {"calinski": True}), ["method", "k"]).select("method", "k", "year", "n", F.round("wcss", 6).alias("wcss"), F.round("calinski", 6).alias("calinski"), "rank")
+
+
+def _partition(mode):
+    def run(d, k=4):
+        return P.partition(d.features(), X5, "x0", "ward_kmeans", k, mode)
+
+    run.__name__ = f"partition_{mode}"
+    return query(None)(run)
+
+
+partition_per_year, partition_pooled = map(_partition, ("per_year", "pooled"))
+
+
 @query(None)
 def bootstrap_ari(d, resamples=50):
     """Agreement of clusterings of each year's resampled entities with the whole year's: a row for each year and resample."""

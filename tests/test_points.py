@@ -134,3 +134,27 @@ def test_forest_in_rounds(spark):
     got = sorted(tuple(x) for x in N.spanning_forest(df, task_edges=20).collect())
     assert got == want and len(want) == 39 * 2 + 1
     assert N.spanning_forest(df.limit(0)).count() == 0
+
+
+def test_grid(spark):
+    x = np.random.default_rng(8).normal(size=(70, 2)) * [1, 3]
+    p = P.prepared(spark.createDataFrame(rows(1, x), "year long, id long, a double, b double").repartition(3), F2)
+    got = {(m, k): (n, wcss, ch) for m, k, _, n, wcss, ch in P.grid(p, range(2, 6), 4)}
+    assert set(got) == {(m, k) for m in ("kmeans", "ward_kmeans") for k in range(2, 6)}
+    for k in range(2, 6):
+        drawn = [lloyd(x, c[:k]) for c in P.draw(p, 4, 5).values()]
+        cost = lambda l: sum(((x[l == i] - x[l == i].mean(0)) ** 2).sum() for i in set(l.tolist()))
+        least = min(map(cost, drawn))
+        whole = ((x - x.mean(0)) ** 2).sum()
+        assert got["kmeans", k] == (70, pytest.approx(least), pytest.approx((whole - least) / (k - 1) / (least / (70 - k))))
+        start = by_year(P.ward_labels(p, k))[1]
+        assert got["ward_kmeans", k][1] == pytest.approx(cost(lloyd(x, np.array([x[np.array(start) == i].mean(0) for i in range(k)]))))
+
+
+@pytest.mark.parametrize("mode", ["per_year", "pooled"])
+def test_partition_is_ordered(spark, mode):
+    data = [r for year in (1, 2) for r in rows(year, blobs(year)[1])]
+    got = P.partition(spark.createDataFrame(data, "year long, id long, a double, b double"), F2, "a", "ward_kmeans", 4, mode).collect()
+    assert len(got) == 120
+    by_value = np.argsort(np.argsort(-MIDDLE[:, 0]))
+    assert all(r.label == by_value[r.id % 4] and r.code == f"K{r.label + 1}" for r in got)
