@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, scratch
 from .decontaminate import decontaminate
+from .divergence import divergence
 from .html_extract import extract_text
 from .jaccard import jaccard_classes
+from .merkle import tamper_report
+from .mixing import mix, mix_report
 from .packing import pack
 from .pii import pii_report
 from .quality import quality_rules
@@ -76,9 +79,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("spans")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(mix_report(mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2))), "mix")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(tamper_report(table(spark, sf_dir, "documents")), "manifest")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(divergence(table(spark, sf_dir, "documents")), "divergence")
+
+
 _QUERIES = (
     op1_url_filter, op2_ngram_jaccard_join, op3_html_extract, op4_packing, op5_token_files,
     op6_sharding, op7_toxicity, op8_quality_rules, op9_pii, op10_decontaminate,
+    op11_mixing, op12_merkle_manifest, op13_source_divergence,
 )
 
 
@@ -148,9 +167,110 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS k,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, sum(source_size) OVER () AS whole FROM s),
+-- The least size for its weight first: a source is full if what those before it leave, shared by weight, is more than it has.
+o AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given, sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM w WINDOW q AS (ORDER BY source_size * 1.0 / w, source NULLS LAST)
+), f AS (SELECT *, w * (3 * whole - 2 * given) > 4 * source_size * weights AS above FROM o),
+l AS (SELECT coalesce(sum(2 * source_size) FILTER (above), 0) AS given, sum(w) FILTER (NOT above) AS weights FROM f),
+t AS (
+  SELECT source, source_size, w, CASE WHEN above THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(w * (3 * whole - 2 * l.given) AS DOUBLE) / (2 * l.weights) END AS target,
+    CASE WHEN above THEN 2 * source_size ELSE w * (3 * whole - 2 * l.given) // (2 * l.weights) END AS goal
+  FROM f, l
+), q AS (
+  SELECT d.*, t.source_size, t.target, t.goal, t.w, row_number() OVER x AS ordinal, coalesce(sum(size) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW x AS (PARTITION BY d.source ORDER BY k, doc_id, size, r)
+), lap AS (
+  SELECT q.*, lap, greatest(least(goal - (lap * source_size + before), size), 0) AS taken, CAST(lap * source_size + before + size AS DOUBLE) / w AS finish
+  FROM q, (SELECT unnest([0, 1]) AS lap)
+), m AS (SELECT *, coalesce(sum(taken) OVER (ORDER BY finish, source NULLS LAST, lap, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM lap)
+SELECT doc_id, size, source_size, target, CAST(sum(taken) AS BIGINT) AS taken, CAST(min(position) FILTER (taken > 0) AS BIGINT) AS position
+FROM m GROUP BY r, doc_id, size, source_size, target
+"""
+
+# crc32 of the ASCII digits of an id, bit by bit; the constant is its published polynomial.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) for z in range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+_OP12 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_LEAF.format(_field('text'))} AS leaf,
+    CASE WHEN {_CRC.format('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {_LEAF.format(_field(_ASCII.format('text')))} END AS other
+  FROM documents
+), g AS (SELECT source AS s, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) AS n FROM d GROUP BY source),
+leaves AS (SELECT r, g, n, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d JOIN g ON source IS NOT DISTINCT FROM s),
+low AS (
+  SELECT 0 AS level, g, i, n, h FROM leaves
+  UNION ALL
+  SELECT level + 1, g, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY level, g, i // 16, n
+), sub AS (SELECT g, h FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, g AS i, count(*) OVER () AS n, h FROM sub
+  UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 16, n
+), steps AS (
+  SELECT x.r, y.level, coalesce(string_agg(z.h, '' ORDER BY z.i) FILTER (z.i < y.i), '') AS a, coalesce(string_agg(z.h, '' ORDER BY z.i) FILTER (z.i > y.i), '') AS b
+  FROM leaves x JOIN low y ON y.g = x.g AND y.i = CAST(floor(x.i / pow(16, y.level)) AS BIGINT) AND y.n > 1
+  JOIN low z ON z.g = y.g AND z.level = y.level AND z.i // 16 = y.i // 16 GROUP BY x.r, y.level
+  UNION ALL
+  SELECT x.r, 1000 + y.level, coalesce(string_agg(z.h, '' ORDER BY z.i) FILTER (z.i < y.i), ''), coalesce(string_agg(z.h, '' ORDER BY z.i) FILTER (z.i > y.i), '')
+  FROM leaves x JOIN high y ON y.i = CAST(floor(x.g / pow(16, y.level)) AS BIGINT) AND y.n > 1
+  JOIN high z ON z.level = y.level AND z.i // 16 = y.i // 16 GROUP BY x.r, y.level
+), path AS (SELECT r, list(a || '-' || b ORDER BY level) AS p, sha256(string_agg(a || b, '' ORDER BY level)) AS proof FROM steps GROUP BY r),
+folded AS (
+  SELECT d.r, coalesce(other, leaf) AS h, 1 AS k FROM d
+  UNION ALL
+  SELECT f.r, sha256(replace(p[k], '-', h)), k + 1 FROM folded f JOIN path USING (r) WHERE k <= len(p)
+), ended AS (SELECT r, arg_max(h, k) AS h FROM folded GROUP BY r)
+SELECT d.doc_id, d.leaf, sub.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256, ended.h AS folded_root, ended.h = root.h AS verified
+FROM d JOIN leaves USING (r) JOIN sub ON sub.g = leaves.g JOIN ended ON ended.r = d.r LEFT JOIN path ON path.r = d.r, (SELECT h FROM high WHERE n = 1) root
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.n, 0)::HUGEINT + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (kept.n + 2) // (v.n::HUGEINT + 2 * v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": _OP1.replace("lower_ascii(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1))", "coalesce(" + _ASCII.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)") + ", '')"),
         "op2_ngram_jaccard_join": _OP2,
         "op10_decontaminate": _OP10,
+        "op11_mixing": _OP11,
+        "op12_merkle_manifest": _OP12,
+        "op13_source_divergence": _OP13,
     }
