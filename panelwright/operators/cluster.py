@@ -47,7 +47,10 @@ def ward_tree(x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     ``weights``: points that each row of ``x`` is the mean of."""
     n = len(x)
     size = np.ones(n) if weights is None else np.asarray(weights, float).copy()
-    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(-1) * 2 * size[:, None] * size / (size[:, None] + size))
+    d = np.zeros((n, n))
+    for j in range(x.shape[1]):
+        d += (x[:, j, None] - x[None, :, j]) ** 2
+    d = np.sqrt(d * (2 * size[:, None] * size / (size[:, None] + size)))
     np.fill_diagonal(d, np.inf)
     counted = size.copy()
     live, chain, merges = np.ones(n, bool), [], []

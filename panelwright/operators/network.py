@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.operators import neighbours as B
 from panelwright.sources.work import written
 
 
@@ -188,13 +189,22 @@ def usable(nodes: DataFrame, features: list[str], threshold: float = 0.5, missin
     return kept.select(*nodes.columns)
 
 
+def weigh_edges(edges: DataFrame, nodes: DataFrame, features: dict[str, float] | list[str], metric: str = "l1", kind: str = "gaussian", digits: int | None = None) -> DataFrame:
+    """:func:`weigh` for some of the pairs: the width of ``gaussian`` is the median over all of them, which is worked out without a table of them."""
+    if kind != "gaussian":
+        return weigh(edges, kind)
+    d, s = F.col("distance"), F.col("median")
+    return edges.join(F.broadcast(B.median_distance(nodes, features, metric, digits)), "year").withColumn("weight", F.exp(-(d * d) / (2 * s * s))).drop("median")  # a row a year
+
+
 def build(nodes: DataFrame, features: dict[str, float], k: int = 5, mode: str = "symmetric", metric: str = "l1", kind: str = "gaussian") -> DataFrame:
     """``year, src, dst, distance, weight, near, tree``: the edges to the ``k`` nearest together with those of the spanning forest."""
-    p = weigh(pairs(nodes, list(features), metric, features).filter("distance is not null"), kind)
-    p = written(p, "weighted-pairs")
-    near, tree = knn(p, k, mode).withColumn("near", F.lit(True)), spanning_forest(p).select("year", "src", "dst").withColumn("tree", F.lit(True))
-    chosen = near.join(tree, ["year", "src", "dst"], "full_outer").select("year", "src", "dst", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("tree", F.lit(False)).alias("tree"))
-    return p.join(chosen, ["year", "src", "dst"]).select("year", "src", "dst", "distance", "weight", "near", "tree")
+    found = B.nearest(nodes, features, max(k, 8), metric)
+    near, tree = B.joined(found, k, mode).withColumn("near", F.lit(True)), B.spanning_forest(nodes, features, metric, near=found).withColumn("tree", F.lit(True))
+    both = near.join(tree.withColumnRenamed("distance", "d2"), ["year", "src", "dst"], "full_outer")
+    no = F.lit(False)
+    edges = both.select("year", "src", "dst", F.coalesce("distance", "d2").alias("distance"), F.coalesce("near", no).alias("near"), F.coalesce("tree", no).alias("tree"))
+    return weigh_edges(edges, nodes, features, metric, kind).select("year", "src", "dst", "distance", "weight", "near", "tree")
 
 
 def geographic(nodes: DataFrame, tables: dict[str, tuple[DataFrame, float]], line: DataFrame, rule: str = "line") -> DataFrame:

@@ -18,17 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.operators.cluster import cut, relabel, ward_tree
+from panelwright.operators import neighbours as N
 from panelwright.sources.work import written
 
 #: Points of a model's centres by year and model.
 Centres = dict[tuple[int, int], np.ndarray]
 
-#: Groups of points whose Ward tree stands for a year's: a year of no more distinct points has the tree of its points.
-MICRO = 256
-#: Micro-clusters that are drawn at a time.
-MICRO_STEP = 64
-
 
 def prepared(points: DataFrame, features: list[str]) -> DataFrame:
     """``year, id, x``: the rows that have everything, as arrays of doubles."""
@@ -177,7 +172,12 @@ def labelled(points: DataFrame, score: Callable[[int, np.ndarray], np.ndarray],
         for year, ids, x in _groups(batches):
             yield pd.DataFrame({"year": year, "id": ids, "raw": score(year, x).argmin(1)})
 
-    raw = written(points.mapInPandas(assign, "year long, id long, raw long"), "labels")
+    return numbered(points.mapInPandas(assign, "year long, id long, raw long"), name)
+
+
+def numbered(raw: DataFrame, name: str = "label") -> DataFrame:
+    """``year, id, label`` of ``year, id, raw``: from 0, in the order of the smallest id of each."""
+    raw = written(raw, "labels")
     order = raw.groupBy("year", "raw").agg(F.min("id").alias("least"))  # a row a cluster
     numbers = order.select("year", "raw", (F.row_number().over(W.partitionBy("year").orderBy("least", "raw")) - 1).cast("long").alias(name))
     return raw.join(F.broadcast(numbers), ["year", "raw"]).select("year", "id", name)
@@ -198,45 +198,68 @@ def kmeans_centres(points: DataFrame, k: int, starts: int = 20, seed: int = 42)
     return {year: centres[year, m] for year, m in _best(cost).items()}
 
 
-def micro_clusters(points: DataFrame, size: int = MICRO) -> tuple[Centres, dict[int, np.ndarray]]:
-    """Each year's points in at most ``size`` clusters: their means, and their numbers of points."""
-    drawn = draw(points, 1, size, MICRO_STEP)
-    sums = _summed(points, _nearest(drawn), list(drawn), _width(drawn))
-    centres, weights = {}, {}
-    for (year, m), (n, _c, s, _q) in sums.items():
-        centres[year, m] = s[n > 0] / n[n > 0, None]
-        weights[year] = n[n > 0]
-    return centres, weights
-
-
-def ward_starts(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The means of Ward's ``k`` clusters of weighted points."""
-    labels = cut(ward_tree(centres, weights), len(centres), min(k, len(centres)))
-    return np.array([np.average(centres[labels == i], axis=0, weights=weights[labels == i]) for i in range(labels.max() + 1)])
-
-
-def ward_labels(points: DataFrame, k: int) -> DataFrame:
-    """Ward's clusters: every point goes with its micro-cluster, whose tree is cut."""
-    micro, weights = micro_clusters(points)
-    merged = {year: cut(ward_tree(c, weights[year]), len(c), min(k, len(c))) for (year, _), c in micro.items()}
-
-    def score(year, x):
-        mine = merged[year][squares(x, micro[year, 0]).argmin(1)]
-        return 1 - np.eye(merged[year].max() + 1)[mine]
-
-    return labelled(points, score)
-
-
-def ward_heights(points: DataFrame) -> dict[int, np.ndarray]:
-    """For each year the heights of the merges of its micro-clusters, the last first."""
-    micro, weights = micro_clusters(points)
-    return {year: ward_tree(c, weights[year])[:, 2][::-1] for (year, _), c in micro.items() if len(c) > 1}
+def _wide(points: DataFrame) -> int:
+    first = points.select(F.size("x")).head(1)
+    return first[0][0] if first else 0
+
+
+def distinct(points: DataFrame) -> DataFrame:
+    """``year, x, m, id``: each place once, with the number of its points and a name of its own, names in the order of the least ids; written."""
+    once = points.groupBy("year", "x").agg(F.count("*").cast("double").alias("m"), F.min("id").alias("least"))
+    parts = max(-(-once.count() // N.CHUNK), 1)
+    placed = once.repartitionByRange(parts, "year", "least", "x").sortWithinPartitions("year", "least", "x")
+    return written(placed.select("year", "x", "m", F.monotonically_increasing_id().alias("id")), "places")
+
+
+def ward_tree_of(points: DataFrame, finish: int = N.FINISH) -> tuple[DataFrame, DataFrame]:
+    """Ward's tree of each year's places, exact at any size (:func:`panelwright.operators.neighbours.merges`), and the places."""
+    places = distinct(points)
+    return written(N.merges(places, _wide(points), finish), "ward-tree"), places
+
+
+def ward_labels(points: DataFrame, k: int, finish: int = N.FINISH) -> DataFrame:
+    """``year, id, label``: Ward's ``k`` clusters, or one a place where a year has fewer, numbered by the smallest id of each."""
+    tree, places = ward_tree_of(points, finish)
+    of = places.join(N.cut(tree, places, k), ["year", "id"]).select("year", "x", F.col("root").alias("raw"))
+    return numbered(points.join(of, ["year", "x"]).select("year", "id", "raw"))
+
+
+def ward_heights(points: DataFrame, most: int = 10, finish: int = N.FINISH) -> dict[int, np.ndarray]:
+    """For each year the heights of the last ``most`` merges of different places, the last first."""
+    out: dict[int, list] = {}
+    for r in N.highest(ward_tree_of(points, finish)[0], most).orderBy("year", "r").collect():
+        out.setdefault(r.year, []).append(r.height)
+    return {year: np.array(h) for year, h in out.items()}
+
+
+def ward_starts(points: DataFrame, ks: list[int], finish: int = N.FINISH) -> dict[tuple[int, int], np.ndarray]:
+    """For each year and number of clusters the means of Ward's clusters. The sums of the finest cut come to the driver; the last merges
+    join them for the others. Years of fewer places have as many clusters."""
+    tree, places = ward_tree_of(points, finish)
+    groups = places.join(N.cut(tree, places, max(ks)), ["year", "id"])
+    total = F.array(*[F.sum(F.col("m") * F.get("x", F.lit(j))) for j in range(_wide(points))])
+    sums: dict[int, dict] = {}
+    for r in groups.groupBy("year", "root").agg(F.sum("m").alias("n"), total.alias("s")).orderBy("year", "root").collect():
+        sums.setdefault(r.year, {})[r.root] = (r.n, np.array(r.s))
+    last: dict[int, list] = {}
+    for r in N.highest(tree, max(ks) - 1).orderBy("year", F.desc("r")).collect():
+        last.setdefault(r.year, []).append((r.id, r.up))
+    out = {}
+    for year, left in sums.items():
+        now = dict(left)
+        rest = iter(last.get(year, []))
+        for k in range(len(left), 0, -1):
+            means = np.array([s / n for n, s in now.values()])
+            out |= {(year, want): means for want in ks if min(want, len(left)) == k}
+            if (step := next(rest, None)) is not None:
+                (n, a), (m, b) = now.pop(step[0]), now[step[1]]
+                now[step[1]] = (n + m, a + b)
+    return out
 
 
 def ward_kmeans_centres(points: DataFrame, k: int) -> dict[int, np.ndarray]:
-    """K-means of all points from the centres of Ward's clusters of micro-clusters."""
-    micro, weights = micro_clusters(points)
-    centres, _ = lloyd(points, {(year, 0): ward_starts(c, weights[year], k) for (year, _), c in micro.items()})
+    """K-means from the centres of Ward's clusters."""
+    centres, _ = lloyd(points, {(year, 0): c for (year, _), c in ward_starts(points, [k]).items()})
     return {year: c for (year, _), c in centres.items()}
 
 
@@ -284,15 +307,18 @@ def mixture(points: DataFrame, k: int, starts: int = 5, floor: float = 1e-5, rou
 
 def bootstrap(points: DataFrame, k: int, resamples: int = 50, seed: int = 42) -> DataFrame:
     """``year, b, n, ari``: agreement of :func:`ward_kmeans_centres` of a resample's points (drawn with replacement, then distinct)
-    with that of all points, over the resample. All resamples are fitted in the same rounds; each weighs the year's micro-clusters anew."""
-    micro, weights = micro_clusters(points)
+    with that of all points, over the resample. All resamples are fitted in the same rounds, each from its own Ward tree."""
     mask = lambda ids, b: resampled(ids, b, seed)
-    base, _ = lloyd(points, {(year, 0): ward_starts(c, weights[year], k) for (year, _), c in micro.items()})
-    spread = {(year, b): c for (year, _), c in micro.items() for b in range(resamples)}
-    begun = {}
-    for key, (n, _c, s, _q) in _summed(points, _nearest(spread, mask), list(spread), _width(spread)).items():
-        if n.sum():
-            begun[key] = ward_starts(s[n > 0] / n[n > 0, None], n[n > 0], k)
+    base, _ = lloyd(points, {(year, 0): c for (year, _), c in ward_starts(points, [k]).items()})
+
+    def drawn(batches):
+        for pdf in batches:
+            for b in range(resamples):
+                part = pdf[mask(pdf.id.to_numpy(), b)]
+                yield part.assign(year=part.year * resamples + b)
+
+    # A resample of a year is a group of its own in one tree of all.
+    begun = {divmod(group, resamples): c for (group, _), c in ward_starts(written(points.mapInPandas(drawn, points.schema), "resampled"), [k]).items()}
     centres, _ = lloyd(points, begun, mask=mask)
 
     def cells(batches):
@@ -383,9 +409,8 @@ def grid(points: DataFrame, ks: range, starts: int = 5, seed: int = 42) -> list[
     cut at every k. Numbers of clusters beyond a year's distinct points have no row.
     """
     drawn = draw(points, starts, max(ks), seed=seed)
-    micro, weights = micro_clusters(points)
     begun = {(year, k * (starts + 1) + m): c[:k] for (year, m), c in drawn.items() for k in ks if k <= len(c)}
-    begun |= {(year, k * (starts + 1) + starts): ward_starts(c, weights[year], k) for (year, _), c in micro.items() for k in ks if k <= len(c)}
+    begun |= {(year, k * (starts + 1) + starts): c for (year, k), c in ward_starts(points, list(ks)).items() if k == len(c)}
     centres, _ = lloyd(points, begun)
     best: dict[tuple[str, int, int], tuple] = {}
     for (year, m), (n, _c, s, q) in _summed(points, _nearest(centres), list(centres), _width(centres)).items():

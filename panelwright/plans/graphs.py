@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
+from panelwright.operators import neighbours as B
 from panelwright.operators import network as N
 from panelwright.operators import panel as P
 from panelwright.plans.base import query
@@ -115,6 +116,11 @@ def threshold_graph(d):
     return N.weigh(_pairs(d)).filter("weight >= 0.9").select("year", "src", "dst")
 
 
+def _nearest(d, k=5):
+    """The nearest of each by the rounded distance, without all pairs."""
+    return B.nearest(d.features(), X5, k, "l1", 6)
+
+
 _KNN = _W + """, sym AS (SELECT year, src, dst, distance FROM p UNION ALL SELECT year, dst, src, distance FROM p),
  near AS (SELECT year, src, dst FROM sym QUALIFY row_number() OVER (PARTITION BY year, src ORDER BY distance, dst) <= 5),
  ends AS (SELECT year, least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS n FROM near GROUP BY 1, 2, 3),
@@ -123,30 +129,30 @@ _KNN = _W + """, sym AS (SELECT year, src, dst, distance FROM p UNION ALL SELECT
 
 @query(_KNN + "SELECT * FROM knn")
 def knn_symmetric(d):
-    return N.knn(_pairs(d), 5)
+    return B.joined(_nearest(d), 5).drop("distance")
 
 
 @query(_KNN + "SELECT year, src, dst FROM ends WHERE n = 2")
 def knn_mutual(d):
-    return N.knn(_pairs(d), 5, "mutual")
+    return B.joined(_nearest(d), 5, "mutual").drop("distance")
 
 
 @query(_KNN + """, deg AS (SELECT f.year, f.id, count(k.src) AS k FROM features f LEFT JOIN (SELECT year, src, dst FROM ends WHERE n = 2 UNION ALL SELECT year, dst, src FROM ends WHERE n = 2) k ON k.year = f.year AND k.src = f.id GROUP BY 1, 2)
  SELECT year, count(*) AS n, CAST(sum(k) / 2 AS BIGINT) AS m, min(k) AS k_min, round(avg(k), 6) AS k_mean, max(k) AS k_max, count(*) FILTER (k = 0) AS isolated FROM deg GROUP BY 1""")
 def degree_stats(d):
-    return N.degree_stats(N.knn(_pairs(d), 5, "mutual"), d.features())
+    return N.degree_stats(B.joined(_nearest(d), 5, "mutual"), d.features())
 
 
 @query(None)
 def mst_forest(d):
-    return N.spanning_forest(_pairs(d))
+    return B.spanning_forest(d.features(), X5, "l1", 6)
 
 
 @query(SQL.replace("WITH entities", "WITH RECURSIVE entities") + _KNN + """, e AS (SELECT year, src, dst FROM ends WHERE n = 2 UNION ALL SELECT year, dst, src FROM ends WHERE n = 2),
  reach AS (SELECT year, id, id AS root FROM features UNION SELECT e.year, e.src, r.root FROM e JOIN reach r ON r.year = e.year AND r.id = e.dst)
  SELECT year, id, min(root) AS root FROM reach GROUP BY 1, 2""", views=False)
 def components(d):
-    return N.components(N.knn(_pairs(d), 5, "mutual"), d.features())
+    return N.components(B.joined(_nearest(d), 5, "mutual"), d.features())
 
 
 # Validity of the known labels on the vectors.
@@ -218,8 +224,8 @@ _BLK = _KNN + """, ed AS (SELECT k.year, k.src, k.dst, w.weight FROM knn k JOIN
 
 def _blocks(d):
     """Sums of weights between labels, written once: a row for each two labels."""
-    p = N.weigh(_pairs(d))
-    e = N.both_ways(N.knn(p, 5).join(p, ["year", "src", "dst"]).select("year", "src", "dst", "weight"))
+    f = d.features()
+    e = N.both_ways(N.weigh_edges(B.joined(_nearest(d), 5), f, X5, "l1", "gaussian", 6).select("year", "src", "dst", "weight"))
     l = d.features().select("id", "label")
     e = e.join(l.select(F.col("id").alias("src"), F.col("label").alias("k")), "src").join(l.select(F.col("id").alias("dst"), F.col("label").alias("l")), "dst")
     return written(e.groupBy("k", "l").agg(F.sum("weight").alias("s")), "blocks")

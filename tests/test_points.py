@@ -57,19 +57,33 @@ def test_ward_is_exact_on_few_points(spark):
     x = np.random.default_rng(7).normal(size=(40, 2))
     p = P.prepared(spark.createDataFrame(rows(1, x), "year long, id long, a double, b double"), F2)
     heights, four = ward_naive(x)
-    assert P.ward_heights(p)[1][::-1] == pytest.approx(sorted(heights))
+    assert P.ward_heights(p, 40)[1][::-1] == pytest.approx(sorted(heights))
     got = by_year(P.ward_labels(p, 4))[1]
     assert {frozenset(g) for g in four} == {frozenset(i for i in range(40) if got[i] == k) for k in range(4)}
     start = np.array([x[sorted(g)].mean(0) for g in four])
     assert adjusted_rand(lloyd(x, start), by_year(P.by_centres(p, P.ward_kmeans_centres(p, 4)))[1]) == 1
 
 
-def test_ward_of_more_points_than_micro_clusters(spark):
-    truth, x = blobs(3, 1200)
+@pytest.mark.parametrize("kind", ["noise", "repeats"])
+def test_ward_in_rounds_is_the_plain_tree(spark, monkeypatch, kind):
+    """Without structure, above every bound: 1,025 points, the last 200 clusters in a task, chunks of 200 points."""
+    from panelwright.operators import neighbours as B
+    from panelwright.operators.cluster import cut, ward_tree
+
+    monkeypatch.setattr(B, "CHUNK", 200)
+    x = np.random.default_rng(7).normal(size=(1025, 2))
+    if kind == "repeats":
+        x[300:] = x[np.random.default_rng(8).integers(0, 300, 725)]
     p = P.prepared(spark.createDataFrame(rows(1, x), "year long, id long, a double, b double").repartition(7), F2)
-    micro, weights = P.micro_clusters(p)
-    assert len(micro[1, 0]) <= P.MICRO < 1200 and weights[1].sum() == 1200
-    assert adjusted_rand(truth, by_year(P.ward_labels(p, 4))[1]) == 1
+    plain = ward_tree(x)
+    assert P.ward_heights(p, 250, 200)[1] == pytest.approx(plain[::-1][:250, 2])
+    if kind == "noise":
+        got = by_year(P.ward_labels(p, 6, 200))[1]
+        assert got == cut(plain, len(x), 6).tolist()
+        starts = P.ward_starts(p, [2, 6], 200)
+        for k in (2, 6):
+            want = cut(plain, len(x), k)
+            assert sorted(map(tuple, starts[1, k].round(9))) == sorted(tuple(x[want == i].mean(0).round(9)) for i in range(k))
 
 
 def test_partitions_do_not_change_starts(spark):
