@@ -122,8 +122,8 @@ def spectral(w: np.ndarray, k: int) -> np.ndarray:
     return relabel(np.abs(vectors @ (u @ vt)).argmax(1))
 
 
-def leiden(w: np.ndarray, k: int, steps: int = 40) -> np.ndarray:
-    """Modularity communities; the resolution is bisected on a log scale until ``k`` come out, else the nearest number.
+def leiden(w: np.ndarray, k: int, steps: int = 30) -> np.ndarray:
+    """Modularity communities at the resolution at which ``k`` come out, else the nearest number (:func:`sought`).
 
     Local moves, refinement within communities and aggregation, in a fixed order of visits.
     """
@@ -170,16 +170,26 @@ def leiden(w: np.ndarray, k: int, steps: int = 40) -> np.ndarray:
             a, where = s.T @ a @ s, fine[where]
             labels = relabel(coarse)
 
-    # The powers of ten between which the resolution is sought.
-    span, tried = (-6.0, 4.0), []
-    for _ in range(steps):
-        centre = sum(span) / 2
-        tried.append(partition(10.0**centre))
-        excess = int(tried[-1].max()) + 1 - k
-        if not excess:
+    return sought(lambda x: partition(10.0**x), k, steps)
+
+
+def sought(partition, k: int, steps: int) -> np.ndarray:
+    """The partition into ``k`` parts, or the nearest number met: a number of parts that rises with ``x`` is followed from 0 by whole steps
+    until it is on both sides of ``k``, then by the straight line between the logarithms of the two numbers."""
+    met: dict[float, np.ndarray] = {}
+    parts = lambda x: int(met[x].max()) + 1
+    x = 0.0
+    while len(met) < steps:
+        met[x] = partition(x)
+        few, many = max((v for v in met if parts(v) < k), default=None), min((v for v in met if parts(v) > k), default=None)
+        if parts(x) == k or (few is not None and many is not None and abs(many - few) < 1e-9):
             break
-        span = (span[0], centre) if excess > 0 else (centre, span[1])
-    return min(tried, key=lambda labels: abs(int(labels.max()) + 1 - k))
+        if few is None or many is None:
+            x += -1.0 if few is None else 1.0
+            continue
+        part = np.log(k / parts(few)) / np.log(parts(many) / parts(few))
+        x = few + (many - few) * float(np.clip(part, 0.1, 0.9))
+    return met[min(met, key=lambda v: (abs(parts(v) - k), v))]
 
 
 def network_kmeans(x: np.ndarray, w: np.ndarray, k: int, rho: float = 1.0, xi: float = 1.0, starts: int = 10) -> np.ndarray:

@@ -207,28 +207,58 @@ def build(nodes: DataFrame, features: dict[str, float], k: int = 5, mode: str =
     return weigh_edges(edges, nodes, features, metric, kind).select("year", "src", "dst", "distance", "weight", "near", "tree")
 
 
-def geographic(nodes: DataFrame, tables: dict[str, tuple[DataFrame, float]], line: DataFrame, rule: str = "line") -> DataFrame:
+def geographic(nodes: DataFrame, tables: dict[str, tuple[DataFrame, float]], line: DataFrame, rule: str = "line", neighbours: DataFrame | None = None) -> DataFrame:
     """``src, dst, distance``: the weighted mean of several distances, each over its largest, for every pair ``src < dst`` of ``line``.
 
     ``tables``: for each kind ``src, dst, km`` in either direction, and its weight. A pair that a table lacks takes, by ``rule``, its
-    ``line`` distance times the median ratio of the table's distances to lines (``line``), the table's largest (``adjacency``), or is
-    missing (``exclude``), and with it the mean. ``nodes`` (``id``) are those that count; other ends are left out.
+    ``line`` distance times the median ratio of the table's distances to lines (``line``), 0 if the two are ``neighbours`` (``src, dst``)
+    and else the table's largest (``adjacency``), or is missing (``exclude``), and with it the mean. The kind ``adjacency`` is 0 for the
+    pairs of its table and 1 for others. ``nodes`` (``id``) are those that count; other ends are left out.
     """
     ids = nodes.select("id").distinct()
     ends = line.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    out, total = ends.select("src", "dst", F.col("km").alias("line")), sum(w for _, w in tables.values())
+    out, total = ends.select("src", "dst", F.col("km").alias("direct distance")), sum(w for _, w in tables.values())
+    ordered = lambda t: t.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *[c for c in t.columns if c == "km"])
+    if rule == "adjacency":
+        if neighbours is None:
+            raise ValueError("this rule needs a table of neighbours")
+        out = out.join(ordered(neighbours.select("src", "dst")).distinct().withColumn("beside", F.lit(True)), ["src", "dst"], "left")
     mean = F.lit(0.0)
     for name, (table, weight) in tables.items():
-        one = table.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("km").alias(name))
-        out = written(out.join(one, ["src", "dst"], "left"), "geographic")
-        v = F.col(name)
-        if rule != "exclude":
-            ratio = median(out.filter(v.isNotNull() & (F.col("line") > 0)).select(F.lit(0).alias("year"), (v / F.col("line")).alias("ratio")), "ratio")
+        v, column = F.col(f"__{name}"), f"__{name}"
+        if name == "adjacency":
+            out = out.join(ordered(table.select("src", "dst")).distinct().withColumn(column, F.lit(0.0)), ["src", "dst"], "left").withColumn(column, F.coalesce(v, F.lit(1.0)))
+        else:
+            out = written(out.join(ordered(table).groupBy("src", "dst").agg(F.min("km").alias(column)), ["src", "dst"], "left"), "geographic")
+        if name != "adjacency" and rule != "exclude":
+            ratio = median(out.filter(v.isNotNull() & (F.col("direct distance") > 0)).select(F.lit(0).alias("year"), (v / F.col("direct distance")).alias("ratio")), "ratio")
             top = out.agg(F.max(v).alias("top"))
-            out = out.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(ratio.select("median")))  # single rows
-            other = F.col("line") * F.col("median") if rule == "line" else F.col("top")
-            out = out.withColumn(name, F.coalesce(v, other)).drop("top", "median")
+            out = out.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(ratio.agg(F.max("median").alias("median"))))  # single rows
+            other = F.col("direct distance") * F.col("median") if rule == "line" else F.when(F.col("beside"), 0.0).otherwise(F.col("top"))
+            out = out.withColumn(column, F.coalesce(v, other)).drop("top", "median")
         out = written(out, "geographic")
-        out = out.crossJoin(F.broadcast(out.agg(F.max(v).alias("top")))).withColumn(name, F.try_divide(v, F.col("top"))).drop("top")  # a single row
-        mean = mean + F.col(name) * (weight / total)
+        out = out.crossJoin(F.broadcast(out.agg(F.max(v).alias("top")))).withColumn(column, F.when(F.col("top") > 0, v / F.nullif("top", F.lit(0.0))).otherwise(v)).drop("top")  # a single row
+        mean = mean + v * (weight / total)
     return out.select("src", "dst", mean.alias("distance"))
+
+
+def unlinked(nodes: DataFrame, table: DataFrame) -> DataFrame:
+    """The ``id`` of nodes that a table of pairs ``src, dst, km`` links with no other node."""
+    ids = nodes.select("id").distinct()
+    t = table.filter("km is not null and src <> dst").select("src", "dst")
+    t = t.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return ids.join(t.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")
+
+
+def combine(economic: DataFrame, geo: DataFrame | None, alpha: float) -> DataFrame:
+    """``year, src, dst, distance``: ``alpha`` times the economic distance over its year's largest, and the rest the geographic one.
+
+    Without a geographic distance a pair has the economic one over the largest; with ``alpha`` of 1 or more, or without ``geo``, all have the
+    economic one as it is. A largest of 0 divides nothing.
+    """
+    if geo is None or alpha >= 1:
+        return economic.select("year", "src", "dst", "distance")
+    top = economic.groupBy("year").agg(F.max("distance").alias("top"))
+    j = economic.select("year", "src", "dst", "distance").join(F.broadcast(top), "year").join(geo.select("src", "dst", F.col("distance").alias("geo")), ["src", "dst"], "left")  # a row a year
+    e = F.when(F.col("top") > 0, F.col("distance") / F.nullif("top", F.lit(0.0))).otherwise(F.col("distance"))
+    return j.select("year", "src", "dst", F.coalesce(alpha * e + (1 - alpha) * F.col("geo"), e).alias("distance"))

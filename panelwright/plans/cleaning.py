@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
+from panelwright.operators import boundaries as B
+from panelwright.operators import lookup as L
 from panelwright.operators import panel as P
 from panelwright.plans.base import query
 
@@ -172,6 +174,36 @@ def predecessor_sum(d):
     return P.predecessor_sum(d.long(), ev).withColumn("value", F.round("value", 4))
 
 
+_BACK = """, one AS (SELECT 'union_a' || CAST(id AS VARCHAR) AS event, id AS succ, id + 1 AS p, id + 2 AS q, 1996 AS until FROM entities WHERE id % 50 = 0),
+ two AS (SELECT 'union_b' || CAST(id AS VARCHAR) AS event, id + 75 AS succ, id AS p, id + 50 AS q, 1997 AS until FROM entities WHERE id % 100 = 0),
+ three AS (SELECT 'transfer_c' || CAST(id AS VARCHAR) AS event, id + 80 AS succ, id + 75 AS p, 1998 AS until FROM entities WHERE id % 100 = 0),
+ r1 AS (SELECT succ AS id, x.year, x.indicator, CASE WHEN x.indicator = 'spend' THEN x.value + y.value ELSE (x.value * u.value + y.value * v.value) / (u.value + v.value) END AS value, 'summed_predecessors:' || event AS flag
+  FROM one JOIN long x ON x.id = p JOIN long y ON y.id = q AND y.year = x.year AND y.indicator = x.indicator JOIN long u ON u.id = p AND u.year = x.year AND u.indicator = 'spend' JOIN long v ON v.id = q AND v.year = x.year AND v.indicator = 'spend'
+  WHERE x.year < until AND NOT EXISTS (SELECT 1 FROM long l WHERE l.id = succ AND l.year = x.year AND l.indicator = x.indicator)),
+ l1 AS (SELECT id, year, indicator, value FROM long UNION ALL SELECT id, year, indicator, value FROM r1),
+ r2 AS (SELECT succ AS id, x.year, x.indicator, CASE WHEN x.indicator = 'spend' THEN x.value + y.value ELSE (x.value * u.value + y.value * v.value) / (u.value + v.value) END AS value, 'summed_predecessors:' || event AS flag
+  FROM two JOIN l1 x ON x.id = p JOIN l1 y ON y.id = q AND y.year = x.year AND y.indicator = x.indicator JOIN l1 u ON u.id = p AND u.year = x.year AND u.indicator = 'spend' JOIN l1 v ON v.id = q AND v.year = x.year AND v.indicator = 'spend'
+  WHERE x.year < until AND NOT EXISTS (SELECT 1 FROM l1 l WHERE l.id = succ AND l.year = x.year AND l.indicator = x.indicator)),
+ l2 AS (SELECT * FROM l1 UNION ALL SELECT id, year, indicator, value FROM r2),
+ r3 AS (SELECT succ AS id, x.year, x.indicator, x.value, 'moved_predecessor:' || event AS flag FROM three JOIN l2 x ON x.id = p
+  WHERE x.year < until AND NOT EXISTS (SELECT 1 FROM l2 l WHERE l.id = succ AND l.year = x.year AND l.indicator = x.indicator))
+ SELECT id, year, indicator, round(value, 4) AS value, flag FROM (FROM r1 UNION ALL FROM r2 UNION ALL FROM r3)"""
+
+
+@query(_BACK)
+def events_back(d):
+    """Two rounds of unions and a transfer, each reading what the ones before have derived: spend is summed, orders are a mean by spend."""
+    e, i = d.entities().select("id"), F.col("id")
+    name = lambda kind: F.concat(F.lit(kind), i.cast("string")).alias("event")
+    event = lambda rows, mark, kind, year, preds, succ: rows.select(name(mark), F.lit(kind).alias("kind"), F.lit(year).alias("year"), F.array(*preds).alias("preds"), F.array(succ).alias("succs"))
+    hundred = e.filter("id % 100 = 0")
+    events = event(e.filter("id % 50 = 0"), "union_a", "union", 1996, [i + 1, i + 2], i)
+    events = events.unionByName(event(hundred, "union_b", "union", 1997, [i, i + 50], i + 75)).unionByName(event(hundred, "transfer_c", "transfer", 1998, [i + 75, i + 60], i + 80))
+    rules = d.spark.createDataFrame([("spend", "sum", None), ("n_orders", "mean", "spend")], "indicator string, agg string, weight string")
+    codes = e.select("id", i.alias("code")).unionByName(hundred.select((i + 80).alias("id"), (i + 75).alias("code"))).unionByName(hundred.select((i + 75).alias("id"), (i + 75).alias("code")))
+    return B.extend_back(d.long(), events, rules, codes).withColumn("value", F.round("value", 4))
+
+
 @query("""SELECT s.id, s.year, s.section, s.value, round(sum(s.value) OVER (PARTITION BY s.id, s.year), 4) > 1.05 * (w.spend * (1 - (s.id % 4) / 10.0)) AS anomaly FROM sections s JOIN wide w USING (id, year)""")
 def sector_anomaly(d):
     s = d.sections()
@@ -235,11 +267,18 @@ def _aligned(priced, plain):
     return ids(priced, "priced").join(ids(plain, "plain"), "region", "full_outer").select("region", "priced", "plain")
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(r_regionkey AS BIGINT) AS b FROM nation, region WHERE starts_with(lower(n_name), lower(substr(r_name, 1, 1))) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY r_regionkey) = 1""")
+@query("""SELECT p.p_partkey AS id, arg_max(x.prefix, length(x.prefix)) AS prefix FROM part p JOIN (SELECT DISTINCT substr(p_name, 1, CAST(2 + p_partkey % 5 AS INT)) AS prefix FROM part WHERE p_partkey % 11 = 0) x ON starts_with(p.p_name, x.prefix) GROUP BY 1""")
 def prefix_join(d):
-    n, r = d.nation, d.region
-    j = n.join(F.broadcast(r), F.lower("n_name").startswith(F.lower(F.substring("r_name", 1, 1))))  # regions are a fixed five
-    return j.groupBy(F.col("n_nationkey").cast("long").alias("a")).agg(F.min("r_regionkey").cast("long").alias("b"))
+    """The longest of a list of prefixes (beginnings of some names) that each name has."""
+    some = d.part.filter("p_partkey % 11 = 0").select(F.expr("substr(p_name, 1, 2 + p_partkey % 5)").alias("prefix"))
+    return L.longest_prefix(d.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), some)
+
+
+@query("""SELECT p.p_partkey AS id, x.part FROM part p JOIN (SELECT DISTINCT substr(p_name, CAST(1 + p_partkey % 5 AS INT), CAST(p_partkey % 7 AS INT)) AS part FROM part WHERE p_partkey % 13 = 0) x ON contains(p.p_name, x.part)""")
+def name_parts(d):
+    """Every name that contains one of a list of parts, short and empty ones among them."""
+    some = d.part.filter("p_partkey % 13 = 0").select(F.expr("substr(p_name, 1 + p_partkey % 5, p_partkey % 7)").alias("part"))
+    return L.containing(d.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), some, []).select("id", "part")
 
 
 @query("""SELECT user_id, event_type, count(DISTINCT value) AS n_values, count(DISTINCT value) > 1 AS conflict, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2""")

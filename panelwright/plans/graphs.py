@@ -261,13 +261,20 @@ def modularity(d):
     return r.crossJoin(t).agg(F.round(F.sum(F.col("skk") / F.col("t") - F.pow(F.col("out") / F.col("t"), 2)), 6).alias("modularity"))  # a row a label
 
 
-@query(""", v(k, y) AS (VALUES (2, 100.0), (3, 20.0), (4, 15.0), (5, 12.0)), n AS (SELECT k, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS x, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS y FROM v)
- SELECT CAST(arg_min(k, (x + y, k)) AS BIGINT) AS elbow FROM n""")
+_VAR = " + ".join(f"var_pop({c})" for c in X5)
+
+
+@query(f""", v AS (SELECT k, sum(w) AS y FROM (SELECT k, count(*) * ({_VAR}) AS w FROM (SELECT *, unnest(range(2, 9)) AS k FROM features) GROUP BY k, label % k) GROUP BY k),
+ n AS (SELECT k, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS x, (y - min(y) OVER ()) / nullif(max(y) OVER () - min(y) OVER (), 0) AS y FROM v)
+ SELECT CAST(arg_min(k, (round(x + y, 9), k)) AS BIGINT) AS elbow FROM n""")
 def elbow(d):
-    v = d.spark.sql("SELECT * FROM VALUES (2L, 100.0D), (3L, 20.0D), (4L, 15.0D), (5L, 12.0D) AS v(k, y)")
+    """The number of clusters nearest to the corner of the cost curve: clusters are labels by their remainder."""
+    f = d.features().withColumn("k", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(8).cast("long")))).withColumn("part", F.col("label") % F.col("k"))
+    within = sum((F.var_pop(c) for c in X5[1:]), F.var_pop(X5[0]))
+    v = f.groupBy("k", "part").agg((F.count("*") * within).alias("w")).groupBy("k").agg(F.sum("w").alias("y"))
     r = v.agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    x = (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0")) + (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))
-    return v.crossJoin(r).agg(F.min_by("k", F.struct(x, "k")).alias("elbow"))
+    x = (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0")) + F.try_divide(F.col("y") - F.col("y0"), F.col("y1") - F.col("y0"))
+    return v.crossJoin(F.broadcast(r)).agg(F.min_by("k", F.struct(F.round(x, 9), "k")).alias("elbow"))  # a row a number of clusters
 
 
 @query(_CEN + f""", u AS (SELECT * FROM features), a AS (SELECT f.id, c.label, round({_SQ}, 6) AS dist FROM u f CROSS JOIN cen c) SELECT id, arg_min(label, (dist, label)) AS label FROM a GROUP BY 1""")
@@ -362,21 +369,44 @@ def _roads(d):
     return _places(d).select("id"), {"road": (road, 3.0), "rail": (line, 1.0)}, line
 
 
+def _beside(d):
+    """Made neighbours: places whose numbers differ by two."""
+    p = _places(d).select("id")
+    return p.select(F.col("id").alias("src"), (F.col("id") + 2).alias("dst")).join(p.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
 def _geo(rule, fill):
     sql = _ROADS + f", fl AS (SELECT src, dst, km, {fill} AS road FROM rd, md) SELECT src, dst, round(0.75 * road / (SELECT max(road) FROM fl) + 0.25 * km / (SELECT max(km) FROM fl), 6) AS distance FROM fl"
 
     def run(d):
-        return N.geographic(*_roads(d), rule).withColumn("distance", F.round("distance", 6))
+        return N.geographic(*_roads(d), rule, _beside(d)).withColumn("distance", F.round("distance", 6))
 
     run.__name__ = f"geo_distance_{rule}"
     return query(sql)(run)
 
 
 geo_distance_line = _geo("line", "coalesce(road, km * m)")
-geo_distance_adjacency = _geo("adjacency", "coalesce(road, top)")
+geo_distance_adjacency = _geo("adjacency", "coalesce(road, CASE WHEN dst - src = 2 THEN 0 ELSE top END)")
 geo_distance_exclude = _geo("exclude", "road")
 
 
+@query(_ROADS + """, eco AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, abs(a.s_acctbal - b.s_acctbal) AS e FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
+ gx AS (SELECT src, dst, round(0.75 * road / (SELECT max(road) FROM rd) + 0.25 * km / (SELECT max(km) FROM rd), 6) AS g FROM rd)
+ SELECT src, dst, round(coalesce(0.6 * e / (SELECT max(e) FROM eco) + 0.4 * g, e / (SELECT max(e) FROM eco)), 6) AS distance FROM eco JOIN gx USING (src, dst)""")
+def combined_missing(d):
+    """Balances and roads; pairs without a road keep the economic distance alone."""
+    s = d.supplier.select(F.lit(0).alias("year"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("x"))
+    return N.combine(N.pairs(s, ["x"]), geo_distance_exclude(d), 0.6).select("src", "dst", F.round("distance", 6).alias("distance"))
+
+
+@query(_ROADS + """, fr AS (SELECT src, dst FROM rd WHERE road IS NOT NULL AND src % 5 <> 0 AND dst % 5 <> 0)
+ SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM fr UNION SELECT dst FROM fr)""")
+def unlinked_places(d):
+    """Places that no road reaches when every fifth has none."""
+    nodes, tables, _ = _roads(d)
+    return N.unlinked(nodes, tables["road"][0].filter("src % 5 <> 0 and dst % 5 <> 0"))
+
+
 _KM = """, geo AS (SELECT id, CAST((id * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((id * 91) % 360 - 180 AS DOUBLE) AS lon FROM features),
  km AS (SELECT p.*, 2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))) AS km
   FROM p JOIN geo a ON a.id = p.src JOIN geo b ON b.id = p.dst)"""

@@ -10,6 +10,7 @@ from panelwright.functions import text as T
 from panelwright.operators import cluster as C
 from panelwright.operators import convergence as G
 from panelwright.operators import points as P
+from panelwright.operators import ranks as K
 from panelwright.operators import reports as R
 from panelwright.plans.base import query
 from panelwright.plans.graphs import X5
@@ -184,14 +185,23 @@ _RK = ", rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY x{i}) + (count(*) O
 
 @query(_RK + "SELECT 'x0' AS a, 'x1' AS b, round(corr(r0, r1), 6) AS rho FROM rk UNION ALL SELECT 'x0', 'x2', round(corr(r0, r2), 6) FROM rk UNION ALL SELECT 'x1', 'x2', round(corr(r1, r2), 6) FROM rk")
 def spearman_matrix(d):
-    f = d.features(3)
-    for i in range(3):
-        c = f.groupBy(f"x{i}").agg(F.count("*").alias("m"))
-        ahead = F.coalesce(F.sum("m").over(W.partitionBy(F.lit(1)).orderBy(f"x{i}").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        f = f.join(c.select(f"x{i}", (ahead + 1 + (F.col("m") - 1) / 2).alias(f"r{i}")), f"x{i}")
-    one = f.agg(*[F.round(F.corr(f"r{a}", f"r{b}"), 6).alias(f"c{a}{b}") for a, b in ((0, 1), (0, 2), (1, 2))])
-    rows = F.array(*[F.struct(F.lit(f"x{a}").alias("a"), F.lit(f"x{b}").alias("b"), F.col(f"c{a}{b}").alias("rho")) for a, b in ((0, 1), (0, 2), (1, 2))])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return K.spearman_pairs(d.features(3), ["x0", "x1", "x2"]).select("a", "b", F.round("rho", 6).alias("rho"))
+
+
+#: Made columns: shares and quotients of one section that rise together, a mirrored one, and holes.
+_MADE = {"share_A": "x0", "quotient_A": "CASE WHEN id % 5 <> 0 THEN exp(x0) END", "share_B": "CASE WHEN id % 3 <> 0 THEN -x0 * x0 * x0 END", "other": "x1 + x0 / 100", "seldom": "CASE WHEN id % 97 = 0 THEN x0 END"}
+_STRONG = ", made AS (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in _MADE.items()) + " FROM features)" + "".join(
+    f", q{i}{j} AS (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS r, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS s FROM made WHERE {a} IS NOT NULL AND {b} IS NOT NULL), p{i}{j} AS (SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr(r, s) AS rho FROM q{i}{j})"
+    for i, a in enumerate(_MADE) for j, b in enumerate(_MADE) if i < j)
+_FAMILY = "regexp_replace({}, '^(share|quotient)_', '')"
+
+
+@query(_STRONG + " SELECT a, b, n, round(rho, 6) AS rho FROM (" + " UNION ALL ".join(f"SELECT * FROM p{i}{j}" for i in range(5) for j in range(i + 1, 5)) + f") WHERE n >= 50 AND abs(rho) >= 0.8 AND {_FAMILY.format('a')} <> {_FAMILY.format('b')}")
+def strong_pairs(d):
+    """Pairs of columns that say the same, but for those of one section in other scales."""
+    rows = d.features(2).selectExpr(*[f"{sql} AS {name}" for name, sql in _MADE.items()])
+    family = lambda c: F.regexp_replace(c, "^(share|quotient)_", "")
+    return K.strong_pairs(rows, list(_MADE), 0.8, 50, family).select("a", "b", "n", F.round("rho", 6).alias("rho"))
 
 
 @query("SELECT indicator, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(stddev_samp(value) / avg(value), 6) AS cv, count(*) AS n FROM long GROUP BY 1")
@@ -207,7 +217,7 @@ def sigma_convergence(d):
 _B = ", g AS (SELECT ln(a.spend) AS x, (ln(b.spend) - ln(a.spend)) / 5 AS y FROM wide a JOIN wide b ON a.id = b.id AND a.year = 1995 AND b.year = 2000), s AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx FROM g)"
 
 
-@query(_B + "SELECT n, round(b, 6) AS b, round(r2, 6) AS r2, round(sqrt(n / (n - 2) * (SELECT sum(pow(x - mx, 2) * pow(y - a - b * x, 2)) FROM g) / (sxx * sxx)), 6) AS se, round(CASE WHEN 1 + b * 5 > 0 THEN -ln(1 + b * 5) / 5 END, 6) AS speed FROM s")
+@query(_B + "SELECT n, round(b, 6) AS b, round(r2, 6) AS r2, round(sqrt(n / (n - 2) * (SELECT sum(pow(x - mx, 2) * pow(y - a - b * x, 2)) FROM g) / (sxx * sxx)), 6) AS se, round(CASE WHEN 1 + b * 5 > 0 THEN -ln(1 + b * 5) / 5 END, 6) AS speed, round(CASE WHEN 1 + b * 5 > 0 AND b < 0 THEN ln(2) / (-ln(1 + b * 5) / 5) END, 4) AS half_life FROM s")
 def beta_absolute(d):
     w = d.wide()
     a, b = w.filter("year = 1995").select("id", F.ln("spend").alias("x")), w.filter("year = 2000").select("id", F.ln("spend").alias("z"))
@@ -216,7 +226,9 @@ def beta_absolute(d):
     e = g.crossJoin(F.broadcast(s)).groupBy("n", "b", "a", "r2", "sxx").agg(F.sum(F.pow(F.col("x") - F.col("mx"), 2) * F.pow(F.col("y") - F.col("a") - F.col("b") * F.col("x"), 2)).alias("m"))  # one row
     se = F.sqrt(F.col("n") / (F.col("n") - 2) * F.col("m") / (F.col("sxx") * F.col("sxx")))
     left = 1 + F.col("b") * 5
-    return e.select("n", F.round("b", 6).alias("b"), F.round("r2", 6).alias("r2"), F.round(se, 6).alias("se"), F.round(F.when(left > 0, -F.ln(left) / 5), 6).alias("speed"))
+    speed = F.when(left > 0, -F.ln(left) / 5)
+    half = F.when(speed > 0, F.ln(F.lit(2.0)) / F.nullif(speed, F.lit(0.0)))  # years until half of a gap is gone
+    return e.select("n", F.round("b", 6).alias("b"), F.round("r2", 6).alias("r2"), F.round(se, 6).alias("se"), F.round(speed, 6).alias("speed"), F.round(half, 4).alias("half_life"))
 
 
 @query("""SELECT round(b, 6) AS slope, round(sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS se, n AS years FROM (SELECT regr_slope(s, year) AS b, regr_sxx(s, year) AS sxx, regr_syy(s, year) AS syy, regr_sxy(s, year) AS sxy, count(s) AS n
@@ -251,11 +263,18 @@ def log_t(d):
 
 @query(None)
 def convergence_clubs(d):
-    """Clubs of regions by their mean spend: a few values for each region come to the driver."""
+    """Clubs of regions by their mean spend."""
+    years = _years(d)
+    m = d.wide().filter("spend > 0").join(d.entities().select("id", "region"), "id").groupBy("region").pivot("year", years).agg(F.ln(F.avg("spend"))).dropna()
+    return G.clubs(m.select(F.col("region").alias("id"), F.array(*[str(y) for y in years]).alias("x"))).withColumnRenamed("id", "region")
+
+
+@query(None)
+def entity_clubs(d):
+    """Clubs of all entities that have spent in every year."""
     years = _years(d)
-    m = d.wide().filter("spend > 0").join(d.entities().select("id", "region"), "id").groupBy("region").pivot("year", years).agg(F.ln(F.avg("spend"))).dropna().orderBy("region").collect()
-    found = G.clubs(np.array([[r[str(y)] for y in years] for r in m])) if m else []
-    return d.spark.createDataFrame([(r.region, int(c)) for r, c in zip(m, found)], "region long, club long")
+    m = d.wide().filter("spend > 0").groupBy("id").pivot("year", years).agg(F.first("spend")).dropna()
+    return G.clubs(m.select("id", F.array(*[F.ln(str(y)) for y in years]).alias("x")))
 
 
 def _network(method):

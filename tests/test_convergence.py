@@ -74,17 +74,63 @@ def test_log_t(spark):
     assert r.b == pytest.approx(beta[1], abs=1e-4) and r.t == pytest.approx(beta[1] / np.sqrt((inv @ meat @ inv)[1, 1]), rel=1e-4)
 
 
-def test_clubs_find_two_groups():
+def paths(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>").repartition(3)
+
+
+def two_groups():
     r = np.random.default_rng(3)
     t = np.arange(12)
     near = lambda level, n: level + np.linspace(-0.4, 0.4, n)[:, None] * np.exp(-0.45 * t) + r.normal(0, 1e-4, (n, 12))
-    got = G.clubs(np.vstack((near(12.0, 8), near(7.0, 8))))
-    assert len(set(got[:8])) == 1 and len(set(got[8:])) == 1 and got[0] != got[8] and (got > 0).all()
+    return np.vstack((near(12.0, 8), near(7.0, 8), [12.0 - 0.5 * t]))
+
+
+@pytest.mark.parametrize("local", [4096, 4])
+def test_clubs_find_two_groups(spark, local):
+    odd = spark.createDataFrame([(50, None), (51, [1.0] * 11 + [None])], "id long, x array<double>")
+    got = {r.id: r.club for r in G.clubs(paths(spark, two_groups()).unionByName(odd), local=local).collect()}
+    assert len({got[i] for i in range(8)}) == len({got[i] for i in range(8, 16)}) == 1 and got[0] != got[8] and min(got[0], got[8]) > 0
+    assert got[50] == got[51] == -1 and len(got) == 19
+    assert G.clubs(odd.limit(0), local=local).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clubs_in_rounds_are_those_of_the_definition(spark, seed):
+    """Each run and each unit is tested by itself here; in rounds nothing but the last two units comes to the driver."""
+    r = np.random.default_rng(seed)
+    centre = r.choice([9.0, 10.0, 12.0], 14)
+    x = centre[:, None] + r.normal(0, 0.5, 14)[:, None] * np.exp(-0.3 * np.arange(9)) + r.normal(0, 0.01, (14, 9))
+    trend = np.array([trend_by_definition(row) for row in x])
+
+    def t_of(group):
+        if len(group) < 3:
+            return np.nan
+        v = trend[group]
+        return G.slope_test(((v / v.mean(0) - 1) ** 2).mean(0))["t"]
+
+    want, left, number = dict.fromkeys(range(14), -1), sorted(range(14), key=lambda i: -x[i, -1]), 0
+    while len(left) > 1:
+        t = [t_of(left[: n + 1]) for n in range(len(left))]
+        start = next((n for n, v in enumerate(t) if v > -1.65), None)
+        if start is None:
+            left.pop(0)
+            continue
+        stop = next((n for n in range(start, len(t)) if t[n] < -1.65), len(t))
+        end = max(range(start, stop), key=lambda n: (t[n] if t[n] == t[n] else -np.inf, -n))
+        core, rest = left[: end + 1], left[end + 1 :]
+        number += 1
+        club = core + [i for i in rest if t_of(core + [i]) > 0]
+        want |= dict.fromkeys(club, number)
+        left = [i for i in rest if i not in club]
+    for local in (4096, 2):
+        assert {r.id: r.club for r in G.clubs(paths(spark, x), local=local).collect()} == want
 
 
 def test_clubs_of_regions(spark):
     got = registry.queries()["convergence_clubs"](spark, DATA).collect()
     assert len({r.region for r in got}) == len(got) and all(r.club == -1 or r.club > 0 for r in got)
+    every = registry.queries()["entity_clubs"](spark, DATA).collect()
+    assert len({r.id for r in every}) == len(every) > 10
 
 
 def test_ward_heights(spark):
