@@ -247,7 +247,7 @@ def search(points: DataFrame, k: int, metric: Metric, foreign: bool = False, loo
     if not span:
         return points.sparkSession.createDataFrame([], _FOUND)
     size = sum(n for n, _, _ in span.values())
-    parts = max(-(-size // CHUNK), 1)
+    parts = max(-(-size // CHUNK), min(points.sparkSession.sparkContext.defaultParallelism, size // 1024), 1)
     placed = points.mapInPandas(_curve(width, span), "year long, id long, x array<double>, m double, c long, u double, z long")
     dealt = placed.repartitionByRange(parts, "year", "z", "id") if parts > 1 else placed.coalesce(1)
     cells = dealt.sortWithinPartitions("year", "z", "id").drop("z").mapInPandas(_maker(metric, k, foreign, looked), _CELL)
@@ -378,19 +378,30 @@ def roots(links: DataFrame) -> DataFrame:
             return links
 
 
-def spanning_forest(nodes: DataFrame, features: dict[str, float] | list[str], metric: str = "l1", digits: int | None = None, near: DataFrame | None = None, k: int = 8, looked=None, local: int = 1 << 16) -> DataFrame:
+def spanning_forest(nodes: DataFrame, features: dict[str, float] | list[str], metric: str = "l1", digits: int | None = None, near: DataFrame | None = None, k: int = 8, looked=None, local: int = 1 << 15) -> DataFrame:
     """``year, src, dst, distance``: each year's minimum spanning forest by ``(distance, src, dst)``, without a table of pairs.
 
     Boruvka's rounds. A component's shortest way out is sought in its points' lists of nearest neighbours first: where a list has a
     point of another component, the first is the nearest. Only points whose whole list lies within their component, and within
     the way out found so far, are searched again, no farther than that; a component without any starts from the distance to the
-    nearest of one point of each other component. ``near``: :func:`nearest` of the nodes, where there is one. When no more than ``local``
-    components are left to join, a row each, they are joined on the driver, else by doubled pointers.
+    nearest of one point of each other component. ``near``: :func:`nearest` of the nodes, where there is one. Of at most ``local`` nodes the
+    lists, a bounded number of rows, are worked off on arrays, with the same searches in Spark; else all is done by joins.
     """
     points, weights = ready(nodes, features)
     points, m = written(points, "points"), Metric(metric, weights, digits)
     span = spans(points, len(weights))
     near = nearest(nodes, features, k, metric, digits, looked) if near is None else near
+    size = sum(n for n, _, _ in span.values())
+    if size <= local:
+        spark = points.sparkSession
+
+        def ways_out(of: pd.DataFrame, shut: pd.DataFrame) -> pd.DataFrame:
+            lost = bool(np.isinf(shut.best).any())
+            shut = spark.createDataFrame(shut, "year long, id long, c long, best double").withColumn("best", F.when(F.col("best") < float("inf"), F.col("best")))
+            return _ways_out(points, spark.createDataFrame(of, "year long, id long, c long"), shut, lost, m, looked, span).select("year", "id", "dst", "distance").toPandas()
+
+        found = _forest_of_lists(near.select("year", "src", "dst", "distance").toPandas(), points.select("year", "id").toPandas(), ways_out)
+        return spark.createDataFrame(found.astype({"year": "int64", "src": "int64", "dst": "int64", "distance": "float64"}), "year long, src long, dst long, distance double")
     last = near.groupBy("year", F.col("src").alias("id")).agg(F.max("distance").alias("far"))
     ends = near.select("year", F.col("src").alias("id"), "dst", "distance")
     edge = F.struct("distance", F.least("id", "dst").alias("src"), F.greatest("id", "dst").alias("dst"))
@@ -403,40 +414,104 @@ def spanning_forest(nodes: DataFrame, features: dict[str, float] | list[str], me
             mine = written(mine, "ways-out")
             best = mine.groupBy("year", "c").agg(F.min("distance").alias("best"))
             shut = of.join(mine.select("year", "id").distinct(), ["year", "id"], "left_anti").join(last, ["year", "id"], "left").join(best, ["year", "c"], "left")
-            shut = written(shut.filter("best is null or far is null or far <= best").select("year", "id", "c", "best"), "shut")
+            shut = shut.filter("best is null or far is null or far <= best").select("year", "id", "c", "best")
+            # The largest component of a year need not look: the others join it.
+            largest = of.groupBy("year", "c").agg(F.count("*").alias("n")).groupBy("year").agg(F.max_by("c", F.struct("n", "c")).alias("c"), F.lit(True).alias("largest"))
+            shut = written(shut.join(largest, ["year", "c"], "left"), "shut")
+            idle, shut = shut.filter("largest").select("year", "c").distinct(), shut.filter("largest is null").drop("largest")
             count = shut.agg(F.count("*").alias("n"), F.count_if(F.col("best").isNull()).alias("lost")).first()
             found = mine.select("year", "id", "c", "dst", "o", "distance")
             if count.n:
-                bound = shut.select("year", "id", "best")
-                if count.lost:
-                    lost = shut.filter("best is null").select("year", "c").distinct().withColumn("u", F.lit(float("inf")))
-                    first = of.groupBy("year", "c").agg(F.min("id").alias("id")).join(lost, ["year", "c"], "left")
-                    some = points.drop("c", "u").join(first.select("year", "id", "c", F.coalesce("u", F.lit(-1.0)).alias("u")), ["year", "id"])
-                    seen = search(some, 1, m, True, looked, span).join(first.select("year", "id", "c"), ["year", "id"])
-                    bound = shut.join(seen.select("year", "c", F.col("distance").alias("start")), ["year", "c"], "left").select("year", "id", F.coalesce("best", "start").alias("best"))
-                ask = points.drop("c", "u").join(of, ["year", "id"]).join(bound.withColumn("asks", F.lit(True)), ["year", "id"], "left")
-                ask = ask.withColumn("u", F.when(F.col("asks"), F.coalesce("best", F.lit(float("inf")))).otherwise(-1.0))
-                deep = search(ask.select("year", "id", "x", "m", "c", "u"), 1, m, True, looked, span).join(of, ["year", "id"])
+                deep = _ways_out(points, of, shut, bool(count.lost), m, looked, span)
                 found = found.unionByName(deep.join(of.select("year", F.col("id").alias("dst"), F.col("c").alias("o")), ["year", "dst"]).select("year", "id", "c", "dst", "o", "distance"))
-            picked = found.groupBy("year", "c").agg(F.min(edge).alias("e"), F.min_by("o", edge).alias("o")).select("year", "c", "o", "e.*")
+            picked = found.groupBy("year", "c").agg(F.min(edge).alias("e"), F.min_by("o", edge).alias("o")).select("year", "c", "o", "e.*").join(idle, ["year", "c"], "left_anti")
         picked = written(picked, "picked")
-        some = picked.limit(local + 1).collect() if local else picked.take(1)
-        if not some:
+        if not picked.head(1):
             break
         taken.append(picked.select("year", "src", "dst", "distance").distinct())
-        if len(some) <= local:
-            top = picked.sparkSession.createDataFrame(_merged([(r.year, r.c, r.o) for r in some]), "year long, c long, root long")
-        else:
-            # Of two components that chose each other the smaller is the root; by the order of edges there are no other cycles.
-            back = picked.select("year", F.col("c").alias("o"), F.col("o").alias("c"), F.lit(True).alias("mutual"))
-            up = picked.join(back, ["year", "c", "o"], "left").filter("mutual is null or c > o").select("year", F.col("c").alias("id"), F.col("o").alias("up"))
-            top = roots(up).withColumnRenamed("id", "c")
+        # Of two components that chose each other the smaller is the root; by the order of edges there are no other cycles.
+        back = picked.select("year", F.col("c").alias("o"), F.col("o").alias("c"), F.lit(True).alias("mutual"))
+        up = picked.join(back, ["year", "c", "o"], "left").filter("mutual is null or c > o").select("year", F.col("c").alias("id"), F.col("o").alias("up"))
+        top = roots(up).withColumnRenamed("id", "c")
         of = written(of.join(top, ["year", "c"], "left").select("year", "id", F.coalesce("root", "c").alias("c")), "components")
     if not taken:
         return points.sparkSession.createDataFrame([], "year long, src long, dst long, distance double")
     return reduce(DataFrame.unionByName, taken)
 
 
+def _ways_out(points: DataFrame, of: DataFrame, shut: DataFrame, lost: bool, m: Metric, looked, span) -> DataFrame:
+    """``year, id, dst, distance, c``: the nearest point of another component for the points ``shut`` (``year, id, c, best``), no farther
+    than ``best``; with ``lost`` some have none, and look no farther than one point of their component is from one of another."""
+    bound = shut.select("year", "id", "best")
+    if lost:
+        none = shut.filter("best is null").select("year", "c").distinct().withColumn("u", F.lit(float("inf")))
+        first = of.groupBy("year", "c").agg(F.min("id").alias("id")).join(none, ["year", "c"], "left")
+        some = points.drop("c", "u").join(first.select("year", "id", "c", F.coalesce("u", F.lit(-1.0)).alias("u")), ["year", "id"])
+        seen = search(some, 1, m, True, looked, span).join(first.select("year", "id", "c"), ["year", "id"])
+        bound = shut.join(seen.select("year", "c", F.col("distance").alias("start")), ["year", "c"], "left").select("year", "id", F.coalesce("best", "start").alias("best"))
+    ask = points.drop("c", "u").join(of, ["year", "id"]).join(bound.withColumn("asks", F.lit(True)), ["year", "id"], "left")
+    ask = ask.withColumn("u", F.when(F.col("asks"), F.coalesce("best", F.lit(float("inf")))).otherwise(-1.0))
+    return search(ask.select("year", "id", "x", "m", "c", "u"), 1, m, True, looked, span).join(of, ["year", "id"])
+
+
+def _forest_of_lists(near: pd.DataFrame, nodes: pd.DataFrame, ways_out) -> pd.DataFrame:
+    """The rounds of :func:`spanning_forest` on lists of a bounded size. Components whose way out is certain merge at once, again and again;
+    only when none is certain are the points of the others that lists don't decide searched (``ways_out``), all together."""
+    if not len(near):
+        return near
+    keys = {k: n for n, k in enumerate(zip(nodes.year, nodes.id))}
+    at = lambda t, c: np.array([keys[k] for k in zip(t.year, t[c])], np.int64)
+    src, dst, d = at(near, "src"), at(near, "dst"), near.distance.to_numpy()
+    ids, years, comp = nodes.id.to_numpy(), nodes.year.to_numpy(), np.arange(len(nodes))
+    far = np.full(len(nodes), -np.inf)
+    np.maximum.at(far, src, d)
+    far[np.isinf(far)] = np.inf  # a point without neighbours has none to look for
+    alone = ~np.isin(np.arange(len(nodes)), src)
+    more, taken = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+
+    def first_ways(s, t, w):
+        """For each component its first edge by (distance, ends), as a row of ``s, t, w``, or -1."""
+        a, b = np.minimum(ids[s], ids[t]), np.maximum(ids[s], ids[t])
+        order = np.lexsort((b, a, w))
+        order = order[comp[s[order]] != comp[t[order]]]
+        best = np.full(len(comp), -1)
+        found, where = np.unique(comp[s[order]], return_index=True)
+        best[found] = order[where]
+        return best
+
+    while True:
+        s, t, w = (np.concatenate(v) for v in zip((src, dst, d), more))
+        best = first_ways(s, t, w)
+        reach = np.where(best >= 0, w[best], np.inf)
+        open_ = np.zeros(len(comp), bool)
+        open_[src[comp[src] != comp[dst]]] = True
+        shut = np.flatnonzero(~open_ & ~alone & (far <= reach[comp]))
+        sure = np.setdiff1d(np.unique(comp), np.unique(comp[shut]))
+        sure = sure[best[sure] >= 0]
+        if not len(sure):
+            # The largest component of a year need not look: the others join it.
+            names, size = np.unique(comp, return_counts=True)
+            order = np.lexsort((names, size, years[names]))
+            largest = names[order[np.append(np.diff(years[names[order]]) != 0, True)]]
+            shut = shut[~np.isin(comp[shut], largest)]
+            if not len(shut):
+                break
+            asked = pd.DataFrame({"year": years[shut], "id": ids[shut], "c": ids[comp[shut]], "best": reach[comp[shut]]})
+            got = ways_out(pd.DataFrame({"year": years, "id": ids, "c": ids[comp]}), asked)
+            more = tuple(np.concatenate(v) for v in zip(more, (at(got, "id"), at(got, "dst"), got.distance.to_numpy())))
+            s, t, w = (np.concatenate(v) for v in zip((src, dst, d), more))
+            best = first_ways(s, t, w)
+            sure = np.setdiff1d(names, largest)
+            sure = sure[best[sure] >= 0]
+            if not len(sure):
+                break
+        rows = best[sure]
+        taken.append(pd.DataFrame({"year": years[s[rows]], "src": np.minimum(ids[s[rows]], ids[t[rows]]), "dst": np.maximum(ids[s[rows]], ids[t[rows]]), "distance": w[rows]}))
+        up = {c: top for _, c, top in _merged([(0, int(a), int(b)) for a, b in zip(comp[s[rows]], comp[t[rows]])])}
+        comp = np.array([up.get(c, c) for c in comp.tolist()], np.int64)
+    return pd.concat(taken).drop_duplicates(["year", "src", "dst"]) if taken else pd.DataFrame({"year": [], "src": [], "dst": [], "distance": []})
+
+
 def _merged(links: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Year, component and the smallest component it is joined with; the links are few, by the caller's bound."""
     up: dict = {}
