@@ -80,7 +80,7 @@ def test_ward_in_rounds_is_the_plain_tree(spark, monkeypatch, kind):
     if kind == "noise":
         got = by_year(P.ward_labels(p, 6, 200))[1]
         assert got == cut(plain, len(x), 6).tolist()
-        starts = P.ward_starts(p, [2, 6], 200)
+        starts = P.ward_starts(p, [2, 6])
         for k in (2, 6):
             want = cut(plain, len(x), k)
             assert sorted(map(tuple, starts[1, k].round(9))) == sorted(tuple(x[want == i].mean(0).round(9)) for i in range(k))
