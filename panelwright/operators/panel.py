@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.sources.work import written
+
 
 def resolve(rows: DataFrame, versions: DataFrame, code: str, stable: str, year: str = "year", first_year: int = 2018) -> DataFrame:
     """``id_resolved`` and ``match`` for rows whose codes change over time.
@@ -17,12 +19,11 @@ def resolve(rows: DataFrame, versions: DataFrame, code: str, stable: str, year:
     v = versions.select(F.col("id").alias("__v"), F.col("code").alias("__c"), "year_from", "year_to")
     in_force = v.select("__v", "__c", F.col("year_from").alias("__f"), F.col("year_to").alias("__t"))
     y = F.greatest(F.col(year), F.lit(first_year))
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    a = keyed.join(in_force, (F.col(code) == F.col("__c")) & (F.col("__f") <= y) & (y < F.col("__t")), "left").drop("__c", "__f", "__t").withColumnRenamed("__v", "__by_year")
+    a = rows.join(in_force, (F.col(code) == F.col("__c")) & (F.col("__f") <= y) & (y < F.col("__t")), "left").drop("__c", "__f", "__t").withColumnRenamed("__v", "__by_year")
     held = v.groupBy("__c").agg(F.min("__v").alias("__one"), F.count_distinct("__v").alias("__n"))
     b = a.join(held.select(F.col("__c").alias(code), F.when(F.col("__n") == 1, F.col("__one")).alias("__by_code"), F.col("__n").alias("__n1")), code, "left")
     c = b.join(held.select(F.col("__c").alias(stable), F.when(F.col("__n") == 1, F.col("__one")).alias("__by_stable"), F.col("__n").alias("__n2")), stable, "left")
-    c = c.withColumn("__now", F.coalesce("__by_year", "__by_code", "__by_stable"))
+    c = written(c.withColumn("__now", F.coalesce("__by_year", "__by_code", "__by_stable")), "resolved")  # read for peers and for rows
     peers = c.filter("__now is not null").groupBy(stable).agg(F.when(F.count_distinct("__now") == 1, F.min("__now")).alias("__peer"))
     d = c.join(peers, stable, "left")
     match = (
@@ -92,6 +93,31 @@ def last_run(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("__i", island).withColumn("__m", F.max("__i").over(W.partitionBy(*keys))).filter("__i = __m").drop("__i", "__m")
 
 
+def top_level(rows: DataFrame, level: str, top: str, kind: str, lower: list[str]) -> DataFrame:
+    """The rows of the top level, but for those of a lower kind, which are sums of incomplete parts. A null kind is none of these; a null level is no top."""
+    return rows.filter((F.col(level) == top) & ~F.coalesce(F.col(kind).isin(lower), F.lit(False)))
+
+
+def reject_invalid(long: DataFrame, positive: list[str], percent: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that are kept and, with a ``reason``, those that are not; no value is changed.
+
+    Series that have to be positive are rejected at 0 and below, not where a value is missing; percentages outside of 0 to 100 and missing ones."""
+    v, i = F.col("value"), F.col("indicator")
+    low = i.isin(positive) & F.coalesce(v <= 0, F.lit(False))
+    off = i.isin(percent) & ~F.coalesce(v.between(0, 100), F.lit(False))
+    marked = long.withColumn("reason", F.when(low, "not positive").when(off, "not between 0 and 100"))
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
+def coordinates(entities: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``entities`` (``id, lat, lon``) with missing coordinates from ``centroids`` (``id, lat, lon``), each by itself, ``coord_source`` (``directory``
+    where the latitude is its own, else ``centroid``), ``lon360`` from 0 to 360, and ``has_centroid``."""
+    c = centroids.select("id", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.lit(True).alias("__has"))
+    j = entities.join(c, "id", "left").withColumn("coord_source", F.when(F.col("lat").isNotNull(), "directory").otherwise("centroid"))
+    j = j.withColumns({"lat": F.coalesce("lat", "__lat"), "lon": F.coalesce("lon", "__lon"), "has_centroid": F.coalesce("__has", F.lit(False))}).drop("__lat", "__lon", "__has")
+    return j.withColumn("lon360", F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")))
+
+
 def fill_both_ways(df: DataFrame, value: str, to: str) -> DataFrame:
     w = W.partitionBy("id").orderBy("year")
     ahead = F.last(value, True).over(w.rowsBetween(W.unboundedPreceding, 0))

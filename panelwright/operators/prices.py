@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,3 +66,17 @@ def factors(levels: DataFrame, keys: list[str], base_year: int) -> DataFrame:
 def allocate(df: DataFrame, value: Column, weight: Column, by: list[str]) -> Column:
     """A group's value dealt out by the rows' shares of its weight."""
     return F.try_divide(value * weight, F.sum(weight).over(W.partitionBy(*by)))
+
+
+def basket(rows: DataFrame, unit: str, marker: str, value: str, keys: list[str]) -> DataFrame:
+    """``keys, basket_rel``: the cost of a fixed set relative to the country's (1), from the rows whose unit says so; values from 1000 % up and
+    from 0 down are no costs. Rows with a null key, unit or value are left out."""
+    kept = rows.filter(F.contains(unit, F.lit(marker))).dropna(subset=keys)
+    return kept.select(*keys, (F.col(value) / 100).alias("basket_rel")).filter("basket_rel > 0 and basket_rel < 10")
+
+
+def by_method(methods: dict[str, Callable[[], DataFrame]], chosen: list[str]) -> DataFrame:
+    """The rows of the chosen methods one after the other, with the ``method`` of each; columns that a method lacks are null. ValueError for an unknown one."""
+    if unknown := [m for m in chosen if m not in methods]:
+        raise ValueError(f"no such method: {', '.join(unknown)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [methods[m]().withColumn("method", F.lit(m)) for m in chosen])

@@ -70,6 +70,21 @@ def reject_split(d):
     return d.long().withColumn("reason", reason)
 
 
+@query("""SELECT id, kind FROM (SELECT id, CASE WHEN id % 7 > 0 THEN kind END AS kind, CASE WHEN id % 5 > 0 THEN district END AS level FROM entities) WHERE level = 'ASIA' AND (kind IS NULL OR kind NOT IN ('BUILDING', 'MACHINERY'))""")
+def top_level_rows(d):
+    """The rows of one level without two lower kinds; unknown kinds stay."""
+    e = d.entities().select("id", F.when(F.col("id") % 7 > 0, F.col("kind")).alias("kind"), F.when(F.col("id") % 5 > 0, F.col("district")).alias("level"))
+    return P.top_level(e, "level", "ASIA", "kind", ["BUILDING", "MACHINERY"]).select("id", "kind")
+
+
+@query(""", h AS (SELECT id, year, indicator, CASE WHEN id % 9 > 0 THEN CASE WHEN indicator = 'spend' THEN value - 50000 ELSE value * 30 END END AS value FROM long)
+ SELECT id, year, indicator, round(value, 4) AS value, CASE WHEN indicator = 'spend' THEN 'not positive' ELSE 'not between 0 and 100' END AS reason FROM h WHERE (indicator = 'spend' AND value <= 0) OR (indicator = 'n_orders' AND (value IS NULL OR value NOT BETWEEN 0 AND 100))""")
+def rejected_rows(d):
+    """What is rejected, missing percentages among it."""
+    v = F.when(F.col("id") % 9 > 0, F.when(F.col("indicator") == "spend", F.col("value") - 50000).otherwise(F.col("value") * 30))
+    return P.reject_invalid(d.long().withColumn("value", v), ["spend"], ["n_orders"])[1].withColumn("value", F.round("value", 4))
+
+
 _TWO = """, sources AS (SELECT id, year, spend AS value, 0 AS priority FROM wide WHERE id % 3 <> 0
  UNION ALL SELECT id, year, n_orders * 1000.0, 1 FROM wide)"""
 

@@ -369,6 +369,16 @@ def _roads(d):
     return _places(d).select("id"), {"road": (road, 3.0), "rail": (line, 1.0)}, line
 
 
+@query(_KM_PAIRS.split(" SELECT a.id AS src")[0] + """, own AS (SELECT id, CASE WHEN id % 4 > 0 THEN lat END AS lat, CASE WHEN id % 6 > 0 THEN lon END AS lon FROM s), cen AS (SELECT id, lat + 1 AS lat, lon + 0.5 AS lon FROM s WHERE id % 3 > 0)
+ SELECT o.id, coalesce(o.lat, c.lat) AS lat, coalesce(o.lon, c.lon) AS lon, CASE WHEN o.lat IS NOT NULL THEN 'directory' ELSE 'centroid' END AS coord_source, c.id IS NOT NULL AS has_centroid,
+  CASE WHEN coalesce(o.lon, c.lon) < 0 THEN coalesce(o.lon, c.lon) + 360 ELSE coalesce(o.lon, c.lon) END AS lon360 FROM own o LEFT JOIN cen c USING (id)""")
+def coordinates(d):
+    """Places with holes in their coordinates, filled from the centroids that there are."""
+    s, i = _places(d), F.col("id")
+    own = s.select("id", F.when(i % 4 > 0, F.col("lat")).alias("lat"), F.when(i % 6 > 0, F.col("lon")).alias("lon"))
+    return P.coordinates(own, s.filter(i % 3 > 0).select("id", (F.col("lat") + 1).alias("lat"), (F.col("lon") + 0.5).alias("lon")))
+
+
 def _beside(d):
     """Made neighbours: places whose numbers differ by two."""
     p = _places(d).select("id")

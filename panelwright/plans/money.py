@@ -131,6 +131,21 @@ def gmp_sectoral(d):
     return _sectoral(d).groupBy("id", "year", "region").agg(F.round(F.sum("v"), 2).alias("gmp"), F.round(F.try_divide(F.sum("imputed"), F.sum("v")), 6).alias("imputed_share"))
 
 
+@query(_BASE + _SEC + """ SELECT id, year, region, round(total * spend / nullif(sum(spend) OVER (PARTITION BY region, year), 0), 2) AS gmp, NULL AS imputed_share, 'basic' AS method FROM b
+ UNION ALL SELECT id, year, region, round(sum(v), 2), round(sum(imputed) / nullif(sum(v), 0), 6), 'sectoral' FROM v GROUP BY 1, 2, 3""")
+def gmp_methods(d):
+    """Both ways of allocation in one table, by the method's name."""
+    return X.by_method({"basic": lambda: gmp_basic(d), "sectoral": lambda: gmp_sectoral(d)}, ["basic", "sectoral"])
+
+
+@query("""SELECT o_orderkey AS id, o_totalprice / 20000 / 100 AS basket_rel FROM orders WHERE CASE o_orderkey % 3 WHEN 0 THEN 'per cent of the mean' WHEN 1 THEN 'money' END LIKE '%of the mean%' AND o_totalprice / 20000 / 100 > 0 AND o_totalprice / 20000 / 100 < 10""".replace("/ 20000 / 100", "/ 200 / 100"))
+def basket_rows(d):
+    """Relative costs among rows in several units, of which some have none."""
+    unit = F.when(F.col("o_orderkey") % 3 == 0, "per cent of the mean").when(F.col("o_orderkey") % 3 == 1, "money")
+    rows = d.orders.select(F.col("o_orderkey").alias("id"), unit.alias("unit"), (F.col("o_totalprice") / 200).alias("v"))
+    return X.basket(rows, "unit", "of the mean", "v", ["id"])
+
+
 @query(_SEC + "SELECT id, year, section, round(v, 2) AS value, round(v / nullif(sum(v) OVER (PARTITION BY id, year), 0), 6) AS share FROM v")
 def gmp_structure(d):
     s = F.sum("v").over(W.partitionBy("id", "year"))

@@ -389,6 +389,18 @@ def new_types(d):
     return l.select(F.col("year").alias("y0"), F.lead("year").over(w).alias("y1"), F.size(F.array_except(F.lead("l").over(w), "l")).cast("long").alias("appeared")).filter("y1 is not null")
 
 
+@query(""", own AS (SELECT t.year, t.label FROM types t WHERE (t.year + t.label) % 3 > 0 GROUP BY 1, 2), ys AS (SELECT year, lead(year) OVER (ORDER BY year) AS next FROM (SELECT DISTINCT year FROM own))
+ SELECT y.year AS y0, y.next AS y1, (SELECT string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) FROM own b WHERE b.year = y.next AND NOT EXISTS (SELECT 1 FROM own a WHERE a.year = y.year AND a.label = b.label)) AS appeared,
+  (SELECT string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) FROM own a WHERE a.year = y.year AND NOT EXISTS (SELECT 1 FROM own b WHERE b.year = y.next AND a.label = b.label)) AS vanished FROM ys y WHERE y.next IS NOT NULL""")
+def type_changes(d):
+    """The types that appear and those that vanish from one year to the next, when a third of them is missing in turn."""
+    l = d.types().filter((F.col("year") + F.col("label")) % 3 > 0).groupBy("year").agg(F.collect_set("label").alias("l"))
+    w = W.partitionBy(F.lit(1)).orderBy("year")  # a row a year
+    text = lambda a: F.nullif(F.array_join(F.transform(F.array_sort(a), lambda x: x.cast("string")), ","), F.lit(""))
+    two = l.select(F.col("year").alias("y0"), F.lead("year").over(w).alias("y1"), "l", F.lead("l").over(w).alias("m")).filter("y1 is not null")
+    return two.select("y0", "y1", text(F.array_except("m", "l")).alias("appeared"), text(F.array_except("l", "m")).alias("vanished"))
+
+
 @query("SELECT id, spend, year FROM wide ORDER BY abs(ln(spend / 100000)) DESC, id, year LIMIT 20")
 def top_deviations(d):
     return d.wide().select("id", "spend", "year").orderBy(F.desc(F.abs(F.ln(F.col("spend") / 100000))), "id", "year").limit(20)

@@ -56,8 +56,7 @@ class Data:
         return e.select((F.col("label") % 2).cast("long").alias("year"), F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 6).alias(f"x{i}") for i in range(dims)])
 
     def types(self, n: int = 5) -> DataFrame:
-        """``id, year, label``: fifths of the yearly spend; 0 is the highest. Ranks come from a bounded histogram of
-        exact ranks within each year, which is one key a year by definition."""
+        """``id, year, label``: fifths of the yearly spend; 0 is the highest. A window a year."""
         from pyspark.sql import Window as W
 
         w = W.partitionBy("year").orderBy(F.desc("spend"), "id")
