@@ -14,6 +14,14 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, g string, term string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def rows(seed: int, n: int, sources: list):
     r = random.Random(seed)
     words = ["Ab", "ab", "cd", "éà", "É", "x1y", "zz", "the", "THE", "ü k", "q-r", "\x1c", "\t"]
