@@ -107,101 +107,15 @@ def cut(tree: np.ndarray, n: int, k: int) -> np.ndarray:
     return relabel(np.array([find(i) for i in range(n)]))
 
 
-def spectral(w: np.ndarray, k: int) -> np.ndarray:
-    """Leading vectors of the normalised affinity, assigned by pivoted orthogonal columns."""
-    deg = w.sum(1) + 1e-12
-    s = w / np.sqrt(deg[:, None] * deg[None])
-    vectors = np.linalg.eigh(s)[1][:, -k:]
-    rest, pivots = vectors.T.copy(), []
-    for _ in range(k):
-        j = int((rest**2).sum(0).argmax())
-        pivots.append(j)
-        q = rest[:, j] / np.linalg.norm(rest[:, j])
-        rest -= np.outer(q, q @ rest)
-    u, _, vt = np.linalg.svd(vectors[pivots].T)
-    return relabel(np.abs(vectors @ (u @ vt)).argmax(1))
-
-
-def leiden(w: np.ndarray, k: int, steps: int = 30) -> np.ndarray:
-    """Modularity communities at the resolution at which ``k`` come out, else the nearest number (:func:`sought`).
-
-    Local moves, refinement within communities and aggregation, in a fixed order of visits.
-    """
-
-    def move(a: np.ndarray, labels: np.ndarray, gamma: float, within: np.ndarray | None = None) -> np.ndarray:
-        deg, m2 = a.sum(1), a.sum()
-        labels = labels.copy()
-        total = np.bincount(labels, deg, len(a))
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(a)):
-                near = np.flatnonzero(a[i])
-                near = near[near != i]
-                if within is not None:
-                    near = near[within[near] == within[i]]
-                if not len(near):
-                    continue
-                own = labels[i]
-                total[own] -= deg[i]
-                gain = np.bincount(labels[near], a[i, near], len(a))
-                options = np.unique(np.append(labels[near], own))
-                value = gain[options] - gamma * deg[i] * total[options] / m2
-                best = options[int(value.argmax())]
-                if value.max() <= value[options == own][0] + 1e-12:
-                    best = own
-                labels[i] = best
-                total[best] += deg[i]
-                changed |= bool(best != own)
-        return labels
-
-    def partition(gamma: float) -> np.ndarray:
-        a, where = w.astype(float), np.arange(len(w))
-        labels = np.arange(len(w))
-        while True:
-            new = move(a, labels, gamma)
-            fine = relabel(move(a, np.arange(len(a)), gamma, new))
-            size = fine.max() + 1
-            if size == len(a):
-                return relabel(new[where])
-            s = np.eye(size)[fine]
-            coarse = np.zeros(size, np.int64)
-            coarse[fine] = new
-            a, where = s.T @ a @ s, fine[where]
-            labels = relabel(coarse)
-
-    return sought(lambda x: partition(10.0**x), k, steps)
-
-
-def sought(partition, k: int, steps: int) -> np.ndarray:
-    """The partition into ``k`` parts, or the nearest number met: a number of parts that rises with ``x`` is followed from 0 by whole steps
-    until it is on both sides of ``k``, then by the straight line between the logarithms of the two numbers."""
-    met: dict[float, np.ndarray] = {}
-    parts = lambda x: int(met[x].max()) + 1
-    x = 0.0
-    while len(met) < steps:
-        met[x] = partition(x)
-        few, many = max((v for v in met if parts(v) < k), default=None), min((v for v in met if parts(v) > k), default=None)
-        if parts(x) == k or (few is not None and many is not None and abs(many - few) < 1e-9):
-            break
-        if few is None or many is None:
-            x += -1.0 if few is None else 1.0
-            continue
-        part = np.log(k / parts(few)) / np.log(parts(many) / parts(few))
-        x = few + (many - few) * float(np.clip(part, 0.1, 0.9))
-    return met[min(met, key=lambda v: (abs(parts(v) - k), v))]
-
-
 def network_kmeans(x: np.ndarray, w: np.ndarray, k: int, rho: float = 1.0, xi: float = 1.0, starts: int = 10) -> np.ndarray:
     """K-means on features and network rows together, weighted by ``rho`` and ``xi``."""
     return kmeans(np.hstack([np.sqrt(rho) * x, np.sqrt(xi) * w]), k, starts)
 
 
-#: Methods by name: the first take a network, the last points and a network.
-NETWORK = {"spectral": spectral, "leiden": leiden}
+#: Methods that take points and a network here.
 BOTH = {"kefrin_like": network_kmeans}
-#: Methods of :mod:`panelwright.operators.points`.
-POINTS = ("kmeans", "ward", "ward_kmeans", "gmm_diag")
+#: Methods of :mod:`panelwright.operators.points` and of :mod:`panelwright.operators.communities`.
+POINTS, NETWORK = ("kmeans", "ward", "ward_kmeans", "gmm_diag"), ("spectral", "leiden")
 
 
 def available(method: str) -> tuple[bool, str]:
@@ -210,8 +124,8 @@ def available(method: str) -> tuple[bool, str]:
 
 
 def fit(x: np.ndarray | None, w: np.ndarray | None, method: str, k: int) -> np.ndarray:
-    if method not in NETWORK and method not in BOTH:
+    if method not in BOTH:
         raise ValueError(method)
     if w is None:
         raise ValueError("this method needs a network")
-    return NETWORK[method](w, k) if method in NETWORK else BOTH[method](x, w, k)
+    return BOTH[method](x, w, k)

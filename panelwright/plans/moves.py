@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
 from panelwright.operators import cluster as C
+from panelwright.operators import communities as M
 from panelwright.operators import convergence as G
+from panelwright.operators import neighbours as B
+from panelwright.operators import network as N
 from panelwright.operators import points as P
 from panelwright.operators import ranks as K
 from panelwright.operators import reports as R
 from panelwright.plans.base import query
 from panelwright.plans.graphs import X5
+from panelwright.sources.work import written
 
 _T = ", y AS (SELECT DISTINCT year FROM types), ny AS (SELECT year, lead(year) OVER (ORDER BY year) AS next FROM y), two AS (SELECT a.id, a.year AS y0, n.next AS y1, a.label AS f, b.label AS t FROM types a JOIN ny n USING (year) JOIN types b ON b.id = a.id AND b.year = n.next)"
 
@@ -277,6 +281,23 @@ def entity_clubs(d):
     return G.clubs(m.select("id", F.array(*[F.ln(str(y)) for y in years]).alias("x")))
 
 
+def _sparse(d, k=7):
+    """Edges to the ``k`` nearest with gaussian weights, and the nodes."""
+    f = written(d.features().drop("label"), "nodes")
+    e = N.weigh_edges(B.joined(B.nearest(f, X5, k), k), f, X5)
+    return e.select("year", "src", "dst", "weight"), f.select("year", "id")
+
+
+@query(None)
+def leiden(d, k=4):
+    return M.communities(*_sparse(d), k)
+
+
+@query(None)
+def spectral(d, k=4):
+    return M.spectral(*_sparse(d), k)
+
+
 def _network(method):
     """Each year's network in one task: for years of at most ``NETWORK_NODES`` entities, beyond which it raises."""
 
@@ -303,7 +324,7 @@ def _network(method):
 #: Entities of a year whose whole network one task may hold (dense rows of 8 bytes: about 1.6 GB at most with copies).
 NETWORK_NODES = 8_000
 
-spectral, leiden, kefrin_like = map(_network, ("spectral", "leiden", "kefrin_like"))
+kefrin_like = _network("kefrin_like")
 
 
 @query(None)
