@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
-from panelwright.operators import cluster as C
 from panelwright.operators import communities as M
 from panelwright.operators import convergence as G
 from panelwright.operators import neighbours as B
@@ -298,33 +296,15 @@ def spectral(d, k=4):
     return M.spectral(*_sparse(d), k)
 
 
-def _network(method):
-    """Each year's network in one task: for years of at most ``NETWORK_NODES`` entities, beyond which it raises."""
-
-    def run(d):
-        def one(pdf):
-            if len(pdf) > NETWORK_NODES:
-                raise ValueError(f"{method} takes at most {NETWORK_NODES} nodes a year")
-            pdf = pdf.sort_values("id")
-            x = pdf[X5].to_numpy()
-            dist = np.abs(x[:, None] - x[None]).mean(-1)
-            near = dist.argsort(1, kind="stable")[:, 1:8]
-            w = np.zeros_like(dist)
-            s = np.median(dist[dist > 0])
-            for i, row in enumerate(near):
-                w[i, row] = np.exp(-dist[i, row] ** 2 / (2 * s * s))
-            return pdf.assign(label=C.fit(x, np.maximum(w, w.T), method, 4))[["year", "id", "label"]]
-
-        return d.features().drop("label").groupBy("year").applyInPandas(one, "year long, id long, label long")
-
-    run.__name__ = method
-    return query(None)(run)
-
-
-#: Entities of a year whose whole network one task may hold (dense rows of 8 bytes: about 1.6 GB at most with copies).
-NETWORK_NODES = 8_000
-
-kefrin_like = _network("kefrin_like")
+@query(None)
+def kefrin_like(d, k=4, starts=10):
+    """Features and network rows together; the first centres are nodes, drawn by their features."""
+    edges, _ = _sparse(d)
+    p = P.prepared(d.features(), X5)
+    drawn = [(y, m, i, c.tolist()) for (y, m), cs in P.draw(p, starts, k).items() for i, c in enumerate(cs)]
+    table = F.broadcast(d.spark.createDataFrame(drawn, "year long, model long, label long, x array<double>"))  # k rows a year and start
+    first = p.join(table, ["year", "x"]).groupBy("year", "model", "label").agg(F.min("id").alias("id"))
+    return M.attributed(p, edges, first)
 
 
 @query(None)
