@@ -130,7 +130,7 @@ def test_projection(spark):
     none = spark.createDataFrame([(None, 3.0), (3.0, None)], "a double, b double")
     for f in (P.forward, P.backward):
         for r in none.select(*f(F.col("a"), F.col("b"))).collect():
-            assert None in r
+            assert None in tuple(r)
     assert none.filter("a is null").select(*P.backward(F.col("a"), F.col("b"))).first() == (None, None)
 
 
