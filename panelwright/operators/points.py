@@ -11,6 +11,7 @@ an empty table gives an empty result. Rows that are repeated count as often as t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -402,12 +403,8 @@ def partition(panel: DataFrame, features: list[str], value: str, method: str = "
     return raw.join(F.broadcast(order), [*by, "raw"]).select("year", "id", "label", F.concat(F.lit("K"), (F.col("label") + 1).cast("string")).alias("code"))
 
 
-def grid(points: DataFrame, ks: range, starts: int = 5, seed: int = 42) -> list[tuple[str, int, int, int, float, float | None]]:
-    """``method, k, year, n, wcss, calinski`` for k-means and Ward with k-means: all numbers of clusters and starts in the same rounds.
-
-    The first k of a k-means++ draw are one of k, so the starts of all ``ks`` are the beginnings of ``starts`` draws; Ward's tree is
-    cut at every k. Numbers of clusters beyond a year's distinct points have no row.
-    """
+def _grid(points: DataFrame, ks: range, starts: int, seed: int) -> dict[tuple[str, int, int], tuple]:
+    """``n, wcss, calinski`` and the centres of each method, number of clusters and year."""
     drawn = draw(points, starts, max(ks), seed=seed)
     begun = {(year, k * (starts + 1) + m): c[:k] for (year, m), c in drawn.items() for k in ks if k <= len(c)}
     begun |= {(year, k * (starts + 1) + starts): c for (year, k), c in ward_starts(points, list(ks)).items() if k == len(c)}
@@ -421,5 +418,37 @@ def grid(points: DataFrame, ks: range, starts: int = 5, seed: int = 42) -> list[
         calinski = float(outer / (k - 1) / (inner / (total - k))) if k > 1 and total > k and inner > 0 else None
         key = ("ward_kmeans" if start == starts else "kmeans", k, year)
         if key not in best or inner < best[key][1]:
-            best[key] = (int(total), inner, calinski)
-    return [(*key, *best[key]) for key in sorted(best)]
+            best[key] = (int(total), inner, calinski, centres[year, m])
+    return best
+
+
+def grid(points: DataFrame, ks: range, starts: int = 5, seed: int = 42) -> list[tuple[str, int, int, int, float, float | None]]:
+    """``method, k, year, n, wcss, calinski`` for k-means and Ward with k-means: all numbers of clusters and starts in the same rounds.
+
+    The first k of a k-means++ draw are one of k, so the starts of all ``ks`` are the beginnings of ``starts`` draws; Ward's tree is
+    cut at every k. Numbers of clusters beyond a year's distinct points have no row.
+    """
+    best = _grid(points, ks, starts, seed)
+    return [(*key, *best[key][:3]) for key in sorted(best)]
+
+
+def grid_labels(points: DataFrame, ks: range, starts: int = 5, seed: int = 42) -> DataFrame:
+    """``method, k, year, id, label`` for k-means, Ward with k-means (the partitions of :func:`grid`, labels being places of their centres)
+    and Ward (labels being the smallest id of each cluster's places): a row a point and partition, from one pass for all centres and one tree."""
+    best = _grid(points, ks, starts, seed)
+    cells: dict[int, list] = {}
+    for (method, k, year), found in sorted(best.items()):
+        cells.setdefault(year, []).append((method, k, found[3]))
+
+    def assign(batches):
+        for year, ids, x in _groups(batches):
+            for method, k, c in cells.get(year, []):
+                yield pd.DataFrame({"method": method, "k": k, "year": year, "id": ids, "label": squares(x, c).argmin(1)})
+
+    by_centre = points.mapInPandas(assign, "method string, k long, year long, id long, label long")
+    tree, places = ward_tree_of(points)
+    enough = places.groupBy("year").agg(F.count("*").alias("places"))  # a row a year
+    parts = [N.cut(tree, places, k).join(F.broadcast(enough.filter(F.col("places") >= k)), "year").select("year", F.col("id").alias("place"), F.lit(k).cast("long").alias("k"), F.col("root").alias("label")) for k in ks]
+    at = points.join(places.select("year", "x", F.col("id").alias("place")), ["year", "x"]).select("year", "id", "place")
+    by_tree = at.join(reduce(DataFrame.unionByName, parts), ["year", "place"]).select(F.lit("ward").alias("method"), "k", "year", "id", "label")
+    return by_centre.unionByName(by_tree)

@@ -8,6 +8,7 @@ from panelwright.functions import text as T
 from panelwright.operators import neighbours as B
 from panelwright.operators import network as N
 from panelwright.operators import panel as P
+from panelwright.operators import validity as V
 from panelwright.plans.base import query
 from panelwright.sources.views import SQL
 from panelwright.sources.work import written
@@ -242,13 +243,14 @@ def block_sums(d):
 
 
 @query(_BLK + """, av AS (SELECT avg(CASE WHEN out > 0 THEN skk / out ELSE 0 END) AS avi, count(*) AS kk FROM rows_),
- au AS (SELECT sum(b.s / nullif(x.out + y.out - b.s, 0)) AS u FROM blk b JOIN rows_ x ON x.k = b.k JOIN rows_ y ON y.k = b.l WHERE b.k <> b.l)
+ au AS (SELECT sum(b.s / nullif(x.out - x.skk + y.out - y.skk - b.s, 0)) AS u FROM blk b JOIN rows_ x ON x.k = b.k JOIN rows_ y ON y.k = b.l WHERE b.k <> b.l)
  SELECT round(avi, 6) AS avi, round(coalesce(u, 0) / kk, 6) AS avu, round(CASE WHEN avi > 0 THEN 1 / (coalesce(u, 0) / kk + 1 / avi) ELSE 0 END, 6) AS anui FROM av, au""")
 def avi_avu_anui(d):
     b = _blocks(d)
     r = _rows(d, b)
     av = r.agg(F.avg(F.when(F.col("out") > 0, F.try_divide(F.col("skk"), F.col("out"))).otherwise(0.0)).alias("avi"), F.count("*").alias("kk"))
-    j = b.filter("k <> l").join(r.select("k", F.col("out").alias("ok")), "k").join(r.select(F.col("k").alias("l"), F.col("out").alias("ol")), "l")
+    outer = F.col("out") - F.col("skk")  # without what stays inside
+    j = b.filter("k <> l").join(r.select("k", outer.alias("ok")), "k").join(r.select(F.col("k").alias("l"), outer.alias("ol")), "l")
     au = j.agg(F.coalesce(F.sum(F.try_divide(F.col("s"), F.col("ok") + F.col("ol") - F.col("s"))), F.lit(0.0)).alias("u"))
     u = F.col("u") / F.col("kk")
     return av.crossJoin(au).select(F.round("avi", 6).alias("avi"), F.round(u, 6).alias("avu"), F.round(F.when(F.col("avi") > 0, F.try_divide(F.lit(1.0), u + F.try_divide(F.lit(1.0), F.col("avi")))).otherwise(0.0), 6).alias("anui"))  # single rows
@@ -266,22 +268,13 @@ _VAR = " + ".join(f"var_pop({c})" for c in X5)
 
 @query(f""", v AS (SELECT k, sum(w) AS y FROM (SELECT k, count(*) * ({_VAR}) AS w FROM (SELECT *, unnest(range(2, 9)) AS k FROM features) GROUP BY k, label % k) GROUP BY k),
  n AS (SELECT k, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS x, (y - min(y) OVER ()) / nullif(max(y) OVER () - min(y) OVER (), 0) AS y FROM v)
- SELECT CAST(arg_min(k, (round(x + y, 9), k)) AS BIGINT) AS elbow FROM n""")
+ SELECT arg_min(CAST(k AS BIGINT), (-round(abs((b.y1 - b.y0) * x - y + b.y0), 9), k)) AS elbow FROM n, (SELECT arg_min(y, k) AS y0, arg_max(y, k) AS y1 FROM n) b""")
 def elbow(d):
-    """The number of clusters nearest to the corner of the cost curve: clusters are labels by their remainder."""
+    """The number of clusters farthest from the line between the ends of the cost curve: clusters are labels by their remainder."""
     f = d.features().withColumn("k", F.explode(F.sequence(F.lit(2).cast("long"), F.lit(8).cast("long")))).withColumn("part", F.col("label") % F.col("k"))
     within = sum((F.var_pop(c) for c in X5[1:]), F.var_pop(X5[0]))
-    v = f.groupBy("k", "part").agg((F.count("*") * within).alias("w")).groupBy("k").agg(F.sum("w").alias("y"))
-    r = v.agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    x = (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0")) + F.try_divide(F.col("y") - F.col("y0"), F.col("y1") - F.col("y0"))
-    return v.crossJoin(F.broadcast(r)).agg(F.min_by("k", F.struct(F.round(x, 9), "k")).alias("elbow"))  # a row a number of clusters
-
-
-@query(_CEN + f""", u AS (SELECT * FROM features), a AS (SELECT f.id, c.label, round({_SQ}, 6) AS dist FROM u f CROSS JOIN cen c) SELECT id, arg_min(label, (dist, label)) AS label FROM a GROUP BY 1""")
-def pooled_assign(d):
-    c = F.broadcast(_centres(d).withColumnRenamed("label", "to"))  # a row a cluster
-    dist = F.round(N.squared([F.col(x) for x in X5], [F.col(f"c_{x}") for x in X5]), 6)
-    return d.features().drop("label").crossJoin(c).groupBy("id").agg(F.min_by("to", F.struct(dist, "to")).alias("label"))
+    v = f.groupBy("k", "part").agg((F.count("*") * within).alias("w")).groupBy("k").agg(F.sum("w").alias("wcss"))
+    return V.elbow(v.withColumn("of", F.lit(0)), ["of"]).select("elbow")
 
 
 _V = "sqrt(" + " + ".join(f"v_{c} * v_{c}" for c in X5) + ")"

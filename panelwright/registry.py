@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import base, cleaning, graphs, indicators, money, moves, polygons, reports  # noqa: F401
+from panelwright.plans import base, cleaning, graphs, indicators, money, moves, polygons, reports, validity  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
