@@ -212,12 +212,14 @@ def adjacency(df: DataFrame, tolerance: float = 200.0, geometry: str = "geometry
     """``src, dst`` for ``src < dst``: polygons at most ``tolerance`` apart, in metres of the projection; overlapping and nested ones are 0 apart.
 
     ``centre=None`` takes coordinates as plane ones, without moving longitudes. ``cell`` is the grid's width (four tolerances or, at least, a
-    metre); it changes the work, not the result. A cell of more than ``most`` pieces is dealt to several tasks. Ids without a polygon have no
+    metre, and the mean extent of an edge); it changes the work, not the result. A cell of more than ``most`` pieces is dealt to several tasks. Ids without a polygon have no
     row, and a ring's direction doesn't matter.
     """
-    cell = cell or max(4 * tolerance, 1.0)
     r = rings(df, geometry)
     e = written(edges(r if centre is None else shifted(r), centre), "polygon-edges")
+    if cell is None:
+        extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+        cell = max(4 * tolerance, 1.0, e.agg(F.avg(extent).alias("mean")).first().mean or 0.0)
     pieces = _pieces(e, cell)
     both = _close(pieces, tolerance, cell, most).unionByName(_inside(e, pieces, cell))
     return both.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
