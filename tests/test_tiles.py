@@ -32,3 +32,16 @@ def test_median_of_equal_and_few_values(spark):
     rows = [(0, v) for v in (1.0, 2.0, 2.0, 2.0, 9.0, 0.0, -1.0)] + [(1, v) for v in (1.0, 4.0)] + [(2, 0.0)]
     got = {r.year: r.median for r in N.median(spark.createDataFrame(rows, "year long, v double"), "v").collect()}
     assert got == {0: 2.0, 1: 2.5}
+
+
+def test_blocks_of_the_median_are_not_broadcast(spark):
+    """Before, the blocks, each as often as there are tiles, went through the driver."""
+    from panelwright.operators import neighbours as B
+
+    nodes = spark.range(2000).selectExpr("0L AS year", "id", "cast(id * id % 1009 AS double) AS a")
+    df = B.median_distance(nodes, ["a"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "row#" in line and "column#" in line for line in plan.splitlines())
+    v = sorted(i * i % 1009 for i in range(2000))
+    gaps = sorted(y - x for i, x in enumerate(v) for y in v[i + 1 :] if y > x)
+    assert df.first()["median"] == (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2
