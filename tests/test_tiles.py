@@ -45,3 +45,17 @@ def test_blocks_of_the_median_are_not_broadcast(spark):
     v = sorted(i * i % 1009 for i in range(2000))
     gaps = sorted(y - x for i, x in enumerate(v) for y in v[i + 1 :] if y > x)
     assert df.first()["median"] == (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2
+
+
+def test_silhouette_without_a_row_for_each_pair(spark):
+    """Distances are summed in tiles; before, every pair of points was a row of a join."""
+    plan = registry.queries()["silhouette"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_silhouette_of_flat_points(spark):
+    from panelwright.operators import validity as V
+
+    points = spark.createDataFrame([(0, i, 1.0) for i in range(4)], "year long, id long, x double")
+    labels = points.selectExpr("year", "id", "0L AS model", "id % 2 AS label")
+    assert [V.silhouettes(points, ["x"], labels, flat=f).first()["silhouette"] for f in (0.0, None)] == [0.0, None]
