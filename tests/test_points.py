@@ -86,6 +86,19 @@ def test_ward_in_rounds_is_the_plain_tree(spark, monkeypatch, kind):
             assert sorted(map(tuple, starts[1, k].round(9))) == sorted(tuple(x[want == i].mean(0).round(9)) for i in range(k))
 
 
+def test_ward_in_boxes_is_the_plain_tree_without_searches(spark, monkeypatch):
+    """Five features, several boxes, two years of which one fits a task: the plain tree of each, and no round looks for neighbours across boxes."""
+    from panelwright.operators import neighbours as B
+    from panelwright.operators.cluster import ward_tree
+
+    monkeypatch.setattr(B, "search", lambda *a, **k: pytest.fail("searched"))
+    x = np.random.default_rng(9).normal(size=(1500, 5))
+    points = spark.createDataFrame([(y, i, v.tolist(), 1.0) for y, n in ((1, 1500), (2, 300)) for i, v in enumerate(x[:n])], "year long, id long, x array<double>, m double")
+    got = B.merges(points, 5, 600).toPandas()
+    for year, n in ((1, 1500), (2, 300)):
+        assert sorted(got[got.year == year].height) == pytest.approx(sorted(ward_tree(x[:n])[:, 2]))
+
+
 def test_partitions_do_not_change_starts(spark):
     _, x = blobs(4, 100)
     df = spark.createDataFrame(rows(1, np.vstack([x, x[:30]])), "year long, id long, a double, b double")
