@@ -95,10 +95,21 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+#: What this worker remembers for the operator that it works for.
+_kept: list = []
+
+
+def sole(remembered):
+    """``remembered``, after what the worker remembers for other operators is forgotten: stages that follow each other share their workers."""
+    if not _kept or _kept[0] is not remembered:
+        for x in _kept:
+            x.clear()
+        _kept[:] = [remembered]
+    return remembered
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(sole(_hashes).__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -162,8 +162,8 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
         heads = np.repeat(classes[first], count)
         hot = np.repeat(count >= few, count)
         hot[first] = False
-        own = mix(keys.view(np.uint64) ^ mix(classes.view(np.uint64))) & np.uint64(0xFFFFFFFFFFFFFF00) | keys.view(np.uint64) & np.uint64(0xFF)
-        keys = np.where(hot, own.view(np.int64), keys)
+        shared, c = keys[hot].view(np.uint64), classes[hot].view(np.uint64)
+        keys[hot] = (mix(shared ^ mix(c)) & np.uint64(0xFFFFFFFFFFFFFF00) | shared & np.uint64(0xFF)).view(np.int64)
         for i in range(0, len(keys), 20_000):
             at = slice(i, i + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(classes[at]), pa.array(heads[at], mask=~hot[at])], ["key", "c", "a"])

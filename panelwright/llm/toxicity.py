@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import mix, slices, sole
 
 BUCKETS = 1 << 22
 #: Prefixes of a word that are features besides the word.
@@ -49,8 +49,9 @@ def _often(counts: dict[int, int]) -> list[int]:
 def text_features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a whole text."""
     counts: dict[int, int] = {}
+    features = sole(_features)
     for w, n in Counter((text or "").lower().split()).items():
-        for b in _features[w]:
+        for b in features[w]:
             counts[b] = counts.get(b, 0) + n
     return np.unique(np.array(_often(counts), np.uint32))
 
@@ -230,7 +231,7 @@ def score_toxicity(docs: DataFrame, model: PUModel, text: str = "text") -> Colum
         global _scored
         if _scored[0] is not m:
             _scored = (m, Known())
-        known = _scored[1]
+        known = sole(_scored[1])
         out = []
         for t in texts:
             counts: dict[int, int] = {}
