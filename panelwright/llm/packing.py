@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices
 from .tokens import open_tokenizer
 
+#: Bytes of ids of the documents whose cuts are looked for together.
+CUT_BYTES = 1 << 20
 #: Tokens of the windows that are planned together; the last, open one goes on to the next plan.
 PLAN_WINDOWS = 64
 
@@ -46,19 +48,22 @@ def cut_windows(positions: np.ndarray, penalties: np.ndarray, window: int, costs
     queue: deque[int] = deque([0])
     index = {x: i for i, x in enumerate(p)}
     powers = [1 << b for b in range(8, window.bit_length()) if 1 << b < window]
+    reach = [0.0] * len(p)  # best[i] + p[i]
     for j in range(1, len(p)):
-        at = p[j]
+        at, price = p[j], pen[j]
         while p[queue[0]] < at - window:
             queue.popleft()
         i = queue[0]
-        least = best[i] + p[i] + window - at
-        for w in powers if not pen[j] else ():
-            k = index.get(at - w)
-            if k is not None and best[k] < least:
-                least, i = best[k], k
-        best[j], back[j] = least + pen[j] + costs.per_window, i
-        mine = best[j] + at
-        while queue and best[queue[-1]] + p[queue[-1]] >= mine:
+        least = reach[i] + window - at
+        if not price:
+            for w in powers:
+                k = index.get(at - w)
+                if k is not None and best[k] < least:
+                    least, i = best[k], k
+        best[j] = now = least + price + costs.per_window
+        back[j], reach[j] = i, now + at
+        mine = now + at
+        while queue and reach[queue[-1]] >= mine:
             queue.pop()
         queue.append(j)
     ends, j = [], len(p) - 1
@@ -73,19 +78,32 @@ def document_cuts(ids: np.ndarray, kinds: tuple[np.ndarray, np.ndarray], costs:
 
     A sentence ends after a token of the first kind that no digit follows.
     """
+    return documents_cuts([ids], kinds, costs)[0]
+
+
+def documents_cuts(documents: list[np.ndarray], kinds: tuple[np.ndarray, np.ndarray], costs: Costs) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`document_cuts` of several documents at once."""
     stop, digit = kinds
-    at = np.flatnonzero(stop[ids[:-2]] & ~digit[ids[1:-1]]) + 1
-    at = np.append(at, len(ids))
+    ids, ends = np.concatenate(documents), np.cumsum([len(x) for x in documents])
+    ends_sentence = np.zeros(len(ids) + 1, bool)
+    ends_sentence[1:-1] = stop[ids[:-1]] & ~digit[ids[1:]]
+    ends_sentence[ends - 1] = False  # before the end id
+    ends_sentence[ends] = True
+    at = np.flatnonzero(ends_sentence[1:]) + 1
     price = np.full(len(at), costs.sentence)
-    price[-1] = 0.0
+    price[np.searchsorted(at, ends)] = 0.0
     gaps = np.diff(at, prepend=0)
-    if (gaps > costs.step).any():
-        more = np.concatenate([np.arange(e - g + costs.step, e, costs.step) for e, g in zip(at, gaps) if g > costs.step])
+    long = np.flatnonzero(gaps > costs.step)
+    if len(long):
+        count = (gaps[long] - 1) // costs.step
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+        more = np.repeat(at[long] - gaps[long], count) + nth * costs.step
         at = np.concatenate((at, more))
         price = np.concatenate((price, np.full(len(more), costs.inside)))
         order = np.argsort(at, kind="stable")
         at, price = at[order], price[order]
-    return at, price
+    to = np.searchsorted(at, ends, "right").tolist()
+    return [(at[i:j] - start, price[i:j]) for i, j, start in zip([0, *to], to, [0, *ends.tolist()])]
 
 
 class Packer:
@@ -175,13 +193,23 @@ def pack(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+        def packed(held, id_type):
+            for (i, ids), (cuts, prices) in zip(held, documents_cuts([np.frombuffer(ids, "<u4") for _, ids in held], sorts, costs)):
+                yield from rows(packer.add(i, ids, cuts, prices), id_type)
+
         id_type = None
         for batch in slices(batches):
             id_type = batch.column("doc_id").type
             ids_of = batch.column("doc_id").to_pylist()
+            held, size = [], 0
             for i, ids in zip(ids_of, tok.encode(batch.column("text").cast(pa.binary()).to_pylist())):
-                cuts, prices = document_cuts(np.frombuffer(ids + end, "<u4"), sorts, costs)
-                yield from rows(packer.add(i, ids + end, cuts, prices), id_type)
+                held.append((i, ids + end))
+                size += len(ids)
+                if size >= CUT_BYTES:
+                    yield from packed(held, id_type)
+                    held, size = [], 0
+            if held:
+                yield from packed(held, id_type)
         yield from rows(packer.close(), id_type)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

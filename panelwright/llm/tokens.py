@@ -8,6 +8,7 @@ each Python worker and found in a bounded dictionary afterwards.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
@@ -16,6 +17,8 @@ from contextlib import contextmanager
 
 import numpy as np
 
+from .common import sole
+
 #: Parts that a worker remembers in each of two generations (about 250 bytes each).
 REMEMBERED = 400_000
 #: Bytes of text that are held in parts at a time.
@@ -25,6 +28,14 @@ STEP_BYTES = 1 << 20
 _ODD = (b"  ", b"\n ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Before a single space between two other characters.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A part of ASCII characters without an apostrophe falls into runs of letters, single digits and runs of others.
+_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: ASCII signs at the end, after a letter of Latin-1 or ASCII.
+_TAIL = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)$")
+#: Letters of Latin-1 and ASCII in lower case only: what the normalizer leaves as it is, and the pre-tokenizer whole.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The rule by which a tokenizer has to cut for these three to hold.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks a text's first part; no byte of UTF-8.
 _FIRST = b"\xff"
 #: What ends a sentence at the end of a token.
@@ -56,6 +67,9 @@ class Remembered:
         self.now: dict = {}
         self.old: dict = {}
 
+    def clear(self) -> None:
+        self.now, self.old = {}, {}
+
     def lacks(self, keys: set) -> list:
         """The keys of neither generation; old ones come to the new one."""
         if len(self.now) > REMEMBERED:
@@ -68,6 +82,19 @@ class Remembered:
         return list(missing)
 
 
+def _letters(tokenizer) -> dict[int, str] | None:
+    """For each byte the character that stands for it in the model's vocabulary; null unless the tokenizer cuts by ``_RULE`` and lowers case."""
+    spec = json.loads(tokenizer.to_str())
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _RULE} and cuts[1]["type"] == "ByteLevel" and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+    if kinds != ["NFC", "Replace", "Lowercase"] or not known or spec["post_processor"] or spec["model"].get("dropout"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class PartTokenizer:
     """``style``: "words" for a tokenizer that drops white space and case, "spaces" for one whose
     pre-tokenizer puts a single space before the word it precedes (byte-level BPE).
@@ -83,6 +110,8 @@ class PartTokenizer:
         #: In lower case, since a normalizer may lower a text before it looks for them.
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.style = style
+        #: The characters by which the model knows the bytes of plain words, where such words can go to it at once.
+        self.letters = _letters(self.tokenizer) if style == "words" else None
         self.parts_known, self.pieces = Remembered(), Remembered()
 
     def parts(self, raw: bytes) -> list[bytes]:
@@ -116,9 +145,14 @@ class PartTokenizer:
 
     def _split(self, part: bytes) -> list[bytes]:
         """Pieces of a part between which the pre-tokenizer cuts: a last comma or stop after a letter, a line end
-        between ASCII characters. They are fewer than the parts, and what is encoded."""
+        between ASCII characters; letters, digits and signs where its rule is known. They are fewer than the parts, and what is encoded."""
         if self.style == "words":
             part = part.lower()
+            if self.letters is not None and not part.isalpha():
+                if part.isascii():
+                    return [part] if b"'" in part else _RUNS.findall(part)
+                end = _TAIL.search(part)
+                return [part[: end.start(1)], end[1]] if end else [part]
         elif part.count(b"\n") == 1:
             a, _, b = part.partition(b"\n")
             if a and b and 32 < a[-1] < 127 and 32 < b[0] < 127:
@@ -130,6 +164,12 @@ class PartTokenizer:
     def _learn(self, parts: list[bytes]) -> None:
         split = [self._split(self._whole(p)) for p in parts]
         new = self.pieces.lacks({x for s in split for x in s})
+        if self.letters is not None:
+            # A plain word is what the normalizer and the pre-tokenizer would hand to the model anyway.
+            model, letters, whole = self.tokenizer.model.tokenize, self.letters, _PLAIN.fullmatch
+            plain = [p for p in new if whole(p)]
+            self.pieces.now.update((p, array("I", [t.id for t in model(p.decode("latin-1").translate(letters))]).tobytes()) for p in plain)
+            new = [p for p in new if not whole(p)]
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
         self.pieces.now.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, got))
         get = self.pieces.now.__getitem__
@@ -147,11 +187,17 @@ class PartTokenizer:
                 held, size = [], 0
         yield from self._all(held)
 
+    def clear(self) -> None:
+        """Forget all parts."""
+        self.parts_known.clear()
+        self.pieces.clear()
+
     def _holds_special(self, raw: bytes) -> bool:
         low = raw.lower()
         return any(x in low for x in self.special)
 
     def _all(self, held: list[list[bytes] | bytes]) -> Iterator[bytes]:
+        sole(self)
         with no_cycle_search():
             self._learn(self.parts_known.lacks(set().union(*(x for x in held if isinstance(x, list)))))
         get = self.parts_known.now.__getitem__

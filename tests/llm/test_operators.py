@@ -548,3 +548,35 @@ def test_decontaminate(spark, docs, texts):
         assert decontaminate(df.limit(0), bench, block_bytes=size).count() == 0
         left = drop_contaminated(df, bench, block_bytes=size).collect()
         assert sorted(r.doc_id for r in left) == sorted(i for i, t in every.items() if not brute.hits(t, items)[1])
+
+
+def test_words_are_cut_into_few_pieces():
+    """Letters with signs after them are remembered once, plain words go to the model at once; the ids are those of whole texts."""
+    import random
+
+    from panelwright.llm.tokens import PartTokenizer, tokenizer_path
+
+    tok = PartTokenizer(tokenizer_path("word_bpe_49k.json"), "words")
+    texts = ["mente### Mente!! mente %%% día## DÍA;; mente$, 12 mente1 21", "don't### WE'RE's ''x", "İ### ſ!! ×## ÷# é̸## ½% …### ß…! naïve\xad. Á## <|endoftext|>"]
+    r = random.Random(5)
+    texts += [" ".join("".join(r.choice("abXY01.,!#'-éÉß×÷İªº½…̸́̇日") for _ in range(r.randint(1, 6))) for _ in range(6)) for _ in range(2000)]
+    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    first = [np.frombuffer(x, "<u4").tolist() for x in tok.encode([texts[0].encode()])]
+    assert first == want[:1]
+    assert set(tok.pieces.now) == {b"mente", b"d\xc3\xada", b"d\xc3\x8da", b"###", b"##", b"!!", b"%%%", b";;", b"$,", b"1", b"2"}
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(t.encode() for t in texts)] == want
+
+
+def test_a_worker_remembers_for_one_operator():
+    """What one stage's operator remembered goes when the next stage's operator begins in the same worker."""
+    from panelwright.llm import common, tokens, toxicity
+
+    toxicity.text_features("some words of a text")
+    assert len(toxicity._features) == 5
+    common.word_hashes([b"some", b"words"])
+    assert not toxicity._features and len(common._hashes) == 2
+    tok = tokens.PartTokenizer(tokens.tokenizer_path("word_bpe_49k.json"), "words")
+    first = list(tok.encode([b"some words"]))
+    assert not common._hashes and tok.parts_known.now
+    toxicity.text_features("again")
+    assert not tok.parts_known.now and not tok.pieces.now and list(tok.encode([b"some words"])) == first
