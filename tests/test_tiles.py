@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from panelwright import registry
 from panelwright.operators import network as N
 from panelwright.operators import tiles
@@ -59,3 +61,20 @@ def test_silhouette_of_flat_points(spark):
     points = spark.createDataFrame([(0, i, 1.0) for i in range(4)], "year long, id long, x double")
     labels = points.selectExpr("year", "id", "0L AS model", "id % 2 AS label")
     assert [V.silhouettes(points, ["x"], labels, flat=f).first()["silhouette"] for f in (0.0, None)] == [0.0, None]
+
+
+def test_shared_values_pair_by_pair(spark):
+    """Equal rows, a null among them, stand together in groups of a few; every pair is there once, with the ends' other columns in order."""
+    rows = [(i, None if i % 7 == 0 else float(i * i % 3), -i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y long")
+    value = {"gap": F.abs(F.col("a_x") - F.col("b_x"))}
+    for copies, block in ((3, 8), (64, 2048)):
+        got = sorted((r.src, r.dst, r.a_y, r.b_y, r.gap) for r in tiles.shared(df, ["x"], value, ["y"], block, copies).collect())
+        assert got == [(i, j, y, z, None if v is None or w is None else abs(v - w)) for i, v, y in rows for j, w, z in rows if i < j]
+
+
+def test_lines_are_worked_out_once_for_equal_places(spark):
+    """Before, each pair of places had its line worked out, however many rows stood at the same two places."""
+    plan = registry.queries()["geo_distance_exclude"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(b_members") < plan.index("ASIN")
+    assert plan.count("ASIN") == plan[plan.index("explode(a_members") :].count("ASIN")
