@@ -21,6 +21,8 @@ from panelwright.sources.work import written
 RINGS = "part int, ring int, xs array<double>, ys array<double>"
 #: More pieces than this in a cell are dealt to several tasks.
 CELL_PIECES = 4096
+#: About how many ids of one geometry stand together.
+COPIES = 64
 
 
 def _parts(data: bytes, at: int = 0) -> tuple[list[list[np.ndarray]], int]:
@@ -130,25 +132,36 @@ def centroids(df: DataFrame, geometry: str = "geometry", centre: tuple[float, fl
     return whole.select("id", (F.col("a") / 2).alias("area"), lat.alias("lat"), lon.alias("lon"), F.when(lon < 0, lon + 360).otherwise(lon).alias("lon360"))
 
 
-def _off(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """The squared distance of a point from a segment."""
-    dx, dy = x2 - x1, y2 - y1
-    t = ((px - x1) * dx + (py - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    t = F.greatest(F.least(F.coalesce(t, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return F.pow(px - x1 - t * dx, F.lit(2)) + F.pow(py - y1 - t * dy, F.lit(2))
+def _off(px, py, s):
+    """The squared distances of points from segments, on arrays."""
+    dx, dy = s[2] - s[0], s[3] - s[1]
+    long = dx * dx + dy * dy
+    t = np.clip(((px - s[0]) * dx + (py - s[1]) * dy) / np.where(long == 0, 1.0, long), 0.0, 1.0)
+    u, v = px - s[0] - t * dx, py - s[1] - t * dy
+    return u * u + v * v
 
 
-def _near(a: list[Column], b: list[Column], tolerance: float) -> Column:
-    """Whether two segments cross or come as close as the tolerance."""
+def _near(a, b, tolerance: float) -> np.ndarray:
+    """Whether two segments each cross or come as close as the tolerance, on arrays."""
 
     def side(p, q, s):
         return (s[2] - s[0]) * (q - s[1]) - (s[3] - s[1]) * (p - s[0])
 
     crosses = (side(a[0], a[1], b) * side(a[2], a[3], b) < 0) & (side(b[0], b[1], a) * side(b[2], b[3], a) < 0)
-    off = F.least(_off(a[0], a[1], *b), _off(a[2], a[3], *b), _off(b[0], b[1], *a), _off(b[2], b[3], *a))
+    off = np.minimum.reduce([_off(a[0], a[1], b), _off(a[2], a[3], b), _off(b[0], b[1], a), _off(b[2], b[3], a)])
     return crosses | (off <= tolerance * tolerance)
 
 
+_ENDS = ("x1", "y1", "x2", "y2")
+
+
+def _boxes_meet(tolerance: float) -> Column:
+    """Whether the boxes of two segments are within the tolerance, with room for rounding."""
+    room = sum((F.abs(f"{e}_{c}") for e in "ab" for c in ("x1", "y1")), F.lit(tolerance)) * 1e-9 + tolerance
+    gap = lambda k, a, b: F.least(f"{a}_{k}1", f"{a}_{k}2") - F.greatest(f"{b}_{k}1", f"{b}_{k}2")
+    return (gap("x", "a", "b") <= room) & (gap("x", "b", "a") <= room) & (gap("y", "a", "b") <= room) & (gap("y", "b", "a") <= room)
+
+
 def _pieces(e: DataFrame, cell: float) -> DataFrame:
     """Edges cut into pieces no longer than a cell in either direction; the pieces of an edge share their ends exactly."""
     n = F.greatest(F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / cell), F.lit(1)).cast("int")
@@ -180,8 +193,16 @@ def _close(pieces: DataFrame, tolerance: float, cell: float, most: int) -> DataF
     rows = F.coalesce("rows", F.lit(1))
     a = a.select("cx", "cy", F.pmod(F.xxhash64("id", "x1", "y1", "x2", "y2"), rows).alias("row"), F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
     b = b.select("cx", "cy", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("row"), F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    j = a.join(b, ["cx", "cy", "row"]).filter("a < b")
-    return j.filter(_near([F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")], tolerance)).select("a", "b").distinct()
+    j = a.join(b, ["cx", "cy", "row"]).filter("a < b").filter(_boxes_meet(tolerance))
+
+    # As a column expression this is too long a method for the JVM to compile, so each pair would be interpreted.
+    def close(batches):
+        for pdf in batches:
+            one, other = ([pdf[f"{e}_{c}"].to_numpy() for c in _ENDS] for e in "ab")
+            yield pdf.loc[_near(one, other, tolerance), ["a", "b"]].drop_duplicates()
+
+    kind = pieces.schema["id"].dataType.simpleString()
+    return j.select("a", "b", *[f"{e}_{c}" for e in "ab" for c in _ENDS]).mapInPandas(close, f"a {kind}, b {kind}").distinct()
 
 
 def _inside(e: DataFrame, pieces: DataFrame, cell: float) -> DataFrame:
@@ -213,13 +234,31 @@ def adjacency(df: DataFrame, tolerance: float = 200.0, geometry: str = "geometry
 
     ``centre=None`` takes coordinates as plane ones, without moving longitudes. ``cell`` is the grid's width (four tolerances or, at least, a
     metre, and the mean extent of an edge); it changes the work, not the result. A cell of more than ``most`` pieces is dealt to several tasks. Ids without a polygon have no
-    row, and a ring's direction doesn't matter.
+    row, and a ring's direction doesn't matter. Equal geometries are one until the end: only their ids are paired.
     """
-    r = rings(df, geometry)
+    df = written(df.select("id", F.col(geometry).alias("geometry")).filter(F.col("geometry").isNotNull()), "polygons")
+    shapes = written(df.groupBy("geometry").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "polygon-shapes")
+    alike = shapes.count() < df.count()
+    r = rings(shapes.select(F.col("rep").alias("id"), "geometry") if alike else df)
     e = written(edges(r if centre is None else shifted(r), centre), "polygon-edges")
     if cell is None:
         extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
         cell = max(4 * tolerance, 1.0, e.agg(F.avg(extent).alias("mean")).first().mean or 0.0)
     pieces = _pieces(e, cell)
     both = _close(pieces, tolerance, cell, most).unionByName(_inside(e, pieces, cell))
-    return both.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    both = both.distinct()
+    if not alike:
+        return both.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # A geometry is next to its own copies if it has an edge; a difference of infinite or missing ends is none.
+    own = e.filter(sum((F.col(c) - F.col(c) for c in _ENDS), F.lit(0.0)) == 0).select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+    return _unfolded(both.unionByName(own), df.join(shapes, "geometry").select("id", "rep", "n"))
+
+
+def _unfolded(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``src, dst`` of all ids of geometries from pairs ``a, b`` of geometries (``rep``); about ``COPIES`` ids of one are a row, so many of one are no task's own."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / COPIES))
+    members = written(ids.groupBy("rep", part.alias("part")).agg(F.collect_set("id").alias("ids")), "polygon-ids")
+    side = lambda e: members.select(F.col("rep").alias(e), F.col("ids").alias(f"{e}_ids"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "b_ids", F.explode("a_ids").alias("a"))
+    each = met.select("same", "a", F.explode("b_ids").alias("b")).filter("a < b or (a > b and not same)")
+    return each.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))

@@ -170,3 +170,17 @@ def test_odd_rows(spark):
     assert got(G.adjacency(df, 0.0, centre=None)) == {(1, 2), (1, 3), (2, 3)}
     assert got(G.adjacency(df.limit(0), centre=None)) == set()
     assert G.centroids(df.limit(0)).count() == 0
+
+
+def test_copies_are_unfolded(spark):
+    """Equal geometries are worked on once; their ids are paired with each other and with all next to them. Before, each copy's edges met all others'."""
+    shapes = {i: [[box(3 * (i % 4), 0, 2.9 if i % 4 else 2)]] for i in range(40)} | {90: [[box(100, 100, 1)]], 91: [[box(100.2, 100.2, 0.1)]]}
+    df = frame(spark, [(i, wkb(p)) for i, p in shapes.items()] + [(95, struct.pack("<BII", 1, 3, 0)), (96, struct.pack("<BII", 1, 3, 0))])
+    found = sorted((r.src, r.dst) for r in G.adjacency(df, 0.2, centre=None).collect())
+    assert found == sorted(all_pairs(shapes, 0.2))
+
+
+def test_segments_are_tested_on_arrays(spark):
+    """Before, a column expression too long to be compiled tested each two pieces."""
+    df = frame(spark, [(i, wkb([[box(i, 0, 1)]])) for i in range(4)])
+    assert "MapInPandas" in G._close(G._pieces(G.edges(G.rings(df), None), 1.0), 0.1, 1.0, 4096)._jdf.queryExecution().executedPlan().toString()
