@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelwright import registry
+from panelwright.functions import text as T
 from panelwright.operators import network as N
 from panelwright.operators import tiles
 
@@ -78,3 +80,44 @@ def test_lines_are_worked_out_once_for_equal_places(spark):
     plan = registry.queries()["geo_distance_exclude"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(b_members") < plan.index("ASIN")
     assert plan.count("ASIN") == plan[plan.index("explode(a_members") :].count("ASIN")
+
+
+def test_pairs_on_arrays_are_those_of_the_columns(spark):
+    """The same numbers to the last bit, with holes, equal ids, a row without an id, and blocks that are not full; no pair is lost or doubled."""
+    rng = np.random.default_rng(5)
+    rows = [(y, int(i) if i >= 0 else None, *[None if rng.random() < 0.3 else float(v) for v in rng.normal(size=3)]) for y in (0, 3) for i in [-1, 7, 7, *rng.permutation(60)]]
+    nodes, names, weights = spark.createDataFrame(rows, "year long, id long, f0 double, f1 double, f2 double").cache(), ["f0", "f1", "f2"], {"f0": 2.0, "f1": 1.0, "f2": 0.3}
+    for metric, digits in (("l1", None), ("l1", 3), ("l2", 6)):
+        want = tiles.pairs(nodes, names, ["year"]).select("year", "src", "dst", N.distance(names, metric, weights).alias("distance"))
+        want = want if digits is None else want.withColumn("distance", T.rounded(F.col("distance"), digits))
+        got = tiles.worked(tiles.laid(nodes, names, side=9), names, N.between(names, metric, weights), "distance", digits)
+        assert got.count() == want.count() > 3000 and got.exceptAll(want).count() == 0
+    top = tiles.largest(tiles.laid(nodes, names, side=9), names, {"d": (N.between(names, "l1", weights), 6)})
+    assert top["d"] == {r.year: r.d for r in want.sparkSession.createDataFrame(N.pairs(nodes, names, "l1", weights, 6).groupBy("year").agg(F.max("distance").alias("d")).collect()).collect()}
+    assert N.pairs(nodes.limit(0), names).count() == 0
+
+
+def test_equal_values_are_side_by_side_in_a_task_of_few_ids(spark):
+    """Before, distances came in the order of ids and took eight bytes each in a file."""
+    nodes = spark.range(1500).selectExpr("0L AS year", "id", *[f"round(rand({k}), 2) AS x{k}" for k in range(3)])
+    p = N.pairs(nodes, ["x0", "x1", "x2"], digits=6).withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(p) == 1500 * 1499 // 2 and p.task.nunique() == 6 * 7 // 2
+    for _, t in p.groupby("task"):
+        assert (t.distance.diff() != 0).sum() == t.distance.nunique() and t.src.nunique() <= 256 >= t.dst.nunique()
+    plan = registry.queries()["pairwise_l1"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_threshold_hands_on_near_pairs_alone(spark):
+    """Before, the weight of every pair was worked out, its distance several times over."""
+    nodes = spark.range(300).selectExpr("0L AS year", "id", "round(rand(3), 4) AS x0")
+    every, near = N.pairs(nodes, ["x0"], digits=6), N.pairs(nodes, ["x0"], digits=6, most={0: 0.125})
+    assert near.count() == every.filter("distance <= 0.125").count() < every.count() == 300 * 299 / 2
+    plan = registry.queries()["threshold_graph"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_year_of_equal_points_has_weights_without_a_value(spark):
+    nodes = spark.createDataFrame([(0, i, 1.0) for i in range(3)], "year long, id long, x double")
+    got = N.weigh_edges(N.pairs(nodes, ["x"], digits=6), nodes, ["x"], "l1", "gaussian", 6)
+    assert [r.weight for r in got.collect()] == [None] * 3
