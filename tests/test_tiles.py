@@ -90,8 +90,9 @@ def test_pairs_on_arrays_are_those_of_the_columns(spark):
     for metric, digits in (("l1", None), ("l1", 3), ("l2", 6)):
         want = tiles.pairs(nodes, names, ["year"]).select("year", "src", "dst", N.distance(names, metric, weights).alias("distance"))
         want = want if digits is None else want.withColumn("distance", T.rounded(F.col("distance"), digits))
-        got = tiles.worked(tiles.laid(nodes, names, side=9), names, N.between(names, metric, weights), "distance", digits)
-        assert got.count() == want.count() > 3000 and got.exceptAll(want).count() == 0
+        for order in ((), names):
+            got = tiles.worked(tiles.laid(nodes, names, side=9, order=order), names, N.between(names, metric, weights), "distance", digits)
+            assert got.count() == want.count() > 3000 and got.exceptAll(want).count() == 0
     top = tiles.largest(tiles.laid(nodes, names, side=9), names, {"d": (N.between(names, "l1", weights), 6)})
     assert top["d"] == {r.year: r.d for r in want.sparkSession.createDataFrame(N.pairs(nodes, names, "l1", weights, 6).groupBy("year").agg(F.max("distance").alias("d")).collect()).collect()}
     assert N.pairs(nodes.limit(0), names).count() == 0
@@ -108,6 +109,14 @@ def test_equal_values_are_side_by_side_in_a_task_of_few_ids(spark):
     assert "MapInArrow" in plan and "SortMergeJoin" not in plan
 
 
+def test_equal_nodes_stand_in_one_block(spark):
+    """Copies of a node make pairs of equal distance, which are in few tasks; before, each of these pairs was anywhere."""
+    nodes = spark.range(1536).selectExpr("0L AS year", "id", "cast(id % 6 AS double) AS x0")
+    p = N.pairs(nodes, ["x0"], digits=6, copies=True).withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(p) == 1536 * 1535 // 2 and (p.src < p.dst).all() and (p.distance == (p.src % 6 - p.dst % 6).abs()).all()
+    assert p[p.distance == 5].task.nunique() == 1 and p[["src", "dst"]].drop_duplicates().shape[0] == len(p)
+
+
 def test_threshold_hands_on_near_pairs_alone(spark):
     """Before, the weight of every pair was worked out, its distance several times over."""
     nodes = spark.range(300).selectExpr("0L AS year", "id", "round(rand(3), 4) AS x0")
