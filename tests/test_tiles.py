@@ -130,3 +130,16 @@ def test_a_year_of_equal_points_has_weights_without_a_value(spark):
     nodes = spark.createDataFrame([(0, i, 1.0) for i in range(3)], "year long, id long, x double")
     got = N.weigh_edges(N.pairs(nodes, ["x"], digits=6), nodes, ["x"], "l1", "gaussian", 6)
     assert [r.weight for r in got.collect()] == [None] * 3
+
+
+def test_weights_on_arrays(spark):
+    """As by columns; in a year of equal points null. Before, the weight of a pair was a join and a column expression on every row."""
+    nodes = spark.createDataFrame([(y, i, (i * i % 11) * 0.137 * y) for y in (0, 1) for i in range(30)], "year long, id long, x double")
+    p = N.pairs(nodes, ["x"], digits=6)
+    want = T.rounded(F.col("weight"), 6).alias("weight")
+    widths = {1: N.median(p, "distance").first()["median"]}
+    for got, by in ((N.weighed_pairs(nodes, ["x"], widths), N.weigh_edges(p, nodes, ["x"], "l1", "gaussian", 6)), (N.weighed_pairs(nodes, ["x"]), N.weigh(p, "inverse"))):
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, by.select("year", "src", "dst", want).collect()), key=str)
+    assert N.weighed_pairs(nodes, ["x"], widths).filter("weight is null").count() == 30 * 29 // 2
+    plan = registry.queries()["edge_gaussian"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EXP(" not in plan
